@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, materialize
@@ -224,3 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = owned.groupBy("label").agg(F.min("first").alias("component_id"))
     component = owned.join(smallest, "label").select(F.col("fp").alias("class_fp"), "component_id")
     return prints.join(component, prints.fp == component.class_fp).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int = 6) -> DataFrame:
+    """Of each component the row with the smallest id; columns unchanged.
+
+    An id names one document: of rows that repeat an id, one stays. Rows with a null id
+    stay only if no row of their component has an id, as nothing tells them apart.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius, blocks)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
+    rest = docs.join(first, docs[id_col].eqNullSafe(first["_stays"]), "left_semi")
+    once = rest.withColumn("_row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+    return once.where((F.col("_row") == 1) | F.col(id_col).isNull()).select(*docs.columns)
