@@ -23,6 +23,8 @@ from tessera.llm.common import arrow_limits, materialize
 #: A subtree is template if it occurs on so many pages of its host, and on this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.10
+#: Template subtrees that may be broadcast; beyond it pages and their subtrees are joined by shuffle.
+BROADCAST_SUBTREES = 200_000
 
 # HTML elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,9 +210,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", ht
     size = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     seen = distinct.select("host", "page", F.explode("hashes").alias("hash"))
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = counts.join(size, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
-    deleted = seen.join(template, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
-    joined = parsed.select("id", "url", "host", "page", "blocks").join(deleted, ["host", "page"], "left")
+    template = materialize(counts.join(size, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash"), "template")
+    slim = parsed.select("id", "url", "host", "page", "blocks")
+    if template.count() <= BROADCAST_SUBTREES:
+        # At most (subtrees of a page) / min_share of a host: the pages' texts stay where they are.
+        joined = slim.join(F.broadcast(template.groupBy("host").agg(F.collect_set("hash").alias("template"))), "host", "left")
+    else:
+        deleted = seen.join(template, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+        joined = slim.join(deleted, ["host", "page"], "left")
     none = F.expr("cast(array() as array<bigint>)")
     stays = F.filter("blocks", lambda b: ~b["dropped"] & ~F.arrays_overlap(b["marks"], F.coalesce("template", none)))
     text = F.array_join(F.transform(stays, lambda b: b["text"]), "\n\n")
