@@ -1 +1,326 @@
+"""Queries on claims, evidence and entities."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.operators import entities as E
+from tessera.operators import timeline as TL
+from tessera.plans.registry import query
+from tessera.sources import adapters as A
+
+LIVE = """ret AS (SELECT owner, subject_id, verb, object_key, polarity, max((event_time, span_id)) AS r FROM evidence WHERE act='retract' AND speaker='user' GROUP BY ALL),
+live AS (SELECT e.* FROM evidence e LEFT JOIN ret USING (owner, subject_id, verb, object_key, polarity) WHERE e.act='assert' AND (r IS NULL OR (e.event_time, e.span_id) > r))"""
+EV = ("evidence",)
+
+
+@query()
+def claim_timeline(spark, sf_dir):
+    return TL.claim_timeline(A.evidence(spark, sf_dir))
+
+
+@query(f"WITH {LIVE} SELECT evidence_id, owner, subject_id, verb, object_key, polarity FROM live", EV)
+def live_asserts(spark, sf_dir):
+    return TL.live_asserts(A.evidence(spark, sf_dir)).select("evidence_id", "owner", "subject_id", "verb", "object_key", "polarity")
+
+
+@query(
+    f"""WITH {LIVE}, f AS (SELECT *, max(CAST(polarity='negative' AS INT)) OVER (PARTITION BY owner, subject_id, verb) AS neg FROM live WHERE speaker='user' AND verb IN ('signup','purchase')),
+    n AS (SELECT *, CASE WHEN object_key IS NOT DISTINCT FROM lag(object_key) OVER w THEN 0 ELSE 1 END AS fresh FROM f WHERE neg=0 WINDOW w AS (PARTITION BY owner, subject_id, verb ORDER BY event_time, span_id, evidence_id)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY owner, subject_id, verb ORDER BY event_time, span_id, evidence_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    g AS (SELECT owner, subject_id, verb, CAST(run AS INT) AS run, min(object_key) AS object_key, min(event_time) AS valid_from, count(*) AS n_evidence FROM r GROUP BY 1,2,3,4)
+    SELECT owner, subject_id, verb, run, object_key, valid_from, lead(valid_from) OVER (PARTITION BY owner, subject_id, verb ORDER BY run) AS valid_to, n_evidence FROM g""",
+    EV,
+)
+def functional_intervals(spark, sf_dir):
+    return TL.functional_intervals(A.evidence(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LIVE}, u AS (SELECT * FROM live WHERE speaker='user') SELECT owner, subject_id, verb, object_key, polarity FROM (SELECT *, row_number() OVER (PARTITION BY owner, subject_id, verb ORDER BY event_time DESC, span_id DESC, evidence_id DESC) AS n FROM u) WHERE n=1 AND polarity='positive'""",
+    EV,
+)
+def claims_current(spark, sf_dir):
+    """The value now held of each subject and verb: the latest live user assert, if positive."""
+    last = F.max(F.struct("event_time", "span_id", "evidence_id", "object_key", "polarity")).alias("m")
+    live = TL.live_asserts(A.evidence(spark, sf_dir)).where("speaker = 'user'")
+    return live.groupBy("owner", "subject_id", "verb").agg(last).where("m.polarity = 'positive'").select("owner", "subject_id", "verb", "m.object_key", "m.polarity")
+
+
+@query("SELECT owner, verb, act, count(*) AS n, count(*) FILTER (WHERE polarity='negative') AS negatives FROM evidence GROUP BY 1,2,3", EV)
+def claims_counts(spark, sf_dir):
+    return A.evidence(spark, sf_dir).groupBy("owner", "verb", "act").agg(F.count("*").alias("n"), F.count_if(F.col("polarity") == "negative").alias("negatives"))
+
+
+CLAIM = "owner, subject_id, verb, object_key, polarity"
+
+
+@query(f"SELECT {CLAIM}, count(*) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM evidence GROUP BY ALL", EV)
+def claim_event_time(spark, sf_dir):
+    return A.evidence(spark, sf_dir).groupBy(*CLAIM.split(", ")).agg(F.count("*").alias("n"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"))
+
+
+@query(
+    f"""WITH c AS (SELECT {CLAIM}, min(evidence_id) AS claim_id FROM evidence GROUP BY ALL) SELECT c.claim_id, e.evidence_id, t.role FROM c JOIN evidence e USING ({CLAIM}) JOIN turns t ON t.id=e.span_id*1000 WHERE e.act='assert'""",
+    ("evidence", "turns"),
+)
+def claims_with_evidence(spark, sf_dir):
+    e = A.evidence(spark, sf_dir)
+    c = e.groupBy(*CLAIM.split(", ")).agg(F.min("evidence_id").alias("claim_id"))
+    t = A.turns(spark, sf_dir).select((F.col("id") / 1000).alias("at"), "role").where("at = floor(at)").select(F.col("at").cast("long").alias("span_id"), "role")
+    return e.where("act = 'assert'").join(t, "span_id").join(c, CLAIM.split(", ")).select("claim_id", "evidence_id", "role")
+
+
+@query(
+    """WITH f AS (SELECT evidence_id, lead(evidence_id) OVER (PARTITION BY owner, subject_id, verb ORDER BY event_time, span_id) AS superseded_by FROM evidence WHERE act='assert' AND speaker='user' AND polarity='positive') SELECT * FROM f""",
+    EV,
+)
+def claim_chain(spark, sf_dir):
+    w = Window.partitionBy("owner", "subject_id", "verb").orderBy("event_time", "span_id")
+    e = A.evidence(spark, sf_dir).where("act = 'assert' and speaker = 'user' and polarity = 'positive'")
+    return e.select("evidence_id", F.lead("evidence_id").over(w).alias("superseded_by"))
+
+
+@query(
+    f"""SELECT evidence_id, n AS seen_count FROM (SELECT evidence_id, count(*) OVER (PARTITION BY {CLAIM}) AS n, min(evidence_id) OVER (PARTITION BY {CLAIM}) AS keep FROM evidence) WHERE evidence_id=keep""",
+    EV,
+)
+def live_claim_dedup(spark, sf_dir):
+    e = A.evidence(spark, sf_dir)
+    return e.groupBy(*CLAIM.split(", ")).agg(F.min("evidence_id").alias("evidence_id"), F.count("*").alias("seen_count")).select("evidence_id", "seen_count")
+
+
+@query(
+    """WITH o AS (SELECT *, lag(object_key) OVER w AS p FROM evidence WHERE verb IN ('signup','purchase') AND act='assert' WINDOW w AS (PARTITION BY owner, subject_id, verb ORDER BY event_time, evidence_id))
+    SELECT owner, subject_id, verb, evidence_id, object_key, lead(event_time) OVER (PARTITION BY owner, subject_id, verb ORDER BY event_time, evidence_id) AS until FROM o WHERE p IS DISTINCT FROM object_key""",
+    EV,
+)
+def functional_runs(spark, sf_dir):
+    w = Window.partitionBy("owner", "subject_id", "verb").orderBy("event_time", "evidence_id")
+    o = A.evidence(spark, sf_dir).where("verb in ('signup', 'purchase') and act = 'assert'").withColumn("p", F.lag("object_key").over(w))
+    fresh = o.where(~F.col("p").eqNullSafe(F.col("object_key")))
+    return fresh.select("owner", "subject_id", "verb", "evidence_id", "object_key", F.lead("event_time").over(w).alias("until"))
+
+
+@query(
+    f"""WITH {LIVE}, p AS (SELECT owner, subject_id, verb, count(*) AS n FROM live GROUP BY 1,2,3), q AS (SELECT owner, subject_id, verb, count(*) AS n FROM evidence WHERE act='assert' GROUP BY 1,2,3)
+    SELECT owner, subject_id, verb FROM q LEFT JOIN p USING (owner, subject_id, verb) WHERE p.n IS NULL OR p.n<>q.n UNION SELECT owner, subject_id, verb FROM evidence WHERE act='retract' AND speaker='assistant'""",
+    EV,
+)
+def drift_keys(spark, sf_dir):
+    """Keys whose projection may differ from their evidence: two arms, distinct."""
+    e = A.evidence(spark, sf_dir)
+    k = ["owner", "subject_id", "verb"]
+    p = TL.live_asserts(e).groupBy(*k).agg(F.count("*").alias("p"))
+    q = e.where("act = 'assert'").groupBy(*k).agg(F.count("*").alias("q"))
+    one = q.join(p, k, "left").where("p is null or p <> q").select(*k)
+    return one.union(e.where("act = 'retract' and speaker = 'assistant'").select(*k)).distinct()
+
+
+@query(
+    """SELECT a.evidence_id, max(b.evidence_id) AS superseded_by FROM evidence a JOIN evidence b ON a.owner=b.owner AND a.subject_id=b.subject_id AND a.verb=b.verb AND a.object_key=b.object_key AND a.polarity=b.polarity AND a.act=b.act WHERE a.speaker='user' AND b.speaker='assistant' AND b.evidence_id>a.evidence_id GROUP BY 1""",
+    EV,
+)
+def evidence_supersede(spark, sf_dir):
+    """Rule evidence that later model evidence of the same six keys replaces: a maximum, no self join."""
+    k = ["owner", "subject_id", "verb", "object_key", "polarity", "act"]
+    e = A.evidence(spark, sf_dir)
+    last = e.where("speaker = 'assistant'").groupBy(*k).agg(F.max("evidence_id").alias("superseded_by"))
+    return e.where("speaker = 'user'").join(last, k).where("superseded_by > evidence_id").select("evidence_id", "superseded_by")
+
+
+@query(
+    """WITH r AS (SELECT owner, subject_id, verb, object_key, evidence_id, CASE polarity WHEN 'negative' THEN 'positive' ELSE 'negative' END AS flipped FROM evidence WHERE evidence_id%97=0)
+    SELECT r.evidence_id AS repair, count(*) AS retracted, min(e.evidence_id) AS first FROM r JOIN evidence e ON e.owner=r.owner AND e.subject_id=r.subject_id AND e.verb=r.verb AND e.object_key=r.object_key AND e.polarity=r.flipped AND e.evidence_id<r.evidence_id GROUP BY 1""",
+    EV,
+)
+def repair_retractions(spark, sf_dir):
+    e = A.evidence(spark, sf_dir)
+    k = ["owner", "subject_id", "verb", "object_key", "polarity"]
+    flipped = F.when(F.col("polarity") == "negative", "positive").otherwise("negative")
+    r = e.where("evidence_id % 97 = 0").select(*k[:4], flipped.alias("polarity"), F.col("evidence_id").alias("repair"))
+    return r.join(e, k).where("evidence_id < repair").groupBy("repair").agg(F.count("*").alias("retracted"), F.min("evidence_id").alias("first"))
+
+
+@query(
+    """WITH e AS (SELECT * FROM evidence WHERE span_id%10<>0), d AS (SELECT DISTINCT owner, subject_id, verb FROM evidence WHERE span_id%10=0)
+    SELECT owner, subject_id, verb, count(*) AS left_evidence, max(event_time) AS last_seen FROM e JOIN d USING (owner, subject_id, verb) GROUP BY 1,2,3""",
+    EV,
+)
+def delete_spans_rebuild(spark, sf_dir):
+    """After spans go: what is left of the keys they touched, to be rebuilt."""
+    e = A.evidence(spark, sf_dir)
+    k = ["owner", "subject_id", "verb"]
+    touched = e.where("span_id % 10 = 0").select(*k).distinct()
+    return e.where("span_id % 10 <> 0").join(touched, k, "left_semi").groupBy(*k).agg(F.count("*").alias("left_evidence"), F.max("event_time").alias("last_seen"))
+
+
+@query(
+    """SELECT subject_id, count(DISTINCT object_key) FILTER (WHERE act='assert') AS live_claims, count(DISTINCT object_key) FILTER (WHERE act='retract') AS retracted, least(2, count(DISTINCT object_key) FILTER (WHERE act='retract')) AS shown FROM evidence GROUP BY 1""",
+    EV,
+)
+def span_overlays(spark, sf_dir):
+    live, gone = (F.count_distinct(F.when(F.col("act") == a, F.col("object_key"))) for a in ("assert", "retract"))
+    return A.evidence(spark, sf_dir).groupBy("subject_id").agg(live.alias("live_claims"), gone.alias("retracted")).withColumn("shown", F.least(F.lit(2).cast("long"), "retracted"))
+
+
+@query(
+    """SELECT c_custkey AS loser, c_custkey//10*10 AS keeper FROM customer WHERE c_custkey%10<>0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_orderstatus='F')""",
+)
+def unjustified_merges(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
+    reason = A.read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(reason, "c_custkey", "left_anti").select(F.col("c_custkey").alias("loser"), (F.floor(F.col("c_custkey") / 10) * 10).cast("long").alias("keeper"))
+
+
+@query(
+    """WITH RECURSIVE m(id, at, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT id, at//3, depth+1 FROM m WHERE at%3=0 AND at>0 AND depth<16) SELECT id, at AS root, depth FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC)=1""",
+)
+def merge_chain(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    merged = c.select("id", F.when((F.col("id") % 3 == 0) & (F.col("id") > 0), F.floor(F.col("id") / 3).cast("long")).alias("merged_into"))
+    return E.merge_chain(merged)
+
+
+@query()
+def compaction_keepers(spark, sf_dir):
+    from tessera.plans.retrieval import near_dup_pairs
+
+    return E.components(near_dup_pairs(spark, sf_dir).select("a", "b"))
+
+
+@query()
+def alias_resolve(spark, sf_dir):
+    p = A.read(spark, sf_dir, "part")
+    links = p.select(F.concat(F.lit("p"), "p_partkey").alias("surface"), F.concat(F.lit("p"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") - 4).otherwise(F.col("p_partkey") + 1)).alias("canon"), F.col("p_size").alias("born")).where("p_partkey % 7 <> 3")
+    return E.resolve_aliases(links)
+
+
+@query(
+    """SELECT owner, subject_id, bool_or(act='retract') AS any_retract, bool_and(speaker='user') AS all_user, bool_or(polarity='negative') AND NOT bool_and(act='assert') AS suspicious FROM evidence GROUP BY 1,2""",
+    EV,
+)
+def legacy_check(spark, sf_dir):
+    return A.evidence(spark, sf_dir).groupBy("owner", "subject_id").agg(F.bool_or(F.col("act") == "retract").alias("any_retract"), F.bool_and(F.col("speaker") == "user").alias("all_user"), (F.bool_or(F.col("polarity") == "negative") & ~F.bool_and(F.col("act") == "assert")).alias("suspicious"))
+
+
+@query(
+    """WITH e AS (SELECT verb, object_key, polarity, count(*) FILTER (WHERE evidence_id%2=0) AS expected, count(*) FILTER (WHERE evidence_id%2=1) AS actual FROM evidence GROUP BY 1,2,3)
+    SELECT verb, sum(least(expected,actual)) AS hits, round(sum(least(expected,actual))/CAST(sum(actual) AS DOUBLE),6) AS precision, round(sum(least(expected,actual))/CAST(sum(expected) AS DOUBLE),6) AS recall FROM e GROUP BY 1""",
+    EV,
+)
+def claim_prf(spark, sf_dir):
+    e = A.evidence(spark, sf_dir).groupBy("verb", "object_key", "polarity").agg(F.count_if(F.col("evidence_id") % 2 == 0).alias("expected"), F.count_if(F.col("evidence_id") % 2 == 1).alias("actual"))
+    hits = F.sum(F.least("expected", "actual"))
+    return e.groupBy("verb").agg(hits.alias("hits"), F.round(hits / F.sum("actual"), 6).alias("precision"), F.round(hits / F.sum("expected"), 6).alias("recall"))
+
+
+@query(
+    """WITH p AS (SELECT a.owner, sign(epoch_us(b.event_time)-epoch_us(a.event_time))*sign(b.subject_id-a.subject_id) AS s FROM evidence a JOIN evidence b ON a.owner=b.owner AND a.evidence_id<b.evidence_id AND a.evidence_id%40=0 AND b.evidence_id%40=0)
+    SELECT owner, round(avg(CASE WHEN s>0 THEN 1.0 ELSE 0.0 END),6) AS concordance, count(*) AS pairs FROM p WHERE s<>0 GROUP BY 1""",
+    EV,
+)
+def event_time_concordance(spark, sf_dir):
+    """Share of concordant pairs among a golden set's pairs without ties."""
+    e = A.evidence(spark, sf_dir).where("evidence_id % 40 = 0").select("owner", "evidence_id", F.unix_micros("event_time").alias("t"), "subject_id")
+    b = e.select("owner", F.col("evidence_id").alias("eb"), F.col("t").alias("tb"), F.col("subject_id").alias("sb"))
+    s = F.signum((F.col("tb") - F.col("t")).cast("double")) * F.signum((F.col("sb") - F.col("subject_id")).cast("double"))
+    p = e.join(b, "owner").where("evidence_id < eb").select("owner", s.alias("s")).where("s <> 0")
+    return p.groupBy("owner").agg(F.round(F.avg((F.col("s") > 0).cast("double")), 6).alias("concordance"), F.count("*").alias("pairs"))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT {CLAIM} FROM evidence WHERE evidence_id%3=0), b AS (SELECT DISTINCT {CLAIM} FROM evidence WHERE evidence_id%3=1)
+    SELECT 'lost' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'added', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+    EV,
+)
+def claims_diff(spark, sf_dir):
+    e, k = A.evidence(spark, sf_dir), CLAIM.split(", ")
+    a, b = (e.where(f"evidence_id % 3 = {r}").select(*k).distinct() for r in (0, 1))
+    return a.join(b, k, "left_anti").select(F.lit("lost").alias("side"), *k).union(b.join(a, k, "left_anti").select(F.lit("added"), *k))
+
+
+@query(
+    f"""SELECT {CLAIM}, CASE WHEN max(event_time) FILTER (WHERE act='retract' AND speaker='user') >= max(event_time) FILTER (WHERE act='assert') THEN 'retracted' WHEN count(*) FILTER (WHERE act='assert' AND speaker='user')>0 THEN 'grounded' WHEN count(*) FILTER (WHERE act='assert')>0 THEN 'unconfirmed' ELSE 'retracted' END AS status FROM evidence GROUP BY ALL""",
+    EV,
+)
+def claim_status(spark, sf_dir):
+    is_assert, is_user = F.col("act") == "assert", F.col("speaker") == "user"
+    g = A.evidence(spark, sf_dir).groupBy(*CLAIM.split(", ")).agg(F.max(F.when(~is_assert & is_user, F.col("event_time"))).alias("r"), F.max(F.when(is_assert, F.col("event_time"))).alias("a"), F.count_if(is_assert & is_user).alias("u"), F.count_if(is_assert).alias("n"))
+    status = F.when(F.col("r") >= F.col("a"), "retracted").when(F.col("u") > 0, "grounded").when(F.col("n") > 0, "unconfirmed").otherwise("retracted")
+    return g.select(*CLAIM.split(", "), status.alias("status"))
+
+
+@query(
+    """SELECT evidence_id, 'user '||subject_id||' '||CASE WHEN polarity='negative' THEN 'does not '||verb ELSE verb||'s' END||' '||replace(object_key,'l:','item ') AS fact FROM evidence""",
+    EV,
+)
+def fact_text(spark, sf_dir):
+    phrase = F.when(F.col("polarity") == "negative", F.concat(F.lit("does not "), "verb")).otherwise(F.concat("verb", F.lit("s")))
+    fact = F.concat_ws(" ", F.concat(F.lit("user "), "subject_id"), phrase, F.replace("object_key", F.lit("l:"), F.lit("item ")))
+    return A.evidence(spark, sf_dir).select("evidence_id", fact.alias("fact"))
+
+
+@query(
+    f"""WITH c AS (SELECT {CLAIM}, min(evidence_id) AS claim_id, count(*) AS n, bool_or(speaker='assistant') AS by_model, max(event_time) AS last_seen FROM evidence GROUP BY ALL)
+    SELECT claim_id, verb, n FROM c WHERE verb='purchase' AND by_model AND contains(object_key,'3') ORDER BY n DESC, claim_id LIMIT 100""",
+    EV,
+)
+def explorer_claim_filter(spark, sf_dir):
+    c = A.evidence(spark, sf_dir).where("verb = 'purchase' and contains(object_key, '3')").groupBy(*CLAIM.split(", ")).agg(F.min("evidence_id").alias("claim_id"), F.count("*").alias("n"), F.bool_or(F.col("speaker") == "assistant").alias("m"))
+    return c.where("m").select("claim_id", "verb", "n").orderBy(F.desc("n"), "claim_id").limit(100)
+
+
+@query(
+    """SELECT 'evidence' AS what, count(*) AS n FROM evidence UNION ALL SELECT 'turns', count(*) FROM turns UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'owners', count(DISTINCT owner) FROM evidence UNION ALL SELECT 'retracts', count(*) FROM evidence WHERE act='retract'""",
+    ("evidence", "turns"),
+)
+def explorer_counts(spark, sf_dir):
+    """One row per count; evidence is read once for its three."""
+    e = A.evidence(spark, sf_dir).agg(F.count("*").alias("evidence"), F.count_distinct("owner").alias("owners"), F.count_if(F.col("act") == "retract").alias("retracts"))
+    out = e.select(F.explode(F.create_map(F.lit("evidence"), "evidence", F.lit("owners"), "owners", F.lit("retracts"), "retracts")).alias("what", "n"))
+    for name, df in (("turns", A.turns(spark, sf_dir)), ("documents", A.docs(spark, sf_dir))):
+        out = out.union(df.agg(F.count("*")).select(F.lit(name), "count(1)"))
+    return out
+
+
+@query("SELECT verb, polarity, speaker, count(*) AS n, count(DISTINCT subject_id) AS subjects FROM evidence GROUP BY 1,2,3", EV)
+def explorer_stats(spark, sf_dir):
+    return A.evidence(spark, sf_dir).groupBy("verb", "polarity", "speaker").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("subjects"))
+
+
+@query(
+    f"""WITH c AS (SELECT {CLAIM}, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS evidence FROM evidence WHERE subject_id%10=3 GROUP BY ALL)
+    SELECT owner, subject_id, count(*) AS claims, string_agg(verb||'='||object_key||'['||evidence||']', ';' ORDER BY verb, object_key, polarity) AS claims_text FROM c GROUP BY 1,2""",
+    EV,
+)
+def explorer_snapshot(spark, sf_dir):
+    """Claims with their evidence nested under each entity."""
+    e = A.evidence(spark, sf_dir).where("subject_id % 10 = 3")
+    c = e.groupBy(*CLAIM.split(", ")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("evidence_id")), lambda x: x.cast("string")), ",").alias("evidence"))
+    text = F.concat("verb", F.lit("="), "object_key", F.lit("["), "evidence", F.lit("]"))
+    rows = F.array_sort(F.collect_list(F.struct("verb", "object_key", "polarity", text.alias("t"))))
+    return c.groupBy("owner", "subject_id").agg(F.count("*").alias("claims"), F.array_join(F.transform(rows, lambda r: r["t"]), ";").alias("claims_text"))
+
+
+@query(
+    """SELECT event_type AS verb, event_id AS evidence_id, user_id AS subject_id, md5('o'||(user_id%4)||'|'||user_id||'|'||event_type||'|'||k) AS event_key FROM ev0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY ts, event_id)=1""",
+    ("ev0",),
+)
+def evidence_build(spark, sf_dir):
+    """Idempotent insert: the first of each event key."""
+    e = A.read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    first = e.groupBy("user_id", "event_type", "k").agg(F.min(F.struct("ts", "event_id")).alias("m"))
+    key = F.md5(F.concat(F.lit("o"), F.col("user_id") % 4, F.lit("|"), "user_id", F.lit("|"), "event_type", F.lit("|"), "k"))
+    return first.select(F.col("event_type").alias("verb"), F.col("m.event_id").alias("evidence_id"), F.col("user_id").alias("subject_id"), key.alias("event_key"))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey AS id, CASE WHEN c_custkey%6=0 THEN c_custkey//6 ELSE c_custkey END AS root FROM customer) SELECT e.evidence_id, coalesce(m.root, e.subject_id) AS subject_id FROM evidence e LEFT JOIN m ON m.id=e.subject_id""",
+    EV,
+)
+def reresolve(spark, sf_dir):
+    """Subjects of evidence moved to the roots of merged entities."""
+    c = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.when(F.col("c_custkey") % 6 == 0, F.floor(F.col("c_custkey") / 6)).otherwise(F.col("c_custkey")).cast("long").alias("root"))
+    return A.evidence(spark, sf_dir).join(c, "subject_id", "left").select("evidence_id", F.coalesce("root", "subject_id").alias("subject_id"))
