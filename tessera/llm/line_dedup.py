@@ -24,6 +24,8 @@ THRESHOLD = 1
 MIN_CHARS = 20
 CAP = 24
 MAX_LEVELS = 24
+#: Keys or line numbers (some tens of bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _shifts(threshold: int, segment: int, longer: int) -> range:
@@ -86,23 +88,53 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return parts.where(F.length(F.trim("text")) >= min_chars)
 
 
+def _key_columns(threshold: int) -> tuple[list, list]:
+    """(name, role, key) of the index and of the probes of a whole line in ``text``."""
+    index, probe = [], []
+    for indexed, longer in _roles(threshold):
+        length = F.length("text") - longer
+        for i in range(threshold + 1):
+            start = F.floor(length * i / (threshold + 1)).cast("int")
+            end = F.floor(length * (i + 1) / (threshold + 1)).cast("int")
+            for shift in [0] if indexed else _shifts(threshold, i, longer):
+                if not indexed and longer == 0 and shift == 0:
+                    continue
+                key = F.xxhash64(F.lit(0), F.lit(i), length, F.substring(F.col("text"), start + 1 + shift, end - start))
+                sane = (length >= 0) & (start + shift >= 0) & (end + shift <= F.length("text"))
+                if indexed:
+                    index.append((f"k{i}", -1, key))
+                else:
+                    probe.append((f"p{len(probe)}", longer, F.when(sane, key)))
+    return index, probe
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its rows are few; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """Of ``lines`` (doc, line, text): the first of each distinct text, and of these the
     ones within ``threshold`` edits of an earlier one; both as (doc, line)."""
-    whole = _signatures(threshold, "text", F.lit(0), _roles(threshold))
-    keyed = lines.select("doc", "line", F.transform(whole, lambda x: F.struct(x.role.cast("byte").alias("role"), x.key.alias("key"))).alias("sig"), F.xxhash64("text").alias("h"))
-    firsts = keyed.groupBy("h", "sig").agg(F.min(F.struct("doc", "line")).alias("ord"))
-    firsts = materialize(firsts.select("ord", "sig"), "lines")
-    flat = firsts.select("ord", F.explode("sig").alias("s")).select("ord", "s.role", "s.key")
+    # Plain columns of keys, so that they are made in generated code; the index keys name the line.
+    index, probe = _key_columns(threshold)
+    keyed = lines.select("doc", "line", *[c.alias(n) for n, _, c in index + probe])
+    names = [n for n, _, _ in index]
+    firsts = keyed.groupBy(*names).agg(F.min(F.struct("doc", "line")).alias("ord"), *[F.min(n).alias(n) for n, _, _ in probe])
+    firsts = materialize(firsts.select("ord", *names, *[n for n, _, _ in probe]), "lines")
+    rows = F.explode(F.array(*[F.struct(F.lit(role).cast("byte").alias("role"), F.col(n).alias("key")) for n, role, _ in index + probe])).alias("s")
+    flat = firsts.select("ord", rows).select("ord", "s.role", "s.key").where("key is not null")
     busy = flat.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == -1, 1)).alias("indexed")).where("n > 1 and indexed > 0")
-    meet = materialize(flat.join(busy.select("key", "n"), "key"), "meet")
+    busy = materialize(busy.select("key", "n"), "busy")
+    meet = materialize(flat.join(_small(busy), "key"), "meet")
     pairs = _pairs(meet.where(F.col("n") <= cap))
 
     # Keys that too many lines share: partition again what the shared segment leaves.
     hot = meet.where(F.col("n") > cap)
     if not hot.isEmpty():
         names = hot.select(F.col("ord.doc").alias("doc"), F.col("ord.line").alias("line")).distinct()
-        texts = materialize(lines.join(names, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]).select(F.struct("doc", "line").alias("ord"), "text"), "texts")
+        texts = materialize(lines.join(_small(materialize(names, "names")), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]).select(F.struct("doc", "line").alias("ord"), "text"), "texts")
+        whole = _signatures(threshold, "text", F.lit(0), _roles(threshold))
         whole_cut = texts.select("ord", "text", F.explode(whole).alias("s"))
         hot_keys = hot.select("key").distinct()
         level = whole_cut.join(hot_keys, whole_cut.s.key == hot_keys.key, "left_semi")
@@ -128,7 +160,7 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) ->
 
     pairs = materialize(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct().select("o.doc", "o.line")
-    spelled = materialize(lines.join(ends, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]).select(F.struct("doc", "line").alias("o"), "text"), "spelled")
+    spelled = materialize(lines.join(_small(materialize(ends, "ends")), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]).select(F.struct("doc", "line").alias("o"), "text"), "spelled")
     both = pairs.join(spelled.select(F.col("o").alias("a"), F.col("text").alias("ta")), "a").join(spelled.select(F.col("o").alias("b"), F.col("text").alias("tb")), "b")
     near = both.where(within("ta", "tb", threshold)).select("b.doc", "b.line").distinct()
     return firsts.select("ord.doc", "ord.line"), near
