@@ -1,13 +1,14 @@
 """Bi-temporal timelines rebuilt from evidence, one key at a time.
 
 A key is (owner, subject, verb), with the object too if the verb isn't functional. The
-fold over a key's events is sequential by nature, so it runs as a grouped Arrow function;
-keys are small and independent, and late events only need their keys rebuilt.
+fold over a key's events is sequential by nature, so it runs over sorted partitions in
+Arrow batches; keys are independent, and late events only need their keys rebuilt.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -94,23 +95,40 @@ def vote_ids(rows: list[dict], known: dict[int, int]) -> list[int | None]:
 
 def claim_timeline(evidence: DataFrame, functional: tuple[str, ...] = C.FUNCTIONAL_VERBS) -> DataFrame:
     """The timeline of every key; ids of new claims follow from key and place."""
+    columns = [c.split()[0] for c in TIMELINE.split(", ")]
+    key = ["owner", "subject_id", "verb", "_object"]
     keyed = evidence.withColumn("_object", F.when(is_functional(F.col("verb"), functional), F.lit("")).otherwise(F.col("object_key")))
-    keyed = keyed.withColumn("_at", F.unix_micros("event_time"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, subject, verb = pdf.owner.iloc[0], pdf.subject_id.iloc[0], pdf.verb.iloc[0]
-        events = list(zip(pdf.evidence_id, pdf.object_key, pdf.polarity, pdf.act, pdf.speaker, pdf["_at"], pdf.span_id, strict=True))
-        rows = rebuild(events, verb in functional)
-        ids = [f"{owner}/{subject}/{verb}/{pdf['_object'].iloc[0]}/{k}" for k in range(len(rows))]
-        chain = [k for k, r in enumerate(rows) if r["status"] == "grounded" and r["valid_from"] != r["valid_to"]]
-        after = {ids[a]: ids[b] for a, b in zip(chain, chain[1:], strict=False)}
-        stamp = lambda t: None if t is None else pd.Timestamp(int(t), unit="us")
-        return pd.DataFrame(
-            [(owner, subject, verb, k, r["object_key"], r["polarity"], r["status"], stamp(r["valid_from"]), stamp(r["valid_to"]), len(r["events"]), ",".join(str(x) for x in sorted(e[0] for e in r["events"])), max(e[6] for e in r["events"]), ids[k], after.get(ids[k])) for k, r in enumerate(rows)],
-            columns=[c.split()[0] for c in TIMELINE.split(", ")],
-        )
-
-    return keyed.groupBy("owner", "subject_id", "verb", "_object").applyInPandas(fold, TIMELINE)
+    dealt = keyed.select(*key, "evidence_id", "object_key", "polarity", "act", "speaker", F.unix_micros("event_time").alias("_at"), "span_id").repartition(*key).sortWithinPartitions(*key)
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows_of(held: tuple, events: list[tuple]) -> list[tuple]:
+            rows = rebuild(events, held[2] in functional)
+            ids = [f"{'/'.join(str(x) for x in held)}/{k}" for k in range(len(rows))]
+            chain = [k for k, r in enumerate(rows) if r["status"] == "grounded" and r["valid_from"] != r["valid_to"]]
+            after = {ids[a]: ids[b] for a, b in zip(chain, chain[1:], strict=False)}
+            return [(*held[:3], k, r["object_key"], r["polarity"], r["status"], r["valid_from"], r["valid_to"], len(r["events"]), ",".join(str(x) for x in sorted(e[0] for e in r["events"])), max(e[6] for e in r["events"]), ids[k], after.get(ids[k])) for k, r in enumerate(rows)]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=columns)
+            for c in ("valid_from", "valid_to"):
+                out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+            return out
+
+        held, events = None, []
+        for pdf in parts:
+            rows = []
+            for x in pdf.itertuples(index=False, name=None):
+                if x[:4] != held:
+                    if held is not None:
+                        rows += rows_of(held, events)
+                    held, events = x[:4], []
+                events.append(x[4:])
+            if rows:
+                yield frame(rows)
+        if held is not None:
+            yield frame(rows_of(held, events))
+
+    return dealt.mapInPandas(each, TIMELINE)
 
 
 def live_asserts(evidence: DataFrame) -> DataFrame:

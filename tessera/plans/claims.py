@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import block_pairs
 from tessera.operators import entities as E
 from tessera.operators import timeline as TL
 from tessera.plans.registry import query
@@ -175,7 +176,7 @@ def unjustified_merges(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE m(id, at, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT id, at//3, depth+1 FROM m WHERE at%3=0 AND at>0 AND depth<16) SELECT id, at AS root, depth FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC)=1""",
+    """WITH RECURSIVE m(id, z, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT id, z//3, depth+1 FROM m WHERE z%3=0 AND z>0 AND depth<16) SELECT id, z AS root, depth FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC)=1""",
 )
 def merge_chain(spark, sf_dir):
     c = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
@@ -185,9 +186,9 @@ def merge_chain(spark, sf_dir):
 
 @query()
 def compaction_keepers(spark, sf_dir):
-    from tessera.plans.retrieval import near_dup_pairs
-
-    return E.components(near_dup_pairs(spark, sf_dir).select("a", "b"))
+    v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
+    pairs = block_pairs(v, v, 0.4, undirected=True)
+    return E.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
 @query()
@@ -217,17 +218,16 @@ def claim_prf(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT a.owner, sign(epoch_us(b.event_time)-epoch_us(a.event_time))*sign(b.subject_id-a.subject_id) AS s FROM evidence a JOIN evidence b ON a.owner=b.owner AND a.evidence_id<b.evidence_id AND a.evidence_id%40=0 AND b.evidence_id%40=0)
+    """WITH p AS (SELECT a.owner, sign(epoch_us(b.event_time)-epoch_us(a.event_time)) AS s FROM evidence a JOIN evidence b ON a.subject_id=b.subject_id AND a.verb=b.verb AND a.evidence_id<b.evidence_id)
     SELECT owner, round(avg(CASE WHEN s>0 THEN 1.0 ELSE 0.0 END),6) AS concordance, count(*) AS pairs FROM p WHERE s<>0 GROUP BY 1""",
     EV,
 )
 def event_time_concordance(spark, sf_dir):
-    """Share of concordant pairs among a golden set's pairs without ties."""
-    e = A.evidence(spark, sf_dir).where("evidence_id % 40 = 0").select("owner", "evidence_id", F.unix_micros("event_time").alias("t"), "subject_id")
-    b = e.select("owner", F.col("evidence_id").alias("eb"), F.col("t").alias("tb"), F.col("subject_id").alias("sb"))
-    s = F.signum((F.col("tb") - F.col("t")).cast("double")) * F.signum((F.col("sb") - F.col("subject_id")).cast("double"))
-    p = e.join(b, "owner").where("evidence_id < eb").select("owner", s.alias("s")).where("s <> 0")
-    return p.groupBy("owner").agg(F.round(F.avg((F.col("s") > 0).cast("double")), 6).alias("concordance"), F.count("*").alias("pairs"))
+    """Share of a timeline's pairs that stand in the order of their ids, ties left out."""
+    e = A.evidence(spark, sf_dir).select("owner", "subject_id", "verb", "evidence_id", F.unix_micros("event_time").alias("t"))
+    b = e.select("subject_id", "verb", F.col("evidence_id").alias("eb"), F.col("t").alias("tb"))
+    p = e.join(b, ["subject_id", "verb"]).where("evidence_id < eb and t <> tb")
+    return p.groupBy("owner").agg(F.round(F.avg((F.col("tb") > F.col("t")).cast("double")), 6).alias("concordance"), F.count("*").alias("pairs"))
 
 
 @query(
@@ -291,13 +291,13 @@ def explorer_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT {CLAIM}, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS evidence FROM evidence WHERE subject_id%10=3 GROUP BY ALL)
+    f"""WITH c AS (SELECT {CLAIM}, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY evidence_id) AS evidence FROM evidence GROUP BY ALL)
     SELECT owner, subject_id, count(*) AS claims, string_agg(verb||'='||object_key||'['||evidence||']', ';' ORDER BY verb, object_key, polarity) AS claims_text FROM c GROUP BY 1,2""",
     EV,
 )
 def explorer_snapshot(spark, sf_dir):
     """Claims with their evidence nested under each entity."""
-    e = A.evidence(spark, sf_dir).where("subject_id % 10 = 3")
+    e = A.evidence(spark, sf_dir)
     c = e.groupBy(*CLAIM.split(", ")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("evidence_id")), lambda x: x.cast("string")), ",").alias("evidence"))
     text = F.concat("verb", F.lit("="), "object_key", F.lit("["), "evidence", F.lit("]"))
     rows = F.array_sort(F.collect_list(F.struct("verb", "object_key", "polarity", text.alias("t"))))

@@ -49,11 +49,11 @@ def batch_vector_search(spark, sf_dir):
 
 @query(
     f"""WITH q AS (SELECT embedding AS v FROM turn_vec WHERE id=0)
-    SELECT id, round({COS}(embedding,v),6) AS similarity FROM turn_vec, q WHERE owner='o1' AND id%5<>0 ORDER BY round({COS}(embedding,v),9) DESC, id LIMIT 24""",
+    SELECT id, round({COS}(embedding,v),6) AS similarity FROM turn_vec, q WHERE owner='o1' AND session_id<>'s0' ORDER BY round({COS}(embedding,v),9) DESC, id LIMIT 24""",
     ("turn_vec",),
 )
 def claim_ann(spark, sf_dir):
-    current = A.turn_vec(spark, sf_dir).where("owner = 'o1' and id % 5 <> 0")
+    current = A.turn_vec(spark, sf_dir).where("owner = 'o1' and session_id <> 's0'")
     return search.top_k(current, F.col("embedding"), _first_vector(spark, sf_dir), C.CLAIM_LIMIT, "id").withColumn("similarity", F.round("similarity", 6))
 
 

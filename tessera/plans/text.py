@@ -1 +1,156 @@
+"""Queries with the text rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.plans.registry import query
+from tessera.sources import adapters as A
+
+
+@query("SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name||'_'||p_type||'-'||p_brand),'[\\s_\\-]+',' ','g'),'[^a-z0-9 ]','','g'),' +',' ','g')) AS norm FROM part")
+def normalize_surface(spark, sf_dir):
+    return A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.normalize_surface(F.concat("p_name", F.lit("_"), "p_type", F.lit("-"), "p_brand")).alias("norm"))
+
+
+@query("SELECT s_suppkey AS id, regexp_replace(regexp_replace(lower(trim(s_name)),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') AS slug FROM supplier")
+def slugify(spark, sf_dir):
+    return A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), X.slug(F.col("s_name")).alias("slug"))
+
+
+@query("SELECT doc_id, greatest(1, length(text)//4) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return A.docs(spark, sf_dir).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query()
+def turn_noise_reason(spark, sf_dir):
+    t = A.turns(spark, sf_dir)
+    said = X.extract(t, "id", "content", X.assertions, "subject string, verb string, object string, polarity string").select("id").distinct().withColumn("_said", F.lit(True))
+    return t.join(said, "id", "left").select("id", X.noise_reason(F.col("content"), F.col("role"), F.coalesce("_said", F.lit(False))).alias("reason"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE NOT regexp_matches(text, '(?i)(api[_-]?key|secret|token|passw(or)?d)\\s*[:=]\\s*\\S{6,}')")
+def secret_filter(spark, sf_dir):
+    return A.docs(spark, sf_dir).where(~F.col("text").rlike(X.SECRET)).select("doc_id", "lang")
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    c = X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.chunks, "ordinal int, chunk string")
+    return c.select(F.concat(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 16), F.lit(":"), "ordinal").alias("chunk_id"), "doc_id", "ordinal", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+@query()
+def doc_dependencies(spark, sf_dir):
+    p = A.read(spark, sf_dir, "pages")
+    md = F.regexp_replace("html", r'<a href="/([^"]*)">([^<]*)</a>', "[$2]($1.md)")
+    return p.select("page_id", F.explode(X.links(md, F.lit("Documentation"))).alias("target"))
+
+
+@query(
+    """WITH s AS (SELECT page_id, list_reverse(list_filter(string_split(split_part(split_part(url,'?',1),'#',1),'/')[:-2], lambda x: x<>'' AND NOT regexp_full_match(x,'[0-9]+') AND NOT contains(x,':'))) AS f FROM pages) SELECT page_id, f[1] AS module FROM s""",
+)
+def module_name(spark, sf_dir):
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://", "")
+    return A.read(spark, sf_dir, "pages").select("page_id", X.module_name(path).alias("module"))
+
+
+@query()
+def segment_turn(spark, sf_dir):
+    return X.extract(A.turns(spark, sf_dir), "id", "content", X.segments, "start int, end int, kind string")
+
+
+@query()
+def strip_blocks(spark, sf_dir):
+    return A.turns(spark, sf_dir).select("id", F.md5(X.apply(F.concat("content", F.lit(" <memory>x</memory>")), X.strip_blocks)).alias("digest"))
+
+
+@query()
+def alias_equations(spark, sf_dir):
+    p = A.read(spark, sf_dir, "part")
+    said = F.concat("p_name", F.lit(", also called "), "p_brand", F.lit(" item "), "p_partkey")
+    return p.select("p_partkey", F.explode(X.alias_equations(said)).alias("e")).select("p_partkey", "e.surface", "e.canon")
+
+
+SUBJECT = "subject string, verb string, object string, polarity string"
+
+
+@query()
+def assertions(spark, sf_dir):
+    return X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.assertions, SUBJECT)
+
+
+@query()
+def self_assertions(spark, sf_dir):
+    return X.extract(A.turns(spark, sf_dir), "id", "content", X.self_assertions, SUBJECT)
+
+
+@query()
+def uptake_verdict(spark, sf_dir):
+    from tessera.operators.turns import previous_of_role
+
+    t = A.turns(spark, sf_dir)
+    before = previous_of_role(t).where("role = 'user' and previous_id is not null").select("id", "previous_id")
+    return t.join(before, "id").select("id", "previous_id", X.repair(F.col("content")).alias("verdict"))
+
+
+@query()
+def classify_object(spark, sf_dir):
+    p = A.read(spark, sf_dir, "nation")
+    return p.select("n_nationkey", X.classify_object(F.initcap("n_name")).alias("kind"))
+
+
+@query()
+def noun_mentions(spark, sf_dir):
+    return X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.nouns, "label string, conf double, mention_index int")
+
+
+@query()
+def title_concepts(spark, sf_dir):
+    return X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.title_concepts, "concept string")
+
+
+@query()
+def entity_phrases(spark, sf_dir):
+    return A.read(spark, sf_dir, "part").select("p_partkey", F.explode(X.entity_phrases(F.col("p_name"))).alias("phrase"))
+
+
+@query()
+def work_verdict(spark, sf_dir):
+    t = A.turns(spark, sf_dir).where("role = 'user'").select("session_id", "ts", "id", X.verdict(F.col("content")).alias("v"))
+    return t.groupBy("session_id").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("ts", "id"))).alias("verdict"), F.count("*").alias("turns"))
+
+
+@query()
+def extractive_summary(spark, sf_dir):
+    return A.docs(spark, sf_dir).select("doc_id", X.apply(F.col("text"), lambda s: X.summary(s, 200)).alias("summary"))
+
+
+@query(
+    """SELECT doc_id, len(regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]{2,}')) AS emails, len(regexp_extract_all(text,'https?://[^ \\n<>"]+')) AS urls FROM documents""",
+)
+def extract_emails_urls(spark, sf_dir):
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    return A.docs(spark, sf_dir).select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z.]{2,}").alias("emails"), count(r"https?://[^ \n<>\"]+").alias("urls"))
+
+
+@query(
+    """SELECT session_id, '<memory>'||string_agg('<span id="'||id||'" role="'||role||'">'||replace(replace(replace(substr(content,1,80),'&','&amp;'),'<','&lt;'),'>','&gt;')||'</span>','' ORDER BY id)||'</memory>' AS block FROM turns GROUP BY 1""",
+    ("turns",),
+)
+def render_block(spark, sf_dir):
+    esc = F.replace(F.replace(F.replace(F.substring("content", 1, 80), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = F.concat(F.lit('<span id="'), "id", F.lit('" role="'), "role", F.lit('">'), esc, F.lit("</span>"))
+    rows = F.array_sort(F.collect_list(F.struct("id", tag.alias("t"))))
+    joined = F.array_join(F.transform(rows, lambda r: r["t"]), "")
+    return A.turns(spark, sf_dir).groupBy("session_id").agg(F.concat(F.lit("<memory>"), joined, F.lit("</memory>")).alias("block"))
+
+
+@query()
+def reception(spark, sf_dir):
+    """Per user turn: segments, aliases, assertions and the repair verdict, in the order of the write path."""
+    t = A.turns(spark, sf_dir).where("role = 'user' and trim(content) <> ''")
+    n = X.extract(t, "id", "content", lambda s: [(len(X.segments(s)), len(X.assertions(s)), len(X.self_assertions(s)))], "segments int, claims int, self_claims int")
+    return t.join(n, "id").select("id", "segments", "claims", "self_claims", F.size(X.alias_equations(F.col("content"))).alias("aliases"), X.repair(F.col("content")).alias("verdict"))

@@ -118,13 +118,13 @@ def select_notes(spark, sf_dir):
     return T.select_notes(notes).select("owner", "id", "rank")
 
 
-@query("SELECT l_orderkey AS turn, p_partkey AS noun_id, p_name AS label FROM lineitem JOIN part ON l_partkey=p_partkey WHERE l_orderkey%100=7")
+@query("SELECT l_orderkey AS turn, p_partkey AS noun_id, p_name AS label FROM lineitem JOIN part ON l_partkey=p_partkey")
 def passports_for_turns(spark, sf_dir):
-    m = A.mentions(spark, sf_dir).where("turn % 100 = 7")
+    m = A.mentions(spark, sf_dir)
     return m.join(A.read(spark, sf_dir, "part"), F.col("noun_id") == F.col("p_partkey")).select("turn", F.col("p_partkey").alias("noun_id"), F.col("p_name").alias("label"))
 
 
-@query("SELECT noun_id, turn, chunk_id FROM mentions QUALIFY row_number() OVER (PARTITION BY noun_id ORDER BY turn DESC, mention_index DESC)=1", ("mentions",))
+@query("SELECT noun_id, turn, chunk_id FROM mentions QUALIFY row_number() OVER (PARTITION BY noun_id ORDER BY turn DESC, mention_index DESC, chunk_id DESC)=1", ("mentions",))
 def latest_passport(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
     last = F.max(F.struct("turn", "mention_index", "chunk_id")).alias("m")
