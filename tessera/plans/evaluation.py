@@ -1 +1,86 @@
+"""Queries that measure quality: recall, rank, percentiles, overlap, back-tests."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import query
+from tessera.sources import adapters as A
+
+
+def nearest_rank(values: Column, q: float) -> Column:
+    """The element at index round(q * (n - 1)) of a sorted array, halves to even; exact."""
+    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
+
+
+@query(
+    """WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY 1) SELECT event_type, len(v) AS n, v[CAST(round_even(0.5*(len(v)-1),0) AS INT)+1] AS p50, v[CAST(round_even(0.95*(len(v)-1),0) AS INT)+1] AS p95, v[CAST(round_even(0.99*(len(v)-1),0) AS INT)+1] AS p99 FROM s""",
+)
+def latency_percentiles(spark, sf_dir):
+    """Exact order statistics by rank in a window, so no group is gathered."""
+    e = A.read(spark, sf_dir, "events").select("event_type", "value")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(n, "event_type")
+    at = lambda q: F.max(F.when(F.col("r") == F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col("value")))
+    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+@query(
+    """WITH a AS (SELECT user_id AS q, list(DISTINCT k) AS v FROM ev0 WHERE event_type IN ('click','view') GROUP BY 1), b AS (SELECT user_id AS q, list(DISTINCT k) AS v FROM ev0 WHERE event_type IN ('purchase','view') GROUP BY 1)
+    SELECT q, round(len(list_intersect(a.v,b.v))/CAST(len(a.v)+len(b.v)-len(list_intersect(a.v,b.v)) AS DOUBLE),6) AS jaccard, len(b.v)>len(list_intersect(a.v,b.v)) AS added FROM a JOIN b USING (q)""",
+    ("ev0",),
+)
+def shadow_jaccard(spark, sf_dir):
+    e = A.read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    a, b = (e.where(F.col("event_type").isin(*kinds)).groupBy(F.col("user_id").alias("q")).agg(F.collect_set("k").alias(n)) for n, kinds in (("a", ("click", "view")), ("b", ("purchase", "view"))))
+    common = F.size(F.array_intersect("a", "b"))
+    return a.join(b, "q").select("q", F.round(common / (F.size("a") + F.size("b") - common), 6).alias("jaccard"), (F.size("b") > common).alias("added"))
+
+
+@query(
+    """SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
+)
+def golden_recall(spark, sf_dir):
+    """Documents that hold an item's text word for word; items are a fixed few, so they are broadcast."""
+    b = A.read(spark, sf_dir, "benchmark").withColumnRenamed("text", "needle")
+    few = F.broadcast(b) if b.count() <= 10_000 else b
+    return A.docs(spark, sf_dir).join(few, F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS q, min(l_linenumber) FILTER (WHERE l_returnflag='R') AS first FROM lineitem GROUP BY 1) SELECT count(*) AS queries, round(avg(coalesce(1.0/first,0)),6) AS mrr, round(avg(CASE WHEN first IS NULL THEN 1.0 ELSE 0.0 END),6) AS empty_rate FROM r""",
+)
+def injection_mrr(spark, sf_dir):
+    first = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))
+    r = A.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(first.alias("first"))
+    return r.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("first").isNull().cast("double")), 6).alias("empty_rate"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey AS a, l_partkey AS b, o_orderdate < TIMESTAMP '1998-06-01' AS past FROM lineitem JOIN orders ON l_orderkey=o_orderkey), p AS (SELECT DISTINCT a, b FROM e WHERE past), f AS (SELECT DISTINCT a, b FROM e WHERE NOT past)
+    SELECT (SELECT count(*) FROM f) AS actual, (SELECT count(*) FROM p JOIN f USING (a,b)) AS hits, round((SELECT count(*) FROM p JOIN f USING (a,b))/CAST((SELECT count(*) FROM p) AS DOUBLE),6) AS precision""",
+)
+def link_backtest(spark, sf_dir):
+    o, li = A.read(spark, sf_dir, "orders"), A.read(spark, sf_dir, "lineitem")
+    past = F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.bool_or(past).alias("p"), F.bool_or(~past).alias("f"))
+    hits = F.count_if(F.col("p") & F.col("f"))
+    return e.agg(F.count_if("f").alias("actual"), hits.alias("hits"), F.round(hits / F.count_if("p"), 6).alias("precision"))
+
+
+@query(
+    """WITH t AS (SELECT d.doc_id, l.quality, CASE WHEN d.n_chars>=1000 THEN 1 ELSE 0 END AS guess FROM documents d JOIN labels l USING (doc_id)) SELECT quality, count(*) AS n, sum(guess) AS recalled, round(avg(guess),6) AS recall FROM t GROUP BY 1""",
+)
+def eval_recall(spark, sf_dir):
+    t = A.docs(spark, sf_dir).join(A.read(spark, sf_dir, "labels"), "doc_id").withColumn("guess", (F.col("n_chars") >= 1000).cast("int"))
+    return t.groupBy("quality").agg(F.count("*").alias("n"), F.sum("guess").alias("recalled"), F.round(F.avg("guess"), 6).alias("recall"))
+
+
+@query(
+    """SELECT t.owner, count(*) AS answers, count(*) FILTER (WHERE t.owner<>v.owner) AS leaked FROM turns t JOIN turn_vec v ON v.session_id=t.session_id GROUP BY 1""",
+    ("turns", "turn_vec"),
+)
+def eval_leakage(spark, sf_dir):
+    t, v = A.turns(spark, sf_dir).select("owner", "session_id"), A.turn_vec(spark, sf_dir).select(F.col("owner").alias("other"), "session_id")
+    return t.join(v, "session_id").groupBy("owner").agg(F.count("*").alias("answers"), F.count_if(F.col("owner") != F.col("other")).alias("leaked"))
