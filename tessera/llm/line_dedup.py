@@ -127,7 +127,8 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) ->
     busy = flat.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == -1, 1)).alias("indexed")).where("n > 1 and indexed > 0")
     busy = materialize(busy.select("key", "n"), "busy")
     meet = materialize(flat.join(_small(busy), "key"), "meet")
-    pairs = _pairs(meet.where(F.col("n") <= cap))
+    # Each level's pairs are written at once: one plan of all levels would grow with their number.
+    parts = [materialize(_pairs(meet.where(F.col("n") <= cap)), "pairs")]
 
     # Keys that too many lines share: partition again what the shared segment leaves.
     hot = meet.where(F.col("n") > cap)
@@ -142,7 +143,7 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) ->
         for _ in range(MAX_LEVELS):
             level = materialize(level, "level")
             left = F.length("rest") - F.greatest(F.col("role"), F.lit(0))  # of the indexed lines
-            pairs = pairs.union(_pairs(level.where(left <= threshold).withColumnRenamed("parent", "key")))
+            ended = level.where(left <= threshold).select(F.col("parent").alias("key"), "ord", "role")
             open_ = level.where(left > threshold)
             own = _signatures(threshold, "rest", F.col("parent"), [(True, 0), (False, 0)])
             roles = own
@@ -153,12 +154,16 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) ->
             cut = open_.select("ord", "rest", F.explode(roles).alias("s")).select("ord", F.col("s.role").cast("byte").alias("role"), F.col("s.key").alias("key"), _rest("rest", "s").alias("rest"))
             count = cut.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == -1, 1)).alias("indexed")).where("n > 1 and indexed > 0")
             known = materialize(cut.join(count.select("key", "n"), "key"), "known")
-            pairs = pairs.union(_pairs(known.where(F.col("n") <= cap)))
+            few = known.where(F.col("n") <= cap).select("key", "ord", F.col("role").cast("int").alias("role"))
+            parts.append(materialize(_pairs(few.union(ended)), "pairs"))
             level = known.where(F.col("n") > cap).select("ord", F.col("key").alias("parent"), F.col("role").cast("int").alias("role"), "rest")
             if level.isEmpty():
                 break
 
-    pairs = materialize(pairs.distinct(), "pairs")
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.union(part)
+    pairs = materialize(pairs.distinct(), "pairs") if len(parts) > 1 else pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct().select("o.doc", "o.line")
     spelled = materialize(lines.join(_small(materialize(ends, "ends")), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]).select(F.struct("doc", "line").alias("o"), "text"), "spelled")
     both = pairs.join(spelled.select(F.col("o").alias("a"), F.col("text").alias("ta")), "a").join(spelled.select(F.col("o").alias("b"), F.col("text").alias("tb")), "b")
