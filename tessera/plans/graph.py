@@ -101,18 +101,18 @@ def catalog_edges(spark, sf_dir):
 
 
 @query(
-    """SELECT l_returnflag AS label, CAST(l_suppkey AS VARCHAR) AS key, arg_min(l_quantity, l_orderkey*10+l_linenumber) AS weight, arg_min(l_shipdate, l_orderkey*10+l_linenumber) AS created_at, arg_max(l_linestatus, l_orderkey*10+l_linenumber) AS name FROM lineitem GROUP BY 1,2""",
+    """SELECT l_returnflag AS label, CAST(l_suppkey AS VARCHAR) AS key, arg_min(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, l_linestatus)) AS weight, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, l_linestatus)) AS created_at, arg_max(l_linestatus, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, l_linestatus)) AS name FROM lineitem GROUP BY 1,2""",
 )
 def vertex_merge(spark, sf_dir):
     li = A.read(spark, sf_dir, "lineitem")
-    rows = li.select(F.col("l_returnflag").alias("label"), F.col("l_suppkey").cast("string").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("weight"), F.col("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("name"))
+    rows = li.select(F.col("l_returnflag").alias("label"), F.col("l_suppkey").cast("string").alias("key"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate", "l_linestatus").alias("seq"), F.col("l_quantity").alias("weight"), F.col("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("name"))
     return G.merge_vertices(rows)
 
 
-@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS label, count(*) AS weight, arg_max(l_returnflag, l_orderkey*10+l_linenumber) AS flag FROM lineitem GROUP BY 1,2")
+@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS label, count(*) AS weight, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_returnflag)) AS flag FROM lineitem GROUP BY 1,2")
 def edge_merge(spark, sf_dir):
     li = A.read(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SUPPLIES").alias("label")).agg(F.count("*").alias("weight"), F.max_by("l_returnflag", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("flag"))
+    return li.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SUPPLIES").alias("label")).agg(F.count("*").alias("weight"), F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("flag"))
 
 
 @query(
