@@ -265,3 +265,16 @@ def about_links(spark, sf_dir):
     return got.select(F.col("id").alias("turn"), F.col("other").alias("concept"), F.round(F.round("cosine", 9), 6).alias("cosine"))
 
 
+
+
+@query()
+def hybrid_retrieval(spark, sf_dir):
+    """Queries are every fiftieth vector; claims are order lines, vectors theirs by id."""
+    from tessera.operators.hybrid import retrieve
+
+    v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
+    claims = A.edges(spark, sf_dir).dropDuplicates(["claim_id"])
+    vectors = claims.select("claim_id", (F.col("claim_id") % v.count()).alias("k")).join(v.select(F.col("id").alias("k"), "v"), "k").select(F.col("claim_id").alias("id"), "v")
+    queries = v.where("id % 50 = 0").withColumn("id", -1 - F.col("id"))
+    linked = queries.select(F.col("id").alias("query"), F.concat(F.lit("c"), -F.col("id")).alias("entity"))
+    return retrieve(queries, vectors, claims, linked)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -154,3 +156,29 @@ def reception(spark, sf_dir):
     t = A.turns(spark, sf_dir).where("role = 'user' and trim(content) <> ''")
     n = X.extract(t, "id", "content", lambda s: [(len(X.segments(s)), len(X.assertions(s)), len(X.self_assertions(s)))], "segments int, claims int, self_claims int")
     return t.join(n, "id").select("id", "segments", "claims", "self_claims", F.size(X.alias_equations(F.col("content"))).alias("aliases"), X.repair(F.col("content")).alias("verdict"))
+
+
+@query()
+def model_eligibility(spark, sf_dir):
+    """Turns that go to the model: long enough, no near copy of the session's last twenty."""
+    w = Window.partitionBy("owner", "session_id").orderBy("ts", "id").rowsBetween(-20, -1)
+    t = A.turns(spark, sf_dir).select("id", "content", F.collect_list("content").over(w).alias("recent"))
+
+    @F.pandas_udf("boolean")
+    def check(content: pd.Series, recent: pd.Series) -> pd.Series:
+        return pd.Series([X.eligible(c, list(r)) for c, r in zip(content, recent, strict=True)])
+
+    return t.select("id", check("content", "recent").alias("eligible"))
+
+
+@query()
+def typed_relations(spark, sf_dir):
+    names = [r.n_name for r in A.read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
+    n = A.read(spark, sf_dir, "nation")
+    said = n.select("n_nationkey", F.concat("n_name", F.lit(" depends on "), F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")), F.lit(".")).alias("t"))
+    return X.extract(said, "n_nationkey", "t", lambda s: X.typed_relations(s, names), "subject string, relation string, object string")
+
+
+@query()
+def grounded_claims(spark, sf_dir):
+    return X.extract(A.docs(spark, sf_dir), "doc_id", "text", lambda s: X.grounded([c[:3] for c in X.assertions(s)], s), "subject string, verb string, object string")
