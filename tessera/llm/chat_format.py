@@ -33,6 +33,7 @@ class Mapping:
     role that starts with ``$`` is a path. A turn with a null text is left out if
     ``optional``.
     ``each``: for message layouts, (path of the array, field of the role, field of the text).
+    ``rename``: whether ROLE_NAMES apply; the canonical layout's roles stay as they are.
     """
 
     name: str
@@ -40,13 +41,14 @@ class Mapping:
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
     optional: bool = True
+    rename: bool = True
 
 
 #: Roles that other layouts use for the canonical ones.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 MAPPINGS = (
-    Mapping("turn", '{"role": "", "text": ""}', turns=(("$.role", "$.text"),), optional=False),
+    Mapping("turn", '{"role": "", "text": ""}', turns=(("$.role", "$.text"),), optional=False, rename=False),
     Mapping("prompt", '{"prompt": "", "completion": ""}', turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping("prompt_response", '{"prompt": "", "response": ""}', turns=(("user", "$.prompt"), ("assistant", "$.response"))),
     Mapping("question", '{"question": "", "answer": ""}', turns=(("user", "$.question"), ("assistant", "$.answer"))),
@@ -81,18 +83,19 @@ def _text(record: Column, path: str) -> Column:
     return F.try_variant_get(record, path, "string")
 
 
-def _turn(role: Column, text: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    return F.struct(F.coalesce(names[role], role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _turn(role: Column, text: Column, rename: bool) -> Column:
+    if rename:
+        role = F.coalesce(F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])[role], role)
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _mapped(record: Column, m: Mapping) -> Column:
     flat = [(F.lit(r) if not r.startswith("$") else _text(record, r), _text(record, t)) for r, t in m.turns]
-    out = F.array(*[_turn(r, t) for r, t in flat]) if not m.optional else F.filter(F.array(*[F.when(t.isNotNull(), _turn(r, t)) for r, t in flat]), lambda x: x.isNotNull())
+    out = F.array(*[_turn(r, t, m.rename) for r, t in flat]) if not m.optional else F.filter(F.array(*[F.when(t.isNotNull(), _turn(r, t, m.rename)) for r, t in flat]), lambda x: x.isNotNull())
     if m.each:
         path, role, text = m.each
         items = F.try_variant_get(record, path, "array<variant>")
-        listed = F.transform(F.coalesce(items, F.expr("cast(array() as array<variant>)")), lambda x: _turn(_text(x, f"$.{role}"), _text(x, f"$.{text}")))
+        listed = F.transform(F.coalesce(items, F.expr("cast(array() as array<variant>)")), lambda x: _turn(_text(x, f"$.{role}"), _text(x, f"$.{text}"), m.rename))
         out = F.concat(out, listed) if m.turns else listed
     return out
 

@@ -68,4 +68,23 @@ def op10_html_extraction(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_source_mixing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_html_extraction)}
-ORACLE_SQL: dict[str, str] = {}
+#: Templates, hashes and edit distances that DuckDB has too; the other results need tokenizers, XXH64 or trees.
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        e AS (SELECT *, length(trim(line)) >= 20 AS counts FROM l),
+        f AS (SELECT line, min((doc_id, n)) AS ord, length(line) AS size FROM e WHERE counts GROUP BY 1),
+        near AS (SELECT DISTINCT b.ord FROM f a JOIN f b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.ord < b.ord WHERE levenshtein(a.line, b.line) <= 1),
+        m AS (SELECT e.*, CASE WHEN NOT counts THEN 0 WHEN f.ord <> (e.doc_id, e.n) THEN 1 WHEN near.ord IS NOT NULL THEN 2 ELSE 0 END AS mark
+              FROM e LEFT JOIN f ON f.line = e.line AND e.counts LEFT JOIN near ON near.ord = f.ord)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE mark = 0), '') AS text, count(*) AS n_lines,
+               count(*) FILTER (WHERE mark = 1) AS n_exact, count(*) FILTER (WHERE mark = 2) AS n_near FROM m GROUP BY 1""",
+    "op6_chat_formatting": """
+        WITH h AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
+        c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', t FROM h UNION ALL SELECT -1, 1, 'assistant', t FROM h)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY 1""",
+}
