@@ -31,17 +31,20 @@ def parse_vector(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None = None, blocks: int = 8, undirected: bool = False) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None = None, blocks: int = 8, left_blocks: int | None = None, group: str | None = None, undirected: bool = False) -> DataFrame:
     """(id, other, cosine) of ids of ``left`` and ``right`` (id long, v array<double>), at ``floor`` or above.
 
-    Both sides are cut into ``blocks`` blocks; each pair of blocks is one task with a matrix
-    product, so a task holds two blocks, never a whole side: raise ``blocks`` with the rows.
-    ``top``: keep a row's best within each pair of blocks before the exchange; ties by id.
-    Vectors of zero norm have no cosine and pair with nothing.
+    The sides are cut into ``left_blocks`` (as many as ``blocks`` by default) and ``blocks`` blocks; each
+    pair of blocks is one task with a matrix product, so a task holds two blocks, never a side:
+    raise the numbers with the rows. A side is copied as often as the other has blocks, so a
+    batch of queries takes one left block. ``group``: a column of both sides within which
+    pairs are made. ``top``: keep a row's best within each pair of blocks before the exchange;
+    ties by id. Vectors of zero norm have no cosine and pair with nothing.
     """
-    n = F.lit(blocks)
-    a = left.select("id", "v", F.pmod(F.xxhash64("id"), n).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("side", F.lit(0))
-    b = right.select("id", "v", F.pmod(F.xxhash64("id"), n).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("side", F.lit(1))
+    rows, columns = F.lit(left_blocks or blocks), F.lit(blocks)
+    within = [F.col(group).alias("g")] if group else [F.lit(0).alias("g")]
+    a = left.select("id", "v", *within, F.pmod(F.xxhash64("id"), rows).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), columns - 1))).withColumn("side", F.lit(0))
+    b = right.select("id", "v", *within, F.pmod(F.xxhash64("id"), columns).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("side", F.lit(1))
     if undirected:
         a, b = a.where("a <= b"), b.where("a <= b")
 
@@ -57,7 +60,7 @@ def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None
         ids, others = x.id.to_numpy(), y.id.to_numpy()
         keep = (c >= floor) & (ids[:, None] != others[None, :])
         if undirected:
-            keep &= (ids[:, None] < others[None, :]) | (key[0] != key[1])
+            keep &= (ids[:, None] < others[None, :]) | (key[1] != key[2])
         if top is not None and c.shape[1] > top:
             # Stable order: the cosine downwards, then the id; others are sorted already.
             rank = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, : top + 1]
@@ -67,7 +70,7 @@ def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None
         i, j = np.nonzero(keep)
         return pd.DataFrame({"id": ids[i], "other": others[j], "cosine": c[i, j]})
 
-    return a.unionByName(b).groupBy("a", "b").applyInPandas(product, "id long, other long, cosine double")
+    return a.unionByName(b).groupBy("g", "a", "b").applyInPandas(product, "id long, other long, cosine double")
 
 
 def hash_embedding(dim: int = 64):

@@ -27,9 +27,13 @@ def three_arm_search(arms: dict[str, DataFrame], query: list[float], k: int = C.
     return out.orderBy(F.desc("similarity"), "src", "id").limit(k)
 
 
-def batch_search(queries: DataFrame, rows: DataFrame, k: int, floor: float = -1.0, blocks: int = 8) -> DataFrame:
-    """(id, other, cosine, rank): the k nearest rows of each query by block products."""
-    pairs = block_pairs(queries, rows, floor, top=k, blocks=blocks)
+def batch_search(queries: DataFrame, rows: DataFrame, k: int, floor: float = -1.0, blocks: int = 8, left_blocks: int = 1, group: str | None = None) -> DataFrame:
+    """(id, other, cosine, rank): the k nearest rows of each query by block products.
+
+    One block of queries by default: the rows are then not copied. More queries than a task
+    holds need more ``left_blocks``.
+    """
+    pairs = block_pairs(queries, rows, floor, top=k, blocks=blocks, left_blocks=left_blocks, group=group)
     order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -73,12 +73,8 @@ def entity_link_vector(spark, sf_dir):
     ("turn_vec",),
 )
 def ghost_knn(spark, sf_dir):
-    v = A.turn_vec(spark, sf_dir)
-    out = None
-    for owner in ("o0", "o1", "o2", "o3"):
-        mine = v.where(F.col("owner") == owner).select("id", F.col("embedding").alias("v"))
-        part = search.batch_search(mine, mine, 5, 0.2, blocks=4)
-        out = part if out is None else out.unionByName(part)
+    v = A.turn_vec(spark, sf_dir).select("id", "owner", F.col("embedding").alias("v"))
+    out = search.batch_search(v, v, 5, 0.2, blocks=4, left_blocks=4, group="owner")
     return out.select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
