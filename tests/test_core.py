@@ -291,3 +291,34 @@ def test_entry_has_a_stable_schema(spark):
         assert e.entry(spark).count() > 0
 
 
+
+
+# --- models and keys
+def test_model_claims_validate_strictly(spark):
+    from tessera.sources import models
+
+    good = '{"claims": [{"subject": "a", "verb": "is", "object": "b", "polarity": "positive"}]}'
+    answers = {"x": good, "y": '{"claims": [{"subject": "a"}]}', "z": "no json", "": '{"claims": []}'}
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None)], "id long, content string")
+    got = models.model_claims(rows, lambda texts: [answers[t] for t in texts]).collect()
+    assert sorted((r.id, r.object, r.error is None) for r in got) == [(1, "b", True), (2, None, False), (3, None, False)]
+
+
+def test_query_keys(spark):
+    from tessera.sources import models
+
+    rows = spark.createDataFrame([("q", [1, 2], 3.0), ("q", [2], 4.0), (None, [], 1.0)], "query string, ids array<long>, latency_ms double")
+    got = models.shadow_rows(rows, b"k").collect()
+    assert got[0].query_key == got[1].query_key != got[2].query_key
+    assert len(got[0].query_key) == 16
+    assert got[0].ids == "[1,2]"
+
+
+def test_embeddings_are_deterministic_and_null_for_blanks(spark):
+    from tessera.functions.vectors import hash_embedding
+
+    rows = spark.createDataFrame([("a b",), ("a b",), (" ",), (None,)], "t string").coalesce(1)
+    got = [r[0] for r in rows.select(hash_embedding(8)("t")).collect()]
+    assert got[0] == got[1] is not None
+    assert got[2] is None
+    assert got[3] is None
