@@ -152,13 +152,16 @@ def mmr(spark, sf_dir):
     """WITH n AS (SELECT s_suppkey AS id, regexp_replace(lower(s_name),'[^a-z0-9]+',' ','g') AS w FROM supplier),
     m AS (SELECT DISTINCT id, substr('  '||t||' ', i, 3) AS g FROM (SELECT id, unnest(string_split(w,' ')) AS t FROM n) x, range(1, 40) r(i) WHERE t<>'' AND i<=length(t)+1),
     z AS (SELECT id, count(*) AS c FROM m GROUP BY 1),
-    p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM m a JOIN m b ON a.g=b.g GROUP BY 1,2)
-    SELECT a AS term_id, b AS entity_id, round(k/CAST(x.c+y.c-k AS DOUBLE),6) AS similarity FROM p JOIN z x ON x.id=a JOIN z y ON y.id=b WHERE round(k/CAST(x.c+y.c-k AS DOUBLE),6)>=0.6""",
+    p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM m a JOIN m b ON a.g=b.g GROUP BY 1,2),
+    s AS (SELECT a AS term_id, b AS entity_id, round(k/CAST(x.c+y.c-k AS DOUBLE),6) AS similarity FROM p JOIN z x ON x.id=a JOIN z y ON y.id=b)
+    SELECT term_id, entity_id, similarity FROM s WHERE similarity>=0.6 QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY similarity DESC, entity_id)<=20""",
 )
 def entity_link_trigram(spark, sf_dir):
     s = A.read(spark, sf_dir, "supplier")
     linked = search.trigram_links(s.select(F.col("s_name").alias("term")), s.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")))
-    return linked.join(s.select(F.col("s_name").alias("term"), F.col("s_suppkey").alias("term_id")), "term").select("term_id", "entity_id", "similarity")
+    rank = F.row_number().over(Window.partitionBy("term_id").orderBy(F.desc("similarity"), "entity_id"))
+    named = linked.join(s.select(F.col("s_name").alias("term"), F.col("s_suppkey").alias("term_id")), "term")
+    return named.withColumn("rank", rank).where(F.col("rank") <= C.LINK_LIMIT).select("term_id", "entity_id", "similarity")
 
 
 @query(
