@@ -1,9 +1,11 @@
 """Operator 10, HTML extraction by site template removal.
 
-A page is parsed into a tree. Every element subtree outside the marked article gets a
-hash of its tags, classes and texts; Spark counts on how many pages of a host each hash
-occurs. Subtrees that recur on many pages of their host are template and are deleted.
-What a host shows on too few pages to recur is told by element and class: navigation,
+A page is parsed into a tree. Every element subtree, within the marked article too, gets
+a hash of its tags, classes and texts; Spark counts on how many pages of a host each hash
+occurs. Subtrees that recur on pages of their host are template and are deleted. Within an
+article equal articles count once, and an article most of which recurs (a near copy)
+counts for nothing, so that copies of a text don't make it template.
+What changes from page to page is told by element and class on every host: navigation,
 headers, footers, asides, forms, adverts, notices, comments.
 """
 
@@ -11,18 +13,22 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, materialize
 
-#: A subtree is template if it occurs on so many pages of its host, and on this share of them.
+#: A subtree is template if it occurs on so many pages of its host.
 MIN_PAGES = 5
+#: Texts of fewer characters recur by chance, the more the larger the host: they need this share of its pages.
+SHORT = 20
 MIN_SHARE = 0.10
+#: Low bits of a subtree's hash.
+LONG, INSIDE = 1, 2
 #: Template subtrees that may be broadcast; beyond it pages and their subtrees are joined by shuffle.
 BROADCAST_SUBTREES = 200_000
 
@@ -124,12 +130,15 @@ def parse(page: str) -> Node:
     return top
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
-    """The text blocks of a page in order, and the hashes of its subtrees outside the article.
+def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], list[int], int | None]:
+    """The text blocks of a page in order, the hashes of the subtrees that hold them, those of
+    the subtrees beside an article, and a hash of the articles.
 
-    A block is (text, hashes of the subtrees it lies in, whether an element or class marks
-    it as no main text). Blocks outside the article are marked if the page has an article
-    with text. Without recursion, so that deep nesting is no trouble.
+    A block is (text, places in the hashes of the subtrees that hold all of it). Blocks that
+    an element or class marks as no main text are left out, and so are those outside the
+    article if the page has an article with text. Within an article only subtrees of the
+    article count: what surrounds it would fall with each copy of it. The last hash is None
+    without such an article. Without recursion, so that deep nesting is no trouble.
     """
     top = parse(page or "")
     found: list[list] = []
@@ -138,51 +147,93 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[in
     def put(text: str, path: tuple[Node, ...], node: Node, dropped: bool) -> None:
         if state["open"]:
             found[-1][0].append(text)
+            if text.strip():
+                # A subtree that holds a part of the block alone can't delete it.
+                held = found[-1][1]
+                found[-1][1] = path if held is None else held[: next((i for i, (x, y) in enumerate(zip(held, path, strict=False)) if x is not y), min(len(held), len(path)))]
         else:
-            found.append([[text], path, dropped, node.inside])
+            found.append([[text], path if text.strip() else None, dropped, node.inside])
             state["open"] = True
 
     digests: dict[int, int] = {}
-    stack: list = [(top, 0, (), False, [])]
+    articles: list[str] = []
+    stack: list = [(top, 0, (), False, [], [0])]
     while stack:
-        node, k, path, dropped, parts = stack.pop()
+        node, k, path, dropped, parts, size = stack.pop()
         if k < len(node.children):
-            stack.append((node, k + 1, path, dropped, parts))
+            stack.append((node, k + 1, path, dropped, parts, size))
             child = node.children[k]
             if isinstance(child, str):
                 text = html.unescape(child)
                 parts.append(text)
+                size[0] += len(text.strip())
                 put(text, path, node, dropped)
             else:
                 if child.name in BLOCKS:
                     state["open"] = False
-                stack.append((child, 0, (*path, child) if not child.inside else path, dropped or child.dropped, []))
+                stack.append((child, 0, (*path, child), dropped or child.dropped, [], [0]))
         else:
             if node.name in BLOCKS:
                 state["open"] = False
             digest = xxhash.xxh64_intdigest("\x00".join([node.name, node.marks, *parts]).encode("utf-8", "surrogatepass"))
-            digests[id(node)] = digest - (digest >> 63 << 64)
+            flagged = digest & ~(LONG | INSIDE) | (LONG if size[0] >= SHORT else 0) | (INSIDE if node.inside else 0)
+            digests[id(node)] = _signed(flagged)
+            if node.name in CONTENT and not node.parent.inside:
+                articles.append(f"{digest}")
             if stack:
                 stack[-1][4].append(f"\x01{digest}")
-    out, hashes = [], {}
+                stack[-1][5][0] += size[0]
+    out = []
     for texts, path, dropped, inside in found:
         text = _SPACE.sub(" ", "".join(texts)).strip()
         if text:
-            marks = [digests[id(n)] for n in path if n.name not in ("html", "body")]
-            hashes.update(dict.fromkeys(marks))
+            marks = [digests[id(n)] for n in path if n.inside == inside and n.name not in ("html", "body") and n.name not in CONTENT]
             out.append((text, marks, dropped, inside))
     article = any(inside and not dropped for _, _, dropped, inside in out)
-    return [(t, m, d or (article and not inside)) for t, m, d, inside in out], list(hashes)
+    places: dict[int, int] = {}
+    beside: dict[int, None] = {}
+    kept = []
+    for text, marks, dropped, inside in out:
+        if inside == article:
+            at = [places.setdefault(m, len(places)) for m in marks]
+            if not dropped:
+                kept.append((text, at))
+        elif article:
+            beside.update(dict.fromkeys(marks))
+    own = _signed(xxhash.xxh64_intdigest(" ".join([*articles, "", *map(str, places)]))) if article else None
+    return kept, list(places), list(beside), own
+
+
+def _signed(digest: int) -> int:
+    return digest - (digest >> 63 << 64)
+
+
+def _recurring(rows: DataFrame, key: str, subtrees: DataFrame) -> DataFrame:
+    """``rows`` (host, key, hashes, ...) with ``known``: hashes in ``subtrees`` (host, hash), the row's own ones at least."""
+    if subtrees.count() <= BROADCAST_SUBTREES:
+        # The pages' texts stay where they are.
+        of_host = subtrees.groupBy("host").agg(F.collect_set("hash").alias("known"))
+        return rows.join(F.broadcast(of_host), "host", "left")
+    met = rows.select("host", key, F.explode("hashes").alias("hash")).join(subtrees, ["host", "hash"]).groupBy("host", key).agg(F.collect_set("hash").alias("known"))
+    return rows.join(met, ["host", key], "left")
+
+
+def _split(use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``use`` of a test whether a block lies in a subtree of ``known``; null if the row has none of them."""
+    # Bound by a transform, as the overlap would else be made anew for each block.
+    cut = F.filter(F.array(F.array_intersect("hashes", "known")), lambda c: F.size(c) > 0)
+    return F.get(F.transform(cut, lambda c: use(lambda b: F.exists(b["marks"], lambda m: F.array_contains(c, F.get("hashes", m))))), F.lit(0))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every row.
 
-    Null and empty pages have an empty text. A page without an article keeps all blocks
-    that neither recur on their host nor are marked as something else. Pages without a
-    host in their url form one host. Copies of a page count once, so that an often copied
-    page isn't taken for a template; rows that repeat give a row each. Other columns
-    aren't read.
+    Null and empty pages have an empty text. An article, or a page without one, keeps
+    all blocks that neither recur on their host nor are marked as something else. Pages
+    without a host in their url form one host. Copies of a page or article count once, so
+    that an often copied one isn't taken for a template; rows that repeat give a row each.
+    ``min_share`` holds for short texts, and tells outside articles what is template
+    without regard to what else its pages show. Other columns aren't read.
     """
     arrow_limits(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col].cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
@@ -190,35 +241,43 @@ def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", ht
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("dropped", pa.bool_())]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int32()))]))
         for batch in batches:
-            keys, rows, hashes = [], [], []
+            keys, rows, hashes, others, articles = [], [], [], [], []
             for page in batch.column("html"):
                 page = page.as_py()
-                key = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
-                found, own = blocks(page)
-                keys.append(key - (key >> 63 << 64))
-                rows.append([{"text": t, "marks": m, "dropped": d} for t, m, d in found])
+                found, own, beside, article = blocks(page)
+                keys.append(_signed(xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))))
+                rows.append([{"text": t, "marks": m} for t, m in found])
                 hashes.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), pa.array(keys, pa.int64()), pa.array(rows, block), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "url", "host", "page", "blocks", "hashes"])
+                others.append(beside)
+                articles.append(article)
+            arrays = [pa.array(keys, pa.int64()), pa.array(articles, pa.int64()), pa.array(rows, block), pa.array(hashes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), *arrays], names=["id", "url", "host", "page", "article", "blocks", "hashes", "beside"])
 
-    schema = f"id {kinds['id']}, url {kinds['url']}, host string, page long, blocks array<struct<text:string,marks:array<long>,dropped:boolean>>, hashes array<long>"
+    schema = f"id {kinds['id']}, url {kinds['url']}, host string, page long, article long, blocks array<struct<text:string,marks:array<int>>>, hashes array<long>, beside array<long>"
     parsed = materialize(slim.mapInArrow(each, schema), "parsed")
 
-    # Distinct pages of each host by subtree; copies of a page are folded before counting.
-    distinct = materialize(parsed.select("host", "page", "hashes").groupBy("host", "page").agg(F.first("hashes").alias("hashes")), "subtrees")
-    size = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = distinct.select("host", "page", F.explode("hashes").alias("hash"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = materialize(counts.join(size, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash"), "template")
-    slim = parsed.select("id", "url", "host", "page", "blocks")
-    if template.count() <= BROADCAST_SUBTREES:
-        # At most (subtrees of a page) / min_share of a host: the pages' texts stay where they are.
-        joined = slim.join(F.broadcast(template.groupBy("host").agg(F.collect_set("hash").alias("template"))), "host", "left")
-    else:
-        deleted = seen.join(template, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
-        joined = slim.join(deleted, ["host", "page"], "left")
-    none = F.expr("cast(array() as array<bigint>)")
-    stays = F.filter("blocks", lambda b: ~b["dropped"] & ~F.arrays_overlap(b["marks"], F.coalesce("template", none)))
+    # Distinct pages and distinct articles of each host by subtree: copies are folded before counting.
+    inside = F.col("hash").bitwiseAND(INSIDE) != 0
+    shape = F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("chars"), b["marks"].alias("marks")))
+    main = F.struct(F.coalesce("article", "page").alias("key"), F.col("article").isNotNull().alias("inside"), "hashes", shape.alias("shape"))
+    rest = F.when(F.col("article").isNotNull(), F.struct(F.col("page").alias("key"), F.lit(False).alias("inside"), F.col("beside").alias("hashes"), F.slice(shape, 1, 0).alias("shape")))
+    units = parsed.select("host", F.explode(F.filter(F.array(main, rest), lambda u: u.isNotNull())).alias("u")).select("host", "u.*")
+    units = units.groupBy("host", "key", "inside").agg(F.first("hashes").alias("hashes"), F.first("shape").alias("shape"))
+    units = materialize(units, "subtrees")
+    size = units.where("not inside").groupBy("host").agg(F.count("*").alias("pages"))
+    counts = units.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    wide = F.col("n") >= F.col("pages") * min_share
+    counts = counts.join(size, "host").select("host", "hash", wide.alias("wide")).where(F.col("wide") | (F.col("hash").bitwiseAND(LONG) != 0))
+    counts = materialize(counts.select("host", "hash", (F.col("wide") & ~inside).alias("sure")), "counts")
+    open_ = counts.where("not sure").select("host", "hash")
+    # A page of whose text more recurs in this way than not is a near copy, and no witness.
+    fresh = _split(lambda is_cut: F.aggregate("shape", F.lit(0).cast("long"), lambda a, b: a + F.when(is_cut(b), -b["chars"]).otherwise(b["chars"])))
+    seen = _recurring(units, "key", open_).where(fresh >= 0).select("host", F.explode(F.array_intersect("hashes", "known")).alias("hash"))
+    borne = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
+    template = materialize(borne.union(counts.where("sure").select("host", "hash")), "template")
+    joined = _recurring(parsed.select("id", "url", "host", "page", "blocks", "hashes"), "page", template)
+    stays = F.coalesce(_split(lambda is_cut: F.filter("blocks", lambda b: ~is_cut(b))), "blocks")
     text = F.array_join(F.transform(stays, lambda b: b["text"]), "\n\n")
     return joined.select(F.col("id").alias(page_id), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

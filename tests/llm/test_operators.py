@@ -442,6 +442,31 @@ def test_html_site_templates_are_deleted(spark, monkeypatch, few):
     assert all(got[100 + i] == "Same copied story" for i in range(20))
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_html_recurrence_decides_within_articles(spark, monkeypatch, few):
+    monkeypatch.setattr(html_extract, "BROADCAST_SUBTREES", few)
+    rng = random.Random(5)
+    advert = "<div class='x7'><p>Try our weekly box of fresh fruit today</p></div>"
+    lead = "<p><b>From our own correspondent abroad:</b> {}</p>"
+    stories = [[prose(rng, 30) for _ in range(4)] for _ in range(70)]
+    rows, want = [], {}
+    for i, s in enumerate(stories):
+        # The advert stands on 6 of 70 articles: less than any share of a large host.
+        rows.append((i, page("<article>" + "".join(f"<p>{x}</p>" for x in s[:3]) + (advert if i < 6 else "") + lead.format(s[3]) + "<p>Is.</p>" * (i % 12 == 0) + "</article>")))
+        want[i] = "\n\n".join([*s[:3], f"From our own correspondent abroad: {s[3]}", *["Is."] * (i % 12 == 0)])
+    # Copies of an article under other navigation, and near copies of another.
+    copied, near = [prose(rng, 30) for _ in range(4)], [prose(rng, 30) for _ in range(8)]
+    for i in range(20):
+        rows.append((100 + i, page(f"<nav>n{i}</nav><div><article>" + "".join(f"<p>{x}</p>" for x in copied) + "</article></div>")))
+        want[100 + i] = "\n\n".join(copied)
+        own = [*near[:7], prose(rng, 30)]
+        rows.append((200 + i, page("<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>")))
+        want[200 + i] = "\n\n".join(own)
+    df = spark.createDataFrame([(i, "https://site.example/a", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == want
+
+
 # --- empty tables and the pipeline
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, source string")
