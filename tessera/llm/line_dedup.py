@@ -23,7 +23,6 @@ from tessera.llm.common import materialize
 THRESHOLD = 1
 MIN_CHARS = 20
 CAP = 24
-MAX_LEVELS = 24
 #: Keys or line numbers (some tens of bytes each) that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -140,7 +139,7 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) ->
         hot_keys = hot.select("key").distinct()
         level = whole_cut.join(hot_keys, whole_cut.s.key == hot_keys.key, "left_semi")
         level = level.select("ord", F.col("s.key").alias("parent"), F.col("s.role").cast("int").alias("role"), _rest("text", "s").alias("rest"))
-        for _ in range(MAX_LEVELS):
+        while True:  # each level cuts a segment of a character or more from every rest
             level = materialize(level, "level")
             left = F.length("rest") - F.greatest(F.col("role"), F.lit(0))  # of the indexed lines
             ended = level.where(left <= threshold).select(F.col("parent").alias("key"), "ord", "role")

@@ -200,6 +200,19 @@ def test_line_dedup_finds_every_near_line(spark):
     assert sum(w[2] for w in want.values()) > 20
 
 
+def test_line_dedup_recurses_until_groups_are_small(spark, monkeypatch):
+    # No fixed number of levels ends the recursion.
+    monkeypatch.setattr(line_dedup, "MAX_LEVELS", 1, raising=False)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghij") for _ in range(64))
+    lines = [base[:40] + "".join(rng.choice("klmnopqrst") for _ in range(8)) + base[48:] for _ in range(12)]
+    lines += [x[:44] + "#" + x[45:] for x in lines[:6]]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "doc int, line int, text string")
+    near = {r.line for r in line_dedup.near_lines(df, 1, cap=2)[1].collect()}
+    assert near == {i for i in range(len(lines)) if any(edits_within_one(lines[j], lines[i]) for j in range(i))}
+    assert set(range(12, 18)) <= near
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_bit_parallel_edit_distance(spark, threshold):
     rng = random.Random(threshold)
