@@ -1,14 +1,17 @@
 """Operator 9, benchmark decontamination by SimHash windows.
 
-Windows of a document as long as a benchmark item, at every place where one of the
-item's shingles lies as it does in the item, get a SimHash fingerprint. Item
-fingerprints are indexed by eight bytes, each with all bytes within two bits: two
-fingerprints within ``RADIUS`` bits have such a byte in common, so the index misses
-none. Candidates within the radius are verified by exact weighted-shingle similarity.
-
-Windows that share too few shingles with an item for the similarity can't pass the
-verification, so leaving out their fingerprints loses nothing. All steps are built-in
-DataFrame expressions; the shingle hashes of all positions run in generated code.
+Every window of a document that has as many words as a benchmark item and can be similar
+to any item gets a SimHash fingerprint of 128 bits. Item fingerprints are indexed by
+eight blocks of 16 bits: two fingerprints within ``RADIUS`` bits differ by three bits at
+most in one of them, so items enter each block with all values within two bits, windows
+probe it with all values within one, and no fingerprint within the radius is missed.
+Candidates within the radius are verified by exact weighted-shingle similarity.
+
+Which windows can be similar to any item: at a similarity s two windows of m shingles
+share at least 2 s m / (1 + s) of them, so that many shingles of the window occur in some
+item, wherever they lie in it. That bound leaves out windows but names no item; the
+fingerprints alone find the items. All steps are built-in DataFrame expressions; the
+shingle hashes of all positions run in generated code.
 """
 
 from __future__ import annotations
@@ -20,11 +23,17 @@ from tessera.llm.common import WORD, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Eight bytes that all differ by three bits or more make 24, so up to 23 one differs by two at most.
-RADIUS = 23
-#: Item shingles that may be broadcast; beyond it the join shuffles.
-BROADCAST_SHINGLES = 1_000_000
+BLOCKS, BLOCK_BITS = 8, 16
+#: Bits by which an item's entries and a window's probes differ from its own block at most.
+ITEM_BITS, WINDOW_BITS = 2, 1
+#: Beyond it every block may differ by more bits than entries and probes bridge.
+RADIUS = BLOCKS * (ITEM_BITS + WINDOW_BITS + 1) - 1
+#: Rows that may be broadcast: shingle hashes (8 bytes), index entries (some 50), documents with item shingles (24).
+BROADCAST_SHINGLES = 2_000_000
+BROADCAST_ENTRIES = 500_000
+BROADCAST_DOCS = 500_000
 _DROPPED = ".,;:!?\"'()[]"
+_LANES = (1 << 32) + 1
 
 
 def normal_words(text: Column) -> Column:
@@ -33,31 +42,61 @@ def normal_words(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(f"({WORD})"), F.lit(1))
 
 
-def _shingles(words: str, size: int = SHINGLE) -> Column:
-    """The word shingles of an array column, repeats included; a shorter sequence is one shingle."""
-    last = f"greatest(0, size({words}) - {size})"
-    return F.expr(f"transform(sequence(0, {last}), i -> array_join(slice({words}, i + 1, {size}), ' '))")
+def _chain(words: str, at: Column, size: int) -> Column:
+    """Hash of the ``size`` words from ``at`` on."""
+    return F.xxhash64(*[F.get(F.col(words), at + k) for k in range(size)])
 
 
-def simhash(shingles: str) -> Column:
-    """64 bits: bit b is set if over half of the shingles' hashes have it."""
-    count = "aggregate(_h, 0, (a, x) -> a + cast(shiftrightunsigned(x, b) & 1L as int))"
-    bits = f"aggregate(sequence(0, 63), 0L, (v, b) -> v | if(2 * {count} > size(_h), shiftleft(1L, b), 0L))"
-    return F.expr(f"element_at(transform(array(transform({shingles}, s -> xxhash64(s))), _h -> {bits}), 1)")
+def _hashes(words: str, size: Column, sizes: list[int]) -> Column:
+    """The hashes of all shingles of ``size`` words, one of ``sizes``; none if there are fewer words."""
 
 
-def similarity(left: str, right: str) -> Column:
-    """Jaccard similarity of two shingle arrays, each shingle weighted by how often it occurs."""
-    common = f"aggregate(array_intersect({left}, {right}), 0, (a, s) -> a + least(size(filter({left}, x -> x = s)), size(filter({right}, x -> x = s))))"
-    return F.expr(f"transform(array({common}), c -> c / cast(size({left}) + size({right}) - c as double))[0]")
+    def whole(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - k)), lambda i: _chain(words, i, k))
 
+    out = F.array().cast("array<long>")
+    for k in sizes:
+        out = F.when((size == k) & (F.size(words) >= k), whole(k)).otherwise(out)
+    return out
 
-def _byte(k: int) -> str:
-    return f"cast(shiftrightunsigned(_fp, {8 * k}) & 255L as int)"
 
+def simhash(hashes: str) -> Column:
+    """array<long> of two halves: a bit is set if over half of the hashes have it.
 
-def _near_bytes() -> list[int]:
-    return [x for x in range(256) if x.bit_count() <= 2]
+    Two counters share a long: lane sums of bits b and b + 32 are one addition. The second
+    half counts the bits of the hashes' own hashes.
+    """
+    fields = [f"s{family}_{b}" for family in range(2) for b in range(32)]
+    zero = "named_struct(" + ", ".join(f"'{f}', 0L" for f in fields) + ")"
+    step = "named_struct(" + ", ".join(f"'s{family}_{b}', a.s{family}_{b} + (shiftrightunsigned({h}, {b}) & {_LANES}L)" for family, h in enumerate(("x.h", "x.g")) for b in range(32)) + ")"
+    # A lane's count exceeds half of all if adding 2 ** 30 - 1 - half carries into bit 30.
+    full = f"({(1 << 30) - 1}L - shiftright(size({hashes}), 1)) * {_LANES}L"
+    halves = [" | ".join(f"shiftleft(shiftrightunsigned(a.s{family}_{b} + {full}, 30) & {_LANES}L, {b})" for b in range(32)) for family in range(2)]
+    pairs = f"transform({hashes}, h -> named_struct('h', h, 'g', xxhash64(h, 1)))"
+    return F.expr(f"aggregate({pairs}, {zero}, (a, x) -> {step}, a -> array({', '.join(halves)}))")
+
+
+def _blocks(fp: str, bits: int) -> Column:
+    """Every (block, value) whose value is within ``bits`` of the fingerprint's, as one long each."""
+    masks = F.array(*[F.lit(x) for x in range(1 << BLOCK_BITS) if x.bit_count() <= bits])
+
+
+    def part(k: int) -> Column:
+        own = F.shiftrightunsigned(F.get(F.col(fp), F.lit(k // 4)), BLOCK_BITS * (k % 4)).bitwiseAND((1 << BLOCK_BITS) - 1)
+        return F.transform(masks, lambda x: F.lit(k << BLOCK_BITS) + own.bitwiseXOR(x))
+
+    return F.concat(*[part(k) for k in range(BLOCKS)])
+
+
+def _numbered(hashes: str) -> Column:
+    """Hashes made distinct by counting repeats, so that set sizes weigh each shingle by how often it occurs."""
+    repeats = f"transform(array(array_sort({hashes})), s -> transform(s, (x, i) -> xxhash64(x, i + 1 - array_position(s, x))))[0]"
+    return F.expr(f"if(size(array_distinct({hashes})) = size({hashes}), transform({hashes}, x -> xxhash64(x, 0L)), {repeats})")
+
+
+def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -65,60 +104,60 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     ``start`` is the word at which the most similar window begins (the first of equals),
     ``distance`` its fingerprint's from the item's. A window has as many words as its item;
-    a document with fewer words is one window. Null and empty texts hold nothing and are
-    held by nothing. Repeated rows give one result; null ids match no other row and are
-    left out. Other columns aren't read.
+    a document with fewer words is one window. Items under five words are one shingle. Null
+    and empty texts hold nothing and are held by nothing. Repeated rows give one result;
+    documents with a null id are left out, items with one are found as null. Other columns
+    aren't read.
     """
     items = items.select(F.col(item_id).alias("_item"), normal_words(F.col(item_text)).alias("_iw")).where("size(_iw) > 0").dropDuplicates()
-    items = materialize(items.select("_item", "_iw", F.size("_iw").alias("_n")), "items")
-    measured = items.agg(F.sum("_n").alias("n"), F.sort_array(F.collect_set(F.when(F.col("_n") < SHINGLE, F.col("_n")))).alias("short")).first()
-    sizes = [SHINGLE, *measured["short"]]  # at most five lengths
-    fits = (measured["n"] or 0) <= BROADCAST_SHINGLES
-    hint = F.broadcast if fits else (lambda df: df)
-
-    # Positions of documents and items by shingle hash; the hash chains over the words in generated code.
-    def positions(df: DataFrame, words: str, keep: list[str], own: bool) -> DataFrame:
-        at = df.select(*keep, words, F.explode(F.expr(f"sequence(0, greatest(0, size({words}) - 1))")).alias("_at"))
-        parts = []
-        for size in sizes:
-            chain = F.xxhash64(*[F.get(F.col(words), F.col("_at") + k) for k in range(size)])
-            whole = F.col("_at") + size <= F.size(words)
-            if size == SHINGLE:
-                whole = whole | ((F.col("_at") == 0) & (F.size(words) > 0) & F.lit(not own))
-            else:
-                whole = whole & (F.lit(not own) | (F.size(words) == size))
-            parts.append(F.when(whole, chain))
-        return at.select(*keep, "_at", parts[0].alias("_k")) if len(parts) == 1 else at.select(*keep, "_at", F.explode(F.array_distinct(F.array(*parts))).alias("_k"))
-
-    words = docs.select(F.col(id_col).alias("_doc"), normal_words(F.col(text_col)).alias("_w")).where("_doc is not null")
-    index = positions(items, "_iw", ["_item", "_n"], True).where("_k is not null").withColumnRenamed("_at", "_off")
-    hits = positions(words, "_w", ["_doc"], False).where("_k is not null").join(hint(index), "_k")
-    need = F.ceil(F.lit(SIMILARITY) * F.greatest(F.lit(1), F.col("_n") - (SHINGLE - 1)) - 1e-9)
-    shared = hits.groupBy("_doc", "_item", "_n").agg(F.count("*").alias("_c"), F.collect_set(F.greatest(F.lit(0), F.col("_at") - F.col("_off"))).alias("_starts"))
-    places = materialize(shared.where(F.col("_c") >= need).select("_doc", "_n", F.explode("_starts").alias("_start")).distinct(), "places")
-
-    # Item-sized windows at these places, and their fingerprints.
-    wanted = words.join(places.select("_doc").distinct(), "_doc", "left_semi").dropDuplicates(["_doc", "_w"])
-    windows = wanted.join(places, "_doc").select("_doc", "_n", F.expr("least(_start, greatest(0, size(_w) - _n))").alias("_start"), "_w")
-    windows = windows.select("_doc", "_n", "_start", F.expr("slice(_w, _start + 1, _n)").alias("_ww")).distinct()
-    windows = windows.withColumn("_ws", _shingles("_ww")).withColumn("_fp", simhash("_ws")).drop("_ww")
+    items = items.withColumn("_n", F.size("_iw")).withColumn("_size", F.least("_n", F.lit(SHINGLE)))
+    items = materialize(items.withColumn("_ih", _hashes("_iw", F.col("_size"), list(range(1, SHINGLE + 1)))).drop("_iw"), "items")
+    sizes = [r["_size"] for r in items.select("_size").distinct().orderBy("_size").collect()] or [SHINGLE]  # at most five
+    shingles = materialize(items.select("_size", F.explode("_ih").alias("_k")).distinct(), "shingles")
+    hint = _small(shingles.select("_k").distinct(), shingles.count(), BROADCAST_SHINGLES)
+
+    # Places of documents where a shingle of some item lies.
+    words = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_t"), normal_words(F.col(text_col)).alias("_w")).where("_doc is not null")
+    at = words.where("size(_w) > 0").select("_doc", "_t", "_w", F.explode(F.expr("sequence(0, size(_w) - 1)")).alias("_at"))
+    keys = [F.when(F.col("_at") + k <= F.size("_w"), F.struct(F.lit(k).alias("size"), _chain("_w", F.col("_at"), k).alias("k"))) for k in sizes]
+    if len(sizes) == 1:
+        placed = at.select("_doc", "_t", "_at", F.lit(sizes[0]).alias("_size"), F.when(F.col("_at") + sizes[0] <= F.size("_w"), _chain("_w", F.col("_at"), sizes[0])).alias("_k")).where("_k is not null")
+    else:
+        placed = at.select("_doc", "_t", "_at", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("_e")).select("_doc", "_t", "_at", F.col("_e.size").alias("_size"), F.col("_e.k").alias("_k"))
+    live = placed.join(hint, "_k", "left_semi").groupBy("_doc", "_t", "_size").agg(F.sort_array(F.collect_set("_at")).alias("_live"))
+    live = materialize(live, "live")
+
+    # Windows of each item length in which enough of the shingles lie at such places.
+    m = F.greatest(F.lit(1), F.col("_n") - (SHINGLE - 1))
+    lengths = items.select("_n", "_size", m.alias("_m")).distinct()
+    lengths = lengths.withColumn("_need", F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * F.col("_m") - 1e-9).cast("int")).withColumn("_least", F.ceil(F.lit(SIMILARITY) * F.col("_m") - 1e-9).cast("int"))
+    lengths = materialize(lengths, "lengths")
+    held = live.select("_doc", "_t").distinct()
+    texts = words.join(_small(held, held.count(), BROADCAST_DOCS), ["_doc", "_t"], "left_semi").dropDuplicates(["_doc", "_t"])
+    rows = live.join(texts, ["_doc", "_t"]).withColumn("_h", _hashes("_w", F.col("_size"), sizes)).withColumn("_words", F.size("_w")).drop("_w")
+    fits = rows.join(_small(lengths, lengths.count(), BROADCAST_DOCS), "_size").where("size(_live) >= if(_words >= _n, _need, _least)")
+    dense = "_live[i + _need - 1] - _live[i] < _m"
+    from_, to = "greatest(0, _live[i + _need - 1] - _m + 1)", "least(_live[i], _words - _n)"
+    runs = f"array_distinct(flatten(transform(filter(sequence(0, size(_live) - _need), i -> {dense}), i -> sequence({from_}, {to}))))"
+    starts = F.explode(F.expr(f"if(_words < _n, array(0), {runs})")).alias("_start")
+    windows = fits.select("_doc", "_t", "_n", "_m", "_h", starts)
+    windows = windows.select("_doc", "_t", "_n", "_start", F.expr("slice(_h, _start + 1, _m)").alias("_wh")).withColumn("_fp", simhash("_wh"))
     windows = materialize(windows, "windows")
 
-    # The index of item fingerprints by byte, and the candidates it yields.
-    prints = items.withColumn("_is", _shingles("_iw")).withColumn("_fp", simhash("_is")).drop("_iw")
-    near = F.array(*[F.lit(x) for x in _near_bytes()])
-
-    def entry(k: int) -> Column:
-        return F.transform(near, lambda x: F.struct(F.lit(k).alias("b"), F.expr(_byte(k)).bitwiseXOR(x).alias("v")))
-
-    entries = [entry(k) for k in range(8)]
-    probe = windows.select("_doc", "_n", "_start", "_ws", F.col("_fp"), F.explode(F.array(*[F.struct(F.lit(k).alias("b"), F.expr(_byte(k)).alias("v")) for k in range(8)])).alias("_e"))
-    table = prints.select("_item", "_n", "_is", F.col("_fp").alias("_ifp"), F.explode(F.concat(*entries)).alias("_e"))
-    distance = F.bit_count(F.col("_fp").bitwiseXOR(F.col("_ifp")))
-    met = probe.join(hint(table) if fits else table, ["_n", "_e"]).withColumn("_d", distance).where(F.col("_d") <= RADIUS)
-    # Of the bytes in which a pair meets, the lowest counts.
-    lowest = F.least(*[F.when(F.bit_count(F.expr(_byte(k)).bitwiseXOR(F.expr(_byte(k).replace("_fp", "_ifp")))) <= 2, F.lit(k)).otherwise(F.lit(9)) for k in range(8)])
-    scored = met.where(F.col("_e.b") == lowest).withColumn("_sim", similarity("_ws", "_is")).where(F.col("_sim") >= SIMILARITY)
+    # The multi-index of item fingerprints, and the candidates it yields.
+    prints = materialize(items.withColumn("_ifp", simhash("_ih")).select("_item", "_n", "_ifp", "_ih"), "prints")
+    entries = materialize(prints.select("_item", "_n", "_ifp", F.explode(F.array_distinct(_blocks("_ifp", ITEM_BITS))).alias("_e")), "entries")
+    probes = windows.select("_doc", "_t", "_n", "_start", "_fp", F.explode(F.array_distinct(_blocks("_fp", WINDOW_BITS))).alias("_e"))
+    distance = F.expr("bit_count(_fp[0] ^ _ifp[0]) + bit_count(_fp[1] ^ _ifp[1])")
+    met = probes.join(_small(entries, entries.count(), BROADCAST_ENTRIES), ["_n", "_e"]).withColumn("_d", distance).where(F.col("_d") <= RADIUS)
+    met = materialize(met.groupBy("_doc", "_t", "_n", "_start", "_item", "_ifp").agg(F.min("_d").alias("_d")), "met")
+
+    # Exact similarity; shingles count as often as they occur.
+    spelled = windows.select("_doc", "_t", "_n", "_start", _numbered("_wh").alias("_ws")).join(met, ["_doc", "_t", "_n", "_start"])
+    of_item = prints.select(F.col("_item").alias("_i"), F.col("_n").alias("_in"), F.col("_ifp").alias("_p"), _numbered("_ih").alias("_is"))
+    same = F.col("_item").eqNullSafe(F.col("_i")) & (F.col("_n") == F.col("_in")) & (F.col("_ifp") == F.col("_p"))
+    both = spelled.join(of_item, same).withColumn("_c", F.size(F.array_intersect("_ws", "_is")))
+    scored = both.withColumn("_sim", F.col("_c") / (F.size("_ws") + F.size("_is") - F.col("_c"))).where(F.col("_sim") >= SIMILARITY)
     best = scored.groupBy("_doc", "_item").agg(F.max(F.struct("_sim", (-F.col("_start")).alias("s"), (-F.col("_d")).alias("d"))).alias("_b"))
     return best.select(F.col("_doc").alias(id_col), F.col("_item").alias(item_id), (-F.col("_b.s")).cast("long").alias("start"), (-F.col("_b.d")).cast("int").alias("distance"), F.col("_b._sim").alias("similarity"))
 
