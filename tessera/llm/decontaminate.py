@@ -7,10 +7,10 @@ most in one of them, so items enter each block with all values within two bits,
 probe it with all values within one, and no fingerprint within the radius is missed.
 Candidates within the radius are verified by exact weighted-shingle similarity.
 
-Which windows can be similar to any item: at a similarity s two windows of m shingles
-share at least 2 s m / (1 + s) of them, so that many shingles of the window occur in some
-item, wherever they lie in it. That bound leaves out windows but names no item; the
-fingerprints alone find the items. All steps are built-in DataFrame expressions; the
+Which windows can be similar to any item of their length: at a similarity s two windows of
+m shingles share at least 2 s m / (1 + s) of them, so that many shingles of the window
+occur in items of that length, wherever they lie in them. That bound leaves out windows
+but names no item; the fingerprints alone find the items. All steps are built-in DataFrame expressions; the
 shingle hashes of all positions run in generated code.
 """
 
@@ -28,7 +28,7 @@ BLOCKS, BLOCK_BITS = 8, 16
 ITEM_BITS, WINDOW_BITS = 2, 1
 #: Beyond it every block may differ by more bits than entries and probes bridge.
 RADIUS = BLOCKS * (ITEM_BITS + WINDOW_BITS + 1) - 1
-#: Rows that may be broadcast: shingle hashes (8 bytes), index entries (some 50), documents with item shingles (24).
+#: Rows that may be broadcast: shingle hashes and lengths (12 bytes), index entries (some 50), documents with item shingles (24).
 BROADCAST_SHINGLES = 2_000_000
 BROADCAST_ENTRIES = 500_000
 BROADCAST_DOCS = 500_000
@@ -113,18 +113,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items = items.withColumn("_n", F.size("_iw")).withColumn("_size", F.least("_n", F.lit(SHINGLE)))
     items = materialize(items.withColumn("_ih", _hashes("_iw", F.col("_size"), list(range(1, SHINGLE + 1)))).drop("_iw"), "items")
     sizes = [r["_size"] for r in items.select("_size").distinct().orderBy("_size").collect()] or [SHINGLE]  # at most five
-    shingles = materialize(items.select("_size", F.explode("_ih").alias("_k")).distinct(), "shingles")
-    hint = _small(shingles.select("_k").distinct(), shingles.count(), BROADCAST_SHINGLES)
+    shingles = materialize(items.select("_n", F.explode("_ih").alias("_k")).distinct(), "shingles")
+    hint = _small(shingles, shingles.count(), BROADCAST_SHINGLES)
 
-    # Places of documents where a shingle of some item lies.
+    # Places of documents where a shingle of some item lies, for each item length.
     words = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_t"), normal_words(F.col(text_col)).alias("_w")).where("_doc is not null")
     at = words.where("size(_w) > 0").select("_doc", "_t", "_w", F.explode(F.expr("sequence(0, size(_w) - 1)")).alias("_at"))
-    keys = [F.when(F.col("_at") + k <= F.size("_w"), F.struct(F.lit(k).alias("size"), _chain("_w", F.col("_at"), k).alias("k"))) for k in sizes]
-    if len(sizes) == 1:
-        placed = at.select("_doc", "_t", "_at", F.lit(sizes[0]).alias("_size"), F.when(F.col("_at") + sizes[0] <= F.size("_w"), _chain("_w", F.col("_at"), sizes[0])).alias("_k")).where("_k is not null")
-    else:
-        placed = at.select("_doc", "_t", "_at", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("_e")).select("_doc", "_t", "_at", F.col("_e.size").alias("_size"), F.col("_e.k").alias("_k"))
-    live = placed.join(hint, "_k", "left_semi").groupBy("_doc", "_t", "_size").agg(F.sort_array(F.collect_set("_at")).alias("_live"))
+    parts = [F.when(F.col("_at") + k <= F.size("_w"), _chain("_w", F.col("_at"), k)) for k in sizes]
+    key = parts[0] if len(parts) == 1 else F.explode(F.array(*parts))  # sizes are hashed apart: a short item's shingle is met by none of five words
+    placed = at.select("_doc", "_t", "_at", key.alias("_k")).where("_k is not null")
+    live = placed.join(hint, "_k").groupBy("_doc", "_t", "_n").agg(F.sort_array(F.collect_set("_at")).alias("_live"))
     live = materialize(live, "live")
 
     # Windows of each item length in which enough of the shingles lie at such places.
@@ -132,10 +130,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     lengths = items.select("_n", "_size", m.alias("_m")).distinct()
     lengths = lengths.withColumn("_need", F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * F.col("_m") - 1e-9).cast("int")).withColumn("_least", F.ceil(F.lit(SIMILARITY) * F.col("_m") - 1e-9).cast("int"))
     lengths = materialize(lengths, "lengths")
-    held = live.select("_doc", "_t").distinct()
+    held = live.join(_small(lengths, lengths.count(), BROADCAST_DOCS), "_n").where("size(_live) >= _least").select("_doc", "_t").distinct()
     texts = words.join(_small(held, held.count(), BROADCAST_DOCS), ["_doc", "_t"], "left_semi").dropDuplicates(["_doc", "_t"])
-    rows = live.join(texts, ["_doc", "_t"]).withColumn("_h", _hashes("_w", F.col("_size"), sizes)).withColumn("_words", F.size("_w")).drop("_w")
-    fits = rows.join(_small(lengths, lengths.count(), BROADCAST_DOCS), "_size").where("size(_live) >= if(_words >= _n, _need, _least)")
+    fits = live.join(_small(lengths, lengths.count(), BROADCAST_DOCS), "_n").where("size(_live) >= _least").join(texts, ["_doc", "_t"])
+    fits = fits.withColumn("_words", F.size("_w")).where("size(_live) >= if(_words >= _n, _need, _least)").withColumn("_h", _hashes("_w", F.col("_size"), sizes))
     dense = "_live[i + _need - 1] - _live[i] < _m"
     from_, to = "greatest(0, _live[i + _need - 1] - _m + 1)", "least(_live[i], _words - _n)"
     runs = f"array_distinct(flatten(transform(filter(sequence(0, size(_live) - _need), i -> {dense}), i -> sequence({from_}, {to}))))"
