@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and runs on one machine."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(f"file://{path}")
         path = f"file://{path}"

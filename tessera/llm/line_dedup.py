@@ -182,6 +182,32 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int, cap: int) -> tuple[DataFrame, list[str], str]:
+    """The documents with their columns renamed (so that no name can clash) and ``_m``: per
+    line its text and a mark, 0 equal to an earlier line, 1 stays, 2 near one, 3 not judged."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    docs = docs.toDF(*names)
+    lines = _lines(docs, key, text, min_chars)
+    firsts, near = near_lines(lines, threshold, cap)
+    flagged = near.withColumn("near", F.lit(1))
+    stays = firsts.join(flagged, ["doc", "line"], "left").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line", F.col("near").isNotNull().alias("near")))).alias("_stay"))
+    joined = docs.join(stays, docs[key] == F.col("doc"), "left")
+    split = joined.withColumn("_l", F.split(F.col(text), "\n"))
+    # One mark for each line up to the last first one: 0 not a first, 1 stays, 2 near another.
+    empty = "cast(array() as array<struct<line:int,near:boolean>>)"
+    marks = f"flatten(zip_with(coalesce(_stay, {empty}), concat(array(-1), transform(coalesce(_stay, {empty}), x -> x.line)), (x, p) -> if(x is null, cast(array() as array<int>), concat(array_repeat(0, x.line - p - 1), array(if(x.near, 2, 1))))))"
+    marked = split.withColumn("_m", F.expr(f"zip_with(_l, {marks}, (l, m) -> named_struct('l', l, 'm', if(length(trim(l)) < {min_chars} or {key} is null, 3, coalesce(m, 0))))"))
+    return marked, names, text
+
+
+def _count(mark: int) -> Column:
+    return F.coalesce(F.expr(f"size(filter(_m, x -> x.m = {mark}))"), F.lit(0)).cast("long")
+
+
+_KEPT = "array_join(transform(filter(_m, x -> x.m in (1, 3)), x -> x.l), '\n')"
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, cap: int = CAP) -> DataFrame:
     """The documents with ``text_col`` freed of repeated lines, and n_lines, n_exact, n_near.
 
@@ -189,30 +215,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted, goes if an equal line stands before it (n_exact), or one within ``threshold``
     edits (n_near); before means a smaller (id, line number). Shorter lines stay. The
     remaining lines are joined by \\n. A null text stays null, with no lines; rows with a
-    null id stay whole. Rows that repeat an id count as one document. Other columns stay.
+    null id stay whole. Rows that repeat an id count as one document. Other columns stay,
+    but for those named like the three counts, which give way to them.
     """
-    lines = _lines(docs, id_col, text_col, min_chars)
-    firsts, near = near_lines(lines, threshold, cap)
-    flagged = near.withColumn("near", F.lit(1))
-    stays = firsts.join(flagged, ["doc", "line"], "left").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line", F.col("near").isNotNull().alias("near")))).alias("_stay"))
-    joined = docs.join(stays.withColumnRenamed("doc", "_doc"), docs[id_col] == F.col("_doc"), "left")
-    split = joined.withColumn("_l", F.split(F.col(text_col), "\n"))
-    # One mark for each line up to the last first one: 0 not a first, 1 stays, 2 near another.
-    empty = "cast(array() as array<struct<line:int,near:boolean>>)"
-    marks = f"flatten(zip_with(coalesce(_stay, {empty}), concat(array(-1), transform(coalesce(_stay, {empty}), x -> x.line)), (x, p) -> if(x is null, cast(array() as array<int>), concat(array_repeat(0, x.line - p - 1), array(if(x.near, 2, 1))))))"
-    marked = split.withColumn("_m", F.expr(f"zip_with(_l, {marks}, (l, m) -> named_struct('l', l, 'm', if(length(trim(l)) < {min_chars} or {'`' + id_col + '`'} is null, 3, coalesce(m, 0))))"))
-    return marked.select(
-        *[F.expr("array_join(transform(filter(_m, x -> x.m in (1, 3)), x -> x.l), '\n')").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_l"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.expr("size(filter(_m, x -> x.m = 0))"), F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce(F.expr("size(filter(_m, x -> x.m = 2))"), F.lit(0)).cast("long").alias("n_near"),
-    )
+    marked, names, text = _marked(docs, id_col, text_col, threshold, min_chars, cap)
+    counts = {"n_lines": F.coalesce(F.size("_l"), F.lit(0)).cast("long"), "n_exact": _count(0), "n_near": _count(2)}
+    kept = [(F.expr(_KEPT) if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in counts]
+    return marked.select(*kept, *[v.alias(k) for k, v in counts.items()])
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stage form: texts without repeated lines; documents of which nothing is left go."""
-    done = dedup_lines(docs, id_col, text_col)
-    gone = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim(text_col) == "")
+    """Stage form: texts without repeated lines; documents of which nothing is left go.
+
+    The columns are those of ``docs``, whatever their names; ``n_chars`` is counted anew.
+    """
+    marked, names, text = _marked(docs, id_col, text_col, THRESHOLD, MIN_CHARS, CAP)
+    done = marked.withColumn("_kept", F.expr(_KEPT))
+    gone = (_count(0) + _count(2) > 0) & (F.trim("_kept") == "")
     out = done.where(~F.coalesce(gone, F.lit(False)))
-    size = [F.length(text_col).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    return out.select(*[size[0] if c == "n_chars" and size else F.col(c) for c in docs.columns])
+
+    def column(name: str, of: str) -> Column:
+        if name == text:
+            return F.col("_kept").alias(of)
+        if of == "n_chars":
+            return F.length("_kept").cast(docs.schema["n_chars"].dataType).alias(of)
+        return F.col(name).alias(of)
+
+    return out.select(*[column(n, c) for n, c in zip(names, docs.columns, strict=True)])

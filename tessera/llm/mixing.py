@@ -1,6 +1,6 @@
 """Operator 7, mixing sources by temperature.
 
-Source shares of the tokens are raised to an exponent and normalised. The exponent is
+Source shares of the tokens (operator 1 counts them) are raised to an exponent and normalised. The exponent is
 found by repeated section: each round weighs a row of exponents over the table of
 sources in one job and keeps the interval where the target is met. The weights become
 budgets, and each budget is realised as passes over the source's documents in the order
@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialize
+from tessera.llm.common import materialize
+from tessera.llm.token_counts import VOCABULARY, document_tokens
 
 #: A power of two: sections per round of the search, and blocks per level of the cut.
 SECTIONS, ROUNDS = 32, 6
@@ -43,11 +44,6 @@ class Target:
     seed: int = 17
 
 
-def n_tokens(text: Column) -> Column:
-    """White-space words; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def source_tokens(slim: DataFrame) -> DataFrame:
     """(source, tokens) of sources with tokens, from rows (source, n)."""
     return slim.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0")
@@ -149,38 +145,52 @@ def _step(acc: Column, block: Column) -> Column:
     )
 
 
-def _keys(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
-    return docs.select(docs[source_col].alias("source"), F.xxhash64(F.lit(seed), docs[id_col]).alias("h"), n_tokens(docs[text_col]).alias("n"))
+def _plan(docs: DataFrame, id_col: str, source_col: str, text_col: str, target: Target, vocabulary: str) -> tuple[DataFrame, DataFrame, Column]:
+    """The rows (id, source, h, n) and the plan, both written, and the copies of a joined row."""
+    slim = document_tokens(docs, {"id": docs[id_col], "source": docs[source_col], "h": F.xxhash64(F.lit(target.seed), docs[id_col])}, text_col, vocabulary)
+    slim = materialize(slim.withColumnRenamed("n_tokens", "n"), "slim")
+    planned = materialize(plan_sources(slim, target).select(F.col("source").alias("_source"), "weight", "passes", "cut"), "plan")
+    planned = F.broadcast(planned) if planned.count() <= BROADCAST_SOURCES else planned
+    below = F.shiftrightunsigned("_h", 64 - BLOCK_BITS * LEVELS) < F.shiftrightunsigned("cut", 64 - BLOCK_BITS * LEVELS)
+    return slim, planned, F.coalesce(F.col("passes") + below.cast("long"), F.lit(1).cast("long"))
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """Rows with ``_h`` and ``_copies``, each so often, with ``_pass``, ``_block`` and ``_order``."""
+    passes = rows.where("_copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_pass"))
+    order = F.when(F.col("_pass") == 0, F.col("_h")).otherwise(F.xxhash64("_pass", "_h"))
+    return passes.withColumn("_order", order).withColumn("_block", F.shiftrightunsigned("_order", 64 - BLOCK_BITS))
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: Target | None = None) -> DataFrame:
-    """The documents with mix_weight, mix_copies (how often the mixture holds the row) and mix_key.
+def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: Target | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The mixture itself: each document as often as its source's budget holds it.
 
-    mix_key orders a source's documents in its first pass; pass p has the order of
-    xxhash64(p, mix_key). Sources without tokens, and so texts without words in them,
-    get weight 0 and one copy. A null source is a source; a null id has a key like any.
-    Rows that repeat an id stand or fall together. Other columns stay as they are.
+    The columns are those of ``docs`` and mix_weight (of the source), mix_pass, mix_block and
+    mix_key; read in the order of (mix_pass, mix_block, mix_key, id) the mixture interleaves
+    the sources. Columns of ``docs`` with these four names give way; other names can't clash.
+    Sources without tokens, and so texts without tokens in them, get weight 0 and occur once.
+    Null and empty texts have no tokens. A null source is a source; a null id has a key like
+    any. Rows that repeat an id, whatever their texts, stand or fall together.
     """
-    target = target or Target()
-    slim = materialize(_keys(docs, id_col, source_col, text_col, target.seed), "slim")
-    planned = materialize(plan_sources(slim, target).select(F.col("source").alias("_source"), "weight", "passes", "cut", "budget", "tokens"), "plan")
-    few = planned.count() <= BROADCAST_SOURCES
-    key = F.xxhash64(F.lit(target.seed), docs[id_col])
-    below = F.shiftrightunsigned(key, 64 - BLOCK_BITS * LEVELS) < F.shiftrightunsigned("cut", 64 - BLOCK_BITS * LEVELS)
-    joined = docs.join(F.broadcast(planned) if few else planned, docs[source_col].eqNullSafe(F.col("_source")), "left")
-    copies = F.coalesce(F.col("passes") + below.cast("long"), F.lit(1).cast("long"))
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("weight", F.lit(0.0)).alias("mix_weight"), copies.alias("mix_copies"), key.alias("mix_key"))
-
-
-def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: Target | None = None) -> DataFrame:
-    """(id, source, pass, block, order_key, n_tokens): a row for each occurrence in the mixture.
-
-    Read in the order of (pass, block, order_key, id), the mixture interleaves the sources:
-    blocks are ranges of the pass's permutation keys, the same for all sources.
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in (id_col, source_col, text_col)}
+    target, plain = target or Target(), docs.toDF(*names)
+    _, planned, copies = _plan(plain, at[id_col], at[source_col], at[text_col], target, vocabulary)
+    joined = plain.join(planned, plain[at[source_col]].eqNullSafe(F.col("_source")), "left").withColumn("_h", F.xxhash64(F.lit(target.seed), at[id_col]))
+    out = _occurrences(joined.withColumn("_copies", copies))
+    added = {"mix_weight": F.coalesce("weight", F.lit(0.0)), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_key": F.col("_order")}
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in added]
+    return out.select(*kept, *[v.alias(k) for k, v in added.items()])
+
+
+def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: Target | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, source, pass, block, order_key, n_tokens): the mixture without its texts.
+
+    A row for each occurrence; read in the order of (pass, block, order_key, id) it
+    interleaves the sources: blocks are ranges of the pass's permutation keys, the same for
+    all sources. Null and odd rows as in ``mixture``; other columns aren't read.
     """
-    target = target or Target()
-    mixed = with_copies(docs.select(id_col, source_col, text_col), id_col, source_col, text_col, target)
-    rows = mixed.select(id_col, source_col, n_tokens(F.col(text_col)).alias("n_tokens"), "mix_key", "mix_copies")
-    passes = rows.where("mix_copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)).alias("pass"))
-    order = F.when(F.col("pass") == 0, F.col("mix_key")).otherwise(F.xxhash64("pass", "mix_key"))
-    return passes.select(id_col, source_col, "pass", F.shiftrightunsigned(order, 64 - BLOCK_BITS).alias("block"), order.alias("order_key"), "n_tokens")
+    slim, planned, copies = _plan(docs, id_col, source_col, text_col, target or Target(), vocabulary)
+    joined = slim.withColumnRenamed("h", "_h").join(planned, slim["source"].eqNullSafe(F.col("_source")), "left")
+    out = _occurrences(joined.withColumn("_copies", copies))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_order").alias("order_key"), F.col("n").alias("n_tokens"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits
@@ -25,6 +25,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 32 << 20
 # Fixed value: the pattern by which the vocabulary's tokenizer parts a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of so many blanks are parted by hand.
+LONG_BLANKS = 10_000
+_LONG_BLANKS = regex.compile(rf"(?<!\p{{White_Space}})\p{{White_Space}}{{{LONG_BLANKS},}}")
 #: Rules: a token counts where its first, middle or last byte lies, or by shares of its bytes.
 RULES = ("first", "middle", "last", "share")
 
@@ -42,12 +45,19 @@ class Encoder:
             self.lengths[rank] = len(token)
 
     def token_lengths(self, text: str) -> np.ndarray:
-        try:
-            ids = self.inner.encode_ordinary(text)
-        except BaseException as e:  # the matcher gives up on very long runs of blanks; part those by hand
-            if isinstance(e, KeyboardInterrupt | SystemExit):
-                raise
-            ids = [i for m in regex.finditer(PATTERN, text) for i in self.inner.encode_single_piece(m[0])]
+        """Byte lengths of a whole text's tokens.
+
+        The matcher's stack overflows on very long runs of blanks, so these are parted as
+        PATTERN parts them: all blanks but one that a word follows are a piece.
+        """
+        ids: list[int] = []
+        at = 0
+        for m in _LONG_BLANKS.finditer(text) if len(text) >= LONG_BLANKS else ():
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self.inner.encode_ordinary(text[at : m.start()])
+            ids += self.inner._encode_single_piece(text[m.start() : end])
+            at = end
+        ids += self.inner.encode_ordinary(text[at:])
         return self.lengths[np.asarray(ids, np.int64)]
 
 
@@ -99,24 +109,45 @@ def attribute(text: str, lengths: np.ndarray, sections: list[tuple[int, int]], r
     return np.searchsorted(place, high, "left") - np.searchsorted(place, low, "left"), crossing
 
 
+def _ship(docs: DataFrame, vocabulary: str) -> tuple:
+    """The vocabulary as a broadcast of at most MAX_VOCABULARY_BYTES, and its key."""
+    with open(vocabulary, "rb") as f:
+        data = f.read(MAX_VOCABULARY_BYTES + 1)
+    if len(data) > MAX_VOCABULARY_BYTES:
+        raise ValueError("the vocabulary is too large to ship")
+    arrow_limits(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(data), hash(data)
+
+
+def document_tokens(docs: DataFrame, keep: dict[str, Column], text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The columns ``keep`` and n_tokens of the whole text, a row for each of ``docs``; null and empty texts have none."""
+    shipped, key = _ship(docs, vocabulary)
+    slim = docs.select(*[v.alias(k) for k, v in keep.items()], docs[text_col].cast("string").alias("_text"))
+    names, kept = [*keep, "n_tokens"], len(keep)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(key, shipped.value)
+        for batch in batches:
+            counts = pa.array([len(encoder.token_lengths(t.as_py() or "")) for t in batch.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], counts], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    return slim.mapInArrow(each, f"{kinds}, n_tokens long")
+
+
 def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sections_col: str | None = None, vocabulary: str = VOCABULARY, rule: str = "first") -> DataFrame:
     """(id, section, start, end, n_tokens, n_crossing): a row for each section; a map.
 
     ``sections_col``: array of structs whose first two fields are start and end in code
-    points; without it the sections are the lines, each with its line end. ``rule``: one
+    points; without it the sections are the lines, each with its line end. Texts may be of
+    any length, runs of blanks too. ``rule``: one
     of RULES; n_tokens is a double. Spans beyond the text are cut to it. Null and empty
     texts have no lines and so no rows; given sections of theirs count no tokens. Repeated
     rows give their rows each; null ids are kept. Other columns aren't read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    with open(vocabulary, "rb") as f:
-        data = f.read(MAX_VOCABULARY_BYTES + 1)
-    if len(data) > MAX_VOCABULARY_BYTES:
-        raise ValueError("the vocabulary is too large to ship")
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    shipped, key = spark.sparkContext.broadcast(data), hash(data)
+    shipped, key = _ship(docs, vocabulary)
     spans = docs[sections_col] if sections_col else F.lit(None).cast("array<struct<start:int,end:int>>")
     slim = docs.select(docs[id_col].alias("key"), docs[text_col].cast("string").alias("text"), spans.alias("spans"))
     kind = slim.schema["key"].dataType.simpleString()

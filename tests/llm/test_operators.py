@@ -61,6 +61,20 @@ def test_token_counts_match_token_by_token(spark, rule):
     assert {r.doc_id for r in got}.isdisjoint({0, 1})
 
 
+@pytest.mark.parametrize(("text", "words"), [(" " * 2_000_000, 0), ("\n" * 1_000_000, 0), ("a b" + " " * 1_200_000 + "c\n" + "\t" * 20_000 + "\n d", 4)])
+def test_token_counts_of_very_long_blanks(spark, text, words):
+    got = token_counts.document_tokens(docs(spark, [text]), {"key": F.col("doc_id")}).first()
+    assert 0 < got.n_tokens <= len(text)
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder = token_counts.Encoder(f.read())
+    assert encoder.token_lengths(text).sum() == len(text)
+    # The same as by the pattern, where the matcher can still do it.
+    small = text[:3] + text[3:-3][: token_counts.LONG_BLANKS * 2] + text[-3:]
+    assert list(encoder.token_lengths(small)) == list(encoder.lengths[encoder.inner.encode_ordinary(small)])
+    sections = token_counts.section_tokens(docs(spark, [text]))
+    assert sections.agg(F.sum("n_tokens")).first()[0] == got.n_tokens
+
+
 def test_token_counts_of_fields(spark):
     rows = spark.createDataFrame([(1, "title here", None, "body text\nof it")], "id long, a string, b string, c string")
     got = {r.section: r for r in token_counts.field_tokens(rows, ["a", "b", "c"], "id").collect()}
@@ -213,6 +227,18 @@ def test_line_dedup_recurses_until_groups_are_small(spark, monkeypatch):
     assert set(range(12, 18)) <= near
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    line = "a line that stands in two documents"
+    rows = [(1, line, "p", 5, 6, "q"), (2, line + "\nown text of the second", "p", 5, 6, "q"), (3, "again a second document", "p", 5, 6, "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_exact string, n_near int, n_lines long, _m string")
+    out = line_dedup.drop_repeated_lines(d)
+    assert out.columns == d.columns
+    assert sorted((r.doc_id, r.text, r.n_exact, r.n_near, r.n_lines, r._m) for r in out.collect()) == [(1, line, "p", 5, 6, "q"), (2, "own text of the second", "p", 5, 6, "q"), (3, "again a second document", "p", 5, 6, "q")]
+    counted = line_dedup.dedup_lines(d)
+    assert counted.columns == ["doc_id", "text", "_m", "n_lines", "n_exact", "n_near"]
+    assert sorted(r.n_exact for r in counted.collect()) == [0, 0, 1]
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_bit_parallel_edit_distance(spark, threshold):
     rng = random.Random(threshold)
@@ -305,8 +331,10 @@ def test_mixing_meets_budgets_and_covers_all(spark):
     out = mixing.schedule(df, target=target).collect()
     assert {r.doc_id for r in out} == {r[0] for r in rows}
     tokens, have = collections.Counter(), collections.Counter()
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder = token_counts.Encoder(f.read())
     for i, t, s in rows:
-        tokens[s] += len((t or "").split())
+        tokens[s] += len(encoder.token_lengths(t or ""))
     passes = collections.defaultdict(collections.Counter)
     for r in out:
         have[r.source] += r.n_tokens
@@ -326,7 +354,8 @@ def test_mixing_meets_budgets_and_covers_all(spark):
 
 def test_mixing_with_fixed_budget_undershoots_by_less_than_a_document(spark):
     rng = random.Random(9)
-    df = spark.createDataFrame([(i, prose(rng, 10), "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
+    # "the of and ..." in lower case: a token for each of ten words.
+    df = spark.createDataFrame([(i, " ".join(rng.choice(WORDS[:20]) for _ in range(10)), "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
     out = mixing.schedule(df, target=mixing.Target(entropy=1.0, budget=4000, max_repeats=10)).collect()
     have = collections.Counter()
     for r in out:
@@ -334,6 +363,60 @@ def test_mixing_with_fixed_budget_undershoots_by_less_than_a_document(spark):
     assert have == {"a": 2000, "b": 2000}
 
 
+@pytest.mark.parametrize("entropy", [0.5, 0.9, 0.99, 1.0])
+def test_mixing_exponent_and_cut_are_those_of_plain_search(spark, entropy):
+    rng = random.Random(int(entropy * 100))
+    rows = [(i, f"s{i % 7 if i % 3 else 0}", rng.randrange(1, 60)) for i in range(500)]
+    slim = spark.createDataFrame(rows, "id long, source string, n long").withColumn("h", F.xxhash64(F.lit(17), "id"))
+    tokens = collections.Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    p = np.array([tokens[s] for s in sorted(tokens)], float) / sum(tokens.values())
+
+    def share(x):
+        q = p**x / (p**x).sum()
+        return float(-(q * np.log(q)).sum() / np.log(len(q)))
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if share(mid) >= entropy else (low, mid)
+    want = max(1.0 if share(1.0) >= entropy else low, 1 - np.log(4.0) / np.log(p.max() / p.min()), 0.0)
+    target = mixing.Target(entropy=entropy, max_repeats=4.0)
+    got, norm = mixing.find_exponent(mixing.source_tokens(slim), target)
+    # Near the exponent 0 the entropy is flat, so tiny differences of it move the exponent.
+    assert abs(got - want) < (1e-6 if entropy < 1 else 1e-3)
+    assert abs(norm - (p**got).sum()) < 1e-9
+    keys = collections.defaultdict(list)
+    for r in slim.collect():
+        keys[r.source].append((r.h % 2**64 >> 4, r.n))
+    for r in mixing.plan_sources(slim, target).collect():
+        assert r.budget == round(r.weight * max(tokens[s] / w for s, w in zip(sorted(tokens), p**got / norm, strict=True)))
+        assert r.passes == r.budget // tokens[r.source]
+        left, cut = r.budget - r.passes * tokens[r.source], 0
+        for key, n in sorted(keys[r.source]):
+            if n > left:
+                cut = key
+                break
+            left -= n
+        assert r.cut % 2**64 >> 4 == cut
+
+
+def test_mixture_repeats_documents_and_keeps_clashing_columns(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20), "a" if i % 8 else "b", i, -i, "w", "x", None) for i in range(160)]
+    rows += [(7, prose(rng, 5), None, 7, 7, None, None, None), (None, None, "b", 8, 8, None, None, None), (7, "", "a", 9, 9, None, None, None)]
+    schema = "doc_id long, text string, source string, weight int, passes long, cut string, mix_pass string, _source string"
+    out = mixing.mixture(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "source", "weight", "passes", "cut", "_source", "mix_weight", "mix_pass", "mix_block", "mix_key"]
+    got = collections.Counter((r.doc_id, r.text, r.source, r.weight, r.passes) for r in out.collect())
+    assert set(got) == {(r[0], r[1], r[2], r[3], r[4]) for r in rows}
+    planned = collections.Counter(r.doc_id for r in mixing.schedule(spark.createDataFrame(rows, schema)).collect())
+    assert planned == sum((collections.Counter({k[0]: n}) for k, n in got.items()), collections.Counter())
+    assert max(n for k, n in got.items() if k[2] == "b" and k[1]) > max(n for k, n in got.items() if k[2] == "a")
+    assert mixing.mixture(spark.createDataFrame([], schema)).count() == 0
+
+
 # --- operator 8
 def test_simhash_matches_definition_and_components(spark):
     rng = random.Random(1)
