@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -106,28 +107,82 @@ def test_secret_scan_base_spans(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
-def test_secret_scan_battery_finds_random_runs_alone(spark):
+def plain_battery(run):
+    """(n, k, equal, z of the three tests, p) of a run."""
+    n = len(run)
+    k = next(size for _, chars, size in secret_scan.ALPHABETS if re.fullmatch(f"[{chars}]+", run))
+    u, w, r = secret_scan.ORDINARY[k]
+    equal = sum(c * (c - 1) / 2 for c in collections.Counter(run).values())
+    pairs = n * (n - 1) / 2
+    near = [(x, y) for x, y in zip(run, run[1:], strict=False) if x.isalnum() and y.isalnum()]
+    kind = lambda c: 0 if c.isdigit() else 1 if c.isupper() else 2
+    changes = sum(kind(x) != kind(y) and (kind(x), kind(y)) != (1, 2) for x, y in near)
+    letters = [(x.lower() in "aeiou") != (y.lower() in "aeiou") for x, y in near if x.isalpha() and y.isalpha()]
+    z = [(pairs * u - equal) / (pairs * (u - u * u) + 2 * pairs * (n - 2) * (w - u * u)) ** 0.5, None, None]
+    if r is not None and near:
+        z[1] = (changes - len(near) * r) / (len(near) * r * (1 - r)) ** 0.5
+    if k != 16 and len(letters) >= secret_scan.MIN_PAIRS:
+        x = secret_scan.ALTERNATION
+        z[2] = (len(letters) * x - sum(letters)) / (len(letters) * x * (1 - x)) ** 0.5
+    z = [x if x is None else max(secret_scan.LEAST_Z, min(secret_scan.MOST_Z, x)) for x in z]
+    held = [x for x in z if x is not None]
+    s = sum(held) / len(held) ** 0.5
+    return n, k, equal, *z, 1.0 if s <= 0 else np.exp(-s * s / 2) / max(2, s * (2 * np.pi) ** 0.5)
+
+
+def plain_random(text):
+    """The battery's spans of a text, by weighted Benjamini-Hochberg."""
+    known = plain_spans(text)
+    runs = [m for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text) if not any(a <= m.start() and m.end() <= b for a, _, b in known)]
+    mean = sum(len(m[0]) for m in runs) / max(1, len(runs))
+    ranked = sorted((plain_battery(m[0])[-1] * mean / len(m[0]), m.start(), m.end()) for m in runs if re.search("[A-Za-z]", m[0]))
+    last = max((i for i, x in enumerate(ranked, 1) if x[0] <= i * secret_scan.FDR / len(runs)), default=0)
+    return [(x, 3, y) for _, x, y in ranked[:last]]
+
+
+KEY_ALPHABETS = {"HEX": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+ORDINARY_STRINGS = """internationalization_of_things com/Foo1Bar2/BazQux3Impl/MyClassV2Test7 getHTTPResponseCodeV2ForUserId42AndX9 AbstractSingletonProxyFactoryBean
+    abc123abc123abc123abc123abc123abc123 AAAAAAAAAAAAAAAAAAAAAAAAAAAA1 12345678901234567890 2024-01-01T00-00-00 20240101_release_candidate MAX_RETRY_COUNT_EXCEEDED_ERROR
+    src/main/java/org/example/service/UserServiceImpl usr/lib/x86_64-linux-gnu/libexample Donaudampfschifffahrtsgesellschaft anticonstitutionnellement test_parse_headers_with_trailing_space
+    convertUtf8ToUtf16LittleEndian spark-sql-shuffle-partitions-default en_US-UTF-8-collation-rules responsabilidad-extracontractual IllegalArgumentExceptionHandler""".split()
+
+
+def test_secret_scan_battery_matches_the_plain_one(spark):
     rng = random.Random(5)
-    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
-    texts = [f"see {key} here", "internationalization_of_things and 12345678901234567890", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA1", "abc123abc123abc123abc123abc123abc123", "built 20240101_release_candidate"]
-    got = {r.doc_id: r for r in secret_scan.scan(docs(spark, texts)).collect()}
-    assert got[0].spans == f"random:4:{4 + len(key)}"
-    assert [got[i].n_random for i in range(1, 5)] == [0, 0, 0, 0]
-
-
-def test_secret_scan_battery_statistics(spark):
-    run = "a1b2C3d4E5f6G7h8Zz9Yx0Wv"
-    b = spark.range(1).select(F.lit(run).alias("r")).select(F.expr(secret_scan.battery("r")).alias("b")).first().b
-    n, k = len(run), 62
-    chi = k / n * sum(c * c for c in collections.Counter(run).values()) - n
-    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5
-    codes = np.array([ord(c) for c in run], float)
-    codes -= codes.mean()
-    serial = n**0.5 * (codes[1:] * codes[:-1]).sum() / (codes**2).sum()
-    kind = [0 if c.isdigit() else 1 if c.isupper() else 2 for c in run]
-    assert (b.n, b.k, b.changes) == (n, k, sum(x != y for x, y in zip(kind, kind[1:], strict=False)))
-    assert abs(b.z_uniform - z) < 1e-9
-    assert abs(b.z_serial - serial) < 1e-9
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in KEY_ALPHABETS.values() for n in (16, 24, 32, 64)]
+    runs = [*keys, *(x for x in ORDINARY_STRINGS if re.search("[A-Za-z]", x))]
+    got = spark.createDataFrame(list(enumerate(runs)), "i int, given string").select("i", F.expr(secret_scan.battery("given")).alias("b")).collect()
+    for r in got:
+        for x, y in zip(r.b, plain_battery(runs[r.i]), strict=True):
+            assert (x is None) == (y is None)
+            assert x is None or abs(x - y) < 1e-9
+    texts = [*ODD, *SECRETS, *(f"see {k} here" for k in keys), " ".join(keys), " ".join(ORDINARY_STRINGS), " ".join(x for pair in zip(keys, ORDINARY_STRINGS, strict=False) for x in pair), "password=" + keys[-1] + " " + keys[-2] + "\n" + keys[-1]]
+    names = ("assign", "access", "hex", "random")
+    for r in secret_scan.scan(docs(spark, texts)).collect():
+        text = texts[r.doc_id] or ""
+        want = sorted(plain_spans(text) + plain_random(text))
+        assert r.spans == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in want)
+        assert r.n_random == sum(k == 3 for _, k, _ in want)
+
+
+def test_secret_scan_power_and_false_finds():
+    rng = random.Random(1)
+    assert [x for x in ORDINARY_STRINGS if re.search("[A-Za-z]", x) and plain_battery(x)[-1] <= secret_scan.FDR] == []
+    least = {"HEX": (0.9, 0.99), "lower": (0.8, 0.97), "base32": (0.85, 0.98), "base36": (0.95, 0.99), "base62": (0.9, 0.99), "base64": (0.9, 0.99)}
+    for name, chars in KEY_ALPHABETS.items():
+        for n, share in zip((32, 64), least[name], strict=True):
+            assert sum(plain_battery("".join(rng.choice(chars) for _ in range(n)))[-1] <= secret_scan.FDR for _ in range(400)) >= share * 400
+
+
+def test_secret_scan_is_linear_in_matches(spark):
+    rng = random.Random(2)
+    strings = [f"{rng.getrandbits(128):032x}" for _ in range(50_000)]
+    big = docs(spark, [" ".join(strings * 6), "x" + "aB3dE" * 600_000, "token=" + "Zz9" * 1_000_000])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan(big).select("doc_id", "n_hex", "n_assign", "n_random", F.length("spans").alias("n")).collect()}
+    assert time.perf_counter() - began < 100
+    assert [got[i].n_hex for i in range(3)] == [300_000, 0, 0]
+    assert got[2].n_assign == 1
 
 
 # --- operator 3
