@@ -7,7 +7,9 @@ in one bucket for every such choice of blocks; no link can escape all buckets.
 Within a bucket, fingerprints are held as vertical bit planes, and the distances of
 many pairs grow together in carry-save counters; a tile is left as soon as all its
 pairs are beyond the radius. Each bucket yields a spanning set of verified links,
-never all pairs, and star contraction turns the links into components.
+never all pairs, and star contraction turns the links into components. The number of blocks
+follows from that of the fingerprints; a bucket too large for a task is parted into tiles,
+each pair of which is a task's work.
 """
 
 from __future__ import annotations
@@ -27,6 +29,14 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+#: Fingerprints that a task compares with each other at once; larger buckets are parted.
+TILE = 8192
+#: Hot buckets (some 20 bytes each) that may be broadcast; beyond it their join shuffles.
+BROADCAST_BUCKETS = 500_000
+#: Nodes of the links (16 bytes each) that are broadcast at most.
+HUBS = 100_000
+
+
 def shingle_hashes(text: str | None, size: int = 4, seed: int = 42) -> np.ndarray:
     """XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -112,13 +122,18 @@ def _more(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) ->
     return out
 
 
-def _spanning(values: np.ndarray, radius: int, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links among distinct sorted fingerprints: (value, root of its tree)."""
-    parent = np.arange(len(values))
+def _spanning(values: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among distinct fingerprints: (value, root of its tree).
+
+    With ``other`` only links between the two arrays count, which have no value in common.
+    """
+    right, shift = (values, 0) if other is None else (other, len(values))
+    nodes = values if other is None else np.concatenate([values, other])
+    parent = np.arange(len(nodes))
     for a in range(0, len(values), tile):
-        for b in range(a, len(values), tile * 8):
-            i, j = near_pairs(values[a : a + tile], values[b : b + tile * 8], radius)
-            i, j = i + a, j + b
+        for b in range(a if other is None else 0, len(right), tile * 8):
+            i, j = near_pairs(values[a : a + tile], right[b : b + tile * 8], radius)
+            i, j = i + a, j + b + shift
             while len(i):
                 x, y = parent[i], parent[j]
                 apart = x != y
@@ -126,16 +141,46 @@ def _spanning(values: np.ndarray, radius: int, tile: int = 1024) -> tuple[np.nda
                 np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
                 while (parent != (up := parent[parent])).any():
                     parent = up
-    moved = np.flatnonzero(parent != np.arange(len(values)))
-    return values[moved], values[parent[moved]]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def choose_blocks(n: int, radius: int) -> int:
+    """Blocks whose bucket keys are long enough for ``n`` fingerprints: some 64 in a bucket if they are spread evenly."""
+    blocks = radius + 2
+    while 64 * (blocks - radius) // blocks + 6 < max(1, n).bit_length() and blocks < 2 * radius + 2:
+        blocks += 1
+    return blocks
+
 
+def _tiled(buckets: DataFrame, tile: int) -> DataFrame:
+    """(t, m, i, j, side, fp): buckets of more than ``tile`` fingerprints as pairs of tiles, the others whole.
 
-def fingerprint_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+    A tile meets each other tile of its bucket once, so a hot bucket is many small tasks,
+    and every pair of its fingerprints is still compared.
+    """
+    counts = buckets.groupBy("t", "m").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    hot = materialize(counts.select("t", "m", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "hot")
+    whole = [F.lit(0).alias(c) for c in ("i", "j", "side")]
+    few = hot.count()
+    if not few:
+        return buckets.select("t", "m", *whole, "fp")
+    hint = F.broadcast(hot) if few <= BROADCAST_BUCKETS else hot
+    cold = buckets.join(hint.select("t", "m"), ["t", "m"], "left_anti").select("t", "m", *whole, "fp")
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    parts = buckets.join(hint, ["t", "m"]).select("t", "m", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("met"))
+    return cold.union(parts.select("t", "m", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), (F.col("own") > F.col("met")).cast("int").alias("side"), "fp"))
+
+
+def fingerprint_links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp``, enough to span every component.
 
     ``blocks`` must exceed ``radius``; with more blocks the bucket keys grow longer and
-    buckets smaller, at the price of more buckets for each fingerprint.
+    buckets smaller, at the price of more buckets for each fingerprint. None chooses them
+    from the number of fingerprints. ``tile``: fingerprints that a task compares at once.
     """
+    n = prints.count()
+    blocks = blocks or choose_blocks(n, radius)
     if not 0 <= radius < min(7, blocks):
         raise ValueError("radius must be under 7 and under the number of blocks")
     bounds = _bounds(blocks)
@@ -145,24 +190,27 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> Da
         mask -= (mask >> 63) << 64
         keys.append(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("m")))
     buckets = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.t", "key.m")
-    spark = prints.sparkSession
-    arrow_limits(spark, rows=65536)
-    dealt = buckets.repartition("t", "m").sortWithinPartitions("t", "m", "fp")
+    arrow_limits(prints.sparkSession, rows=65536)
+    tiled = _tiled(buckets, tile) if n > tile else buckets.select("t", "m", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "fp")
+    dealt = tiled.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "side", "fp")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """``rows``: whole buckets, (t, m, fp) each."""
+            """``rows``: whole groups, (t, m, i, j, side, fp) each."""
             if not len(rows):
                 return
-            change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(rows)]])
             many = np.flatnonzero(ends - starts > 1)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                values = rows[s:e, 2].view(np.uint64)
-                if e - s == 2:
+                values = rows[s:e, 5].view(np.uint64)
+                if rows[s, 2] != rows[s, 3]:
+                    cut = int(np.searchsorted(rows[s:e, 4], 1))
+                    found.append(_spanning(values[:cut], radius, values[cut:]))
+                elif e - s == 2:
                     if int(values[0] ^ values[1]).bit_count() <= radius:
                         found.append((values[1:], values[:1]))
                 else:
@@ -175,8 +223,8 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 0)], axis=1)
-            same = (rows[:, :2] == rows[-1, :2]).all(axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            same = (rows[:, :4] == rows[-1, :4]).all(axis=1)
             cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
                 yield from out(np.concatenate([*held, rows[:cut]]))
@@ -185,7 +233,19 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, blocks: int = 6) -> Da
         if held:
             yield from out(np.concatenate(held))
 
-    return dealt.select("fp", "t", "m").mapInArrow(each, "a long, b long").distinct()
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
+def _to_least(star: DataFrame, rows: DataFrame, edges: int) -> DataFrame:
+    """``star`` (u, v) with ``m``, the least of u and its v in ``rows``.
+
+    Nodes with many rows are joined by broadcast, the others by shuffle, so no task gets a
+    hub's rows. At most ``HUBS`` nodes can have so many.
+    """
+    low = materialize(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
+    hub = F.col("n") > max(256, 2 * edges // HUBS)
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    return star.join(hubs.select("u"), "u", "left_anti").join(low.where(~hub).select("u", "m"), "u").union(star.join(hubs, "u"))
 
 
 def min_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -194,22 +254,26 @@ def min_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternate large-star and small-star contraction; every round writes its links to the
     shared folder. Large stars are aggregated and joined, never gathered in a task.
     """
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
+
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before = state(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = _to_least(both.where("v > u"), both, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct(), "large")
+        small = _to_least(large, large, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = materialize(small.where("u <> v").distinct(), "links")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        now = state(after)
+        if now == before:
             return after.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        edges = after
+        edges, before = after, now
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id.
 
     component_id is the smallest id reachable over links of ``radius`` or fewer bits.
@@ -226,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component, prints.fp == component.class_fp).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int = 6) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Of each component the row with the smallest id; columns unchanged.
 
     An id names one document: of rows that repeat an id, one stays. Rows with a null id

@@ -518,6 +518,53 @@ def test_bit_sliced_distances():
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def linked(values, radius=4):
+    """The smallest value of each value's component, by brute force."""
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= radius:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {v: root(v) for v in values}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_hot_buckets_are_parted_and_lose_no_link(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(simhash_dedup, "BROADCAST_BUCKETS", 0)
+    monkeypatch.setattr(simhash_dedup, "HUBS", 1)
+    rng = random.Random(3)
+    low = set()
+    while len(low) < 500:  # all share their upper 40 bits, so many buckets hold them all
+        x = rng.getrandbits(24)
+        low |= {x, *(x ^ 1 << rng.randrange(24) ^ 1 << rng.randrange(24) for _ in range(rng.randrange(3)))}
+    values = sorted({0x5A5A5A5A5A << 24 >> 1 | x for x in low} | {rng.getrandbits(63) for _ in range(200)})
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    spread = simhash_dedup.fingerprint_links(prints, tile=64)
+    got = {r.node: r.label for r in simhash_dedup.min_labels(spread).collect()}
+    assert {v: got.get(v, v) for v in values} == linked(values)
+
+
+def test_a_large_bucket_is_many_small_groups(spark):
+    n = 1_000_000
+    buckets = spark.range(n).select(F.lit(0).alias("t"), F.lit(7).cast("long").alias("m"), F.xxhash64("id").alias("fp"))
+    groups = simhash_dedup._tiled(buckets, 50_000).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("side").alias("right")).collect()
+    assert len(groups) == 20 * 21 // 2
+    assert max(r.n for r in groups) < 2.1 * 50_000
+    assert sum(r.n for r in groups if r.i == r.j) == n
+
+
+def test_blocks_follow_from_the_number_of_fingerprints():
+    assert [simhash_dedup.choose_blocks(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10)] == [6, 6, 6, 7, 8]
+
+
 # --- operator 9
 def normal(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower().translate(str.maketrans("", "", ".,;:!?\"'()[]")))
