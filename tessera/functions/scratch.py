@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = path or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         context.setCheckpointDir(path)
     return df.checkpoint()

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.scratch import cut_lineage
 
 
+#: Nodes of the links (16 bytes each) that are broadcast at most.
+HUBS = 100_000
+
+
 def merge_chain(entities: DataFrame, max_depth: int = 16) -> DataFrame:
     """(id, root, depth) by following ``merged_into`` up to ``max_depth`` times.
 
@@ -23,15 +27,27 @@ def merge_chain(entities: DataFrame, max_depth: int = 16) -> DataFrame:
     return ids
 
 
+def _to_least(star: DataFrame, rows: DataFrame, edges: int) -> DataFrame:
+    """``star`` (u, v) with ``m``, the least of u and its v in ``rows``.
+
+    Nodes with many rows are joined by broadcast, so no task gets a hub's rows; at most
+    ``HUBS`` nodes can have so many. The others are joined by shuffle.
+    """
+    low = cut_lineage(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    hub = F.col("n") > max(256, 2 * edges // HUBS)
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    return star.join(hubs.select("u"), "u", "left_anti").join(low.where(~hub).select("u", "m"), "u").union(star.join(hubs, "u"))
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, keeper): each linked id and the smallest id of its component, by star contraction."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        many = edges.count()
+        large = _to_least(both.where("v > u"), both, many).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut_lineage(large.where("u <> v").distinct())
+        small = _to_least(large, large, many).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = cut_lineage(small.where("u <> v").distinct())
         if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             break

@@ -7,10 +7,11 @@ Arrow batches; keys are independent, and late events only need their keys rebuil
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +20,24 @@ from tessera import constants as C
 TIMELINE = "owner string, subject_id long, verb string, row_no int, object_key string, polarity string, status string, valid_from timestamp, valid_to timestamp, n_evidence int, evidence string, span_id long, claim_id string, superseded_by string"
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", tz="UTC")}
+
+
 def is_functional(verb: Column, functional: tuple[str, ...] = C.FUNCTIONAL_VERBS) -> Column:
     return verb.isin(*functional)
 
 
+def _dated(e: tuple) -> tuple:
+    """An event whose time and span can be compared: those it lacks come before all others."""
+    return e if e[5] is not None and e[6] is not None else (*e[:5], 0 if e[5] is None else e[5], -1 if e[6] is None else e[6])
+
+
 def rebuild(events: list[tuple], functional: bool) -> list[dict]:
     """Rows of one key from (evidence_id, object, polarity, act, speaker, time, span).
 
     The result doesn't depend on the order of ``events``; each event lies in exactly one row.
     """
-    events = sorted(events, key=lambda e: (e[5], e[6], e[0]))
+    events = sorted((_dated(e) for e in events), key=lambda e: (e[5], e[6], e[0] is not None, e[0] or 0))
     retracted_at: dict[tuple, tuple] = {}
     for _, obj, pol, act, speaker, at, span in events:
         if act == "retract" and speaker == "user":
@@ -63,9 +72,16 @@ def rebuild(events: list[tuple], functional: bool) -> list[dict]:
         current = row(e, "grounded")
         intervals.append(current)
     loose: dict[tuple, dict] = {}
+    by_value: dict[tuple, list[dict]] = {}
+    for r in intervals:
+        by_value.setdefault((r["object_key"], r["polarity"]), []).append(r)
+    begins = {v: [r["valid_from"] for r in rows] for v, rows in by_value.items()}
     for e in others:
-        value = [r for r in intervals if (r["object_key"], r["polarity"]) == (e[1], e[2])]
-        home = next((r for r in value if r["valid_from"] <= e[5] and (r["valid_to"] is None or e[5] < r["valid_to"])), value[-1] if value else None)
+        # Intervals of one value begin in order and don't overlap: only the last to begin can hold the event.
+        value = by_value.get((e[1], e[2]), [])
+        at = bisect_right(begins.get((e[1], e[2]), []), e[5]) - 1
+        held = at >= 0 and (value[at]["valid_to"] is None or e[5] < value[at]["valid_to"])
+        home = value[at] if held else value[-1] if value else None
         if home is not None:
             home["events"].append(e)
         elif (e[1], e[2]) in loose:
@@ -77,7 +93,11 @@ def rebuild(events: list[tuple], functional: bool) -> list[dict]:
         r = dropped.setdefault((e[1], e[2]), row(e, "retracted", e[5]) | {"events": []})
         r["events"].append(e)
         r["valid_to"] = e[5]
-    return [*intervals, *points, *(loose[k] for k in sorted(loose)), *(dropped[k] for k in sorted(dropped))]
+    return [*intervals, *points, *(loose[k] for k in sorted(loose, key=_nulls_first)), *(dropped[k] for k in sorted(dropped, key=_nulls_first))]
+
+
+def _nulls_first(value: tuple) -> tuple:
+    return tuple((x is not None, x or "") for x in value)
 
 
 def vote_ids(rows: list[dict], known: dict[int, int]) -> list[int | None]:
@@ -94,41 +114,43 @@ def vote_ids(rows: list[dict], known: dict[int, int]) -> list[int | None]:
 
 
 def claim_timeline(evidence: DataFrame, functional: tuple[str, ...] = C.FUNCTIONAL_VERBS) -> DataFrame:
-    """The timeline of every key; ids of new claims follow from key and place."""
-    columns = [c.split()[0] for c in TIMELINE.split(", ")]
+    """The timeline of every key; ids of new claims follow from key and place.
+
+    Null keys are keys like any other, spelled ``null`` in ids; a key without its object
+    column and one with an empty object don't meet. Null objects and polarities are values.
+    Evidence without an id, a time or a span comes first in its order.
+    """
+    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in TIMELINE.split(", "))])
     key = ["owner", "subject_id", "verb", "_object"]
     keyed = evidence.withColumn("_object", F.when(is_functional(F.col("verb"), functional), F.lit("")).otherwise(F.col("object_key")))
     dealt = keyed.select(*key, "evidence_id", "object_key", "polarity", "act", "speaker", F.unix_micros("event_time").alias("_at"), "span_id").repartition(*key).sortWithinPartitions(*key)
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(held: tuple, events: list[tuple]) -> list[tuple]:
             rows = rebuild(events, held[2] in functional)
-            ids = [f"{'/'.join(str(x) for x in held)}/{k}" for k in range(len(rows))]
+            ids = [f"{'/'.join('null' if x is None else str(x) for x in held)}/{k}" for k in range(len(rows))]
             chain = [k for k, r in enumerate(rows) if r["status"] == "grounded" and r["valid_from"] != r["valid_to"]]
             after = {ids[a]: ids[b] for a, b in zip(chain, chain[1:], strict=False)}
-            return [(*held[:3], k, r["object_key"], r["polarity"], r["status"], r["valid_from"], r["valid_to"], len(r["events"]), ",".join(str(x) for x in sorted(e[0] for e in r["events"])), max(e[6] for e in r["events"]), ids[k], after.get(ids[k])) for k, r in enumerate(rows)]
+            return [(*held[:3], k, r["object_key"], r["polarity"], r["status"], r["valid_from"], r["valid_to"], len(r["events"]), ",".join(str(x) for x in sorted(e[0] for e in r["events"] if e[0] is not None)), max(e[6] for e in r["events"]), ids[k], after.get(ids[k])) for k, r in enumerate(rows)]
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("valid_from", "valid_to"):
-                out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
-            return out
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
         held, events = None, []
-        for pdf in parts:
+        for batch in parts:
             rows = []
-            for x in pdf.itertuples(index=False, name=None):
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if x[:4] != held:
                     if held is not None:
                         rows += rows_of(held, events)
                     held, events = x[:4], []
                 events.append(x[4:])
             if rows:
-                yield frame(rows)
+                yield batch_of(rows)
         if held is not None:
-            yield frame(rows_of(held, events))
+            yield batch_of(rows_of(held, events))
 
-    return dealt.mapInPandas(each, TIMELINE)
+    return dealt.mapInArrow(each, TIMELINE)
 
 
 def live_asserts(evidence: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def trailing_dedup(turns: DataFrame, minutes: int = 10, min_chars: int = 80, lat
     State is one kept time and id of each text, dropped when the watermark passes its window.
     Within a micro-batch rows are taken in event time; a row before the kept one opens no window.
     """
-    span = minutes * 60_000
+    span = minutes * 60_000_000
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,15 +39,15 @@ def trailing_dedup(turns: DataFrame, minutes: int = 10, min_chars: int = 80, lat
         at, kept = state.get if state.exists else (None, None)
         out = []
         for ts, i, n in zip(rows["ts"], rows["id"], rows["n"], strict=True):
-            ms = int(ts.timestamp() * 1000)
-            if n < min_chars or at is None or not 0 <= ms - at < span:
-                at, kept = (ms, int(i)) if n >= min_chars and (at is None or ms >= at) else (at, kept)
+            us = ts.value // 1000
+            if n < min_chars or at is None or not 0 <= us - at < span:
+                at, kept = (us, int(i)) if n >= min_chars and (at is None or us >= at) else (at, kept)
                 out.append((int(i), int(i)))
             else:
                 out.append((int(i), kept))
         if at is not None:
             state.update((at, kept))
-            state.setTimeoutTimestamp(max(at + span, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((at + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "kept_id"])
 
     keyed = turns.withWatermark("ts", late).select("owner", "session_id", "role", F.md5("content").alias("h"), "ts", "id", F.length("content").alias("n"))

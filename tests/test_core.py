@@ -142,6 +142,16 @@ def test_timeline_frame_does_not_depend_on_partitions(spark):
 
 
 # --- entities, graph, jobs
+def test_timeline_takes_null_keys_and_values(spark):
+    at = dt.datetime(2026, 1, 1)
+    schema = "evidence_id long, owner string, subject_id long, verb string, object_key string, polarity string, act string, speaker string, event_time timestamp, span_id long"
+    rows = [(i, "o", s, "likes", "e:1", "positive", "assert", "user", at, i) for i, s in enumerate([None, None, None, 7, 7])]
+    rows += [(5, None, 8, "signup", None, None, "assert", "user", at, None), (6, "o", 9, "likes", "e:1", "positive", "assert", "user", None, 3), (None, "o", 9, "likes", "e:2", None, "retract", "user", at, 3)]
+    for parts in (1, 5):
+        got = timeline.claim_timeline(spark.createDataFrame(rows, schema).repartition(parts)).collect()
+        assert sorted((r.claim_id, r.n_evidence, r.evidence) for r in got) == [("null/8/signup//0", 1, "5"), ("o/7/likes/e:1/0", 2, "3,4"), ("o/9/likes/e:1/0", 1, "6"), ("o/9/likes/e:2/0", 1, ""), ("o/null/likes/e:1/0", 3, "0,1,2")]
+
+
 def test_components_and_merge_chain(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9)], "a long, b long")
     assert {(r.id, r.keeper) for r in entities.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
@@ -255,7 +265,8 @@ def test_capture_drops_repeated_operations(spark, tmp_path):
 
 
 def test_stream_dedup_equals_batch(spark, tmp_path):
-    rows = [turn(i, str(i), m) for i, m in enumerate((0, 4, 9, 11, 15, 22))]
+    rows = [turn(i, str(i), m) for i, m in enumerate((0, 4, 9, 11, 15, 21, 22))]
+    rows[2] = (*rows[2][:6], dt.datetime(2026, 1, 1, 0, 9, 59, 999_999))
     s = stream_of(spark, tmp_path, [rows[:3], rows[3:]], TURN)
     got = {(r.id, r.kept_id) for r in drain(capture.trailing_dedup(s), "deduped").collect()}
     batch = turns.dedup_trailing(spark.createDataFrame(rows, TURN))
@@ -297,11 +308,11 @@ def test_entry_has_a_stable_schema(spark):
 def test_model_claims_validate_strictly(spark):
     from tessera.sources import models
 
-    good = '{"claims": [{"subject": "a", "verb": "is", "object": "b", "polarity": "positive"}]}'
-    answers = {"x": good, "y": '{"claims": [{"subject": "a"}]}', "z": "no json", "": '{"claims": []}'}
-    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None)], "id long, content string")
-    got = models.model_claims(rows, lambda texts: [answers[t] for t in texts]).collect()
-    assert sorted((r.id, r.object, r.error is None) for r in got) == [(1, "b", True), (2, None, False), (3, None, False)]
+    good = '{"claims": [{"subject": "a", "verb": "is", "object": "b", "polarity": "positive", "span_id": 7, "why": "said so"}]}'
+    answers = {"x": good, "y": '{"claims": [{"subject": "a"}]}', "z": "no json", "": '{"claims": []}', "v": good.replace('"is"', '"eats"'), "t": good.replace("7", "true")}
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None), (5, "v"), (6, "t")], "id long, content string")
+    got = models.model_claims(rows, lambda texts: [answers[t] for t in texts], verbs=frozenset({"is"})).collect()
+    assert sorted((r.id, r.span_id, r.object, r.error is None) for r in got) == [(1, 7, "b", True), (2, None, None, False), (3, None, None, False), (5, None, None, False), (6, None, None, False)]
 
 
 def test_query_keys(spark):
