@@ -81,24 +81,56 @@ def trigrams(c: Column) -> Column:
 def trigram_links(terms: DataFrame, names: DataFrame, floor: float = C.TRIGRAM_FLOOR) -> DataFrame:
     """(term, entity_id, similarity) by an inverted index of 3-grams, never by comparing all pairs.
 
-    A pair at the floor shares at least ``floor`` of the larger set, so it has one of the
-    term's rarest grams in common: only those are probed, and candidates are verified.
+    A pair at the floor shares at least ``floor`` of the larger set, so among each side's rarest
+    grams, taken in one order, there is one in common: only those are posted and probed, and
+    candidates of like size are verified.
     """
     a = terms.select("term", trigrams(F.col("term")).alias("ta")).distinct()
-    b = names.select("entity_id", "name", trigrams(F.col("name")).alias("tb"))
-    posting = b.select("entity_id", F.explode("tb").alias("gram"))
-    frequency = posting.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = a.select("term", F.size("ta").alias("size"), F.explode("ta").alias("gram")).join(frequency, "gram", "left").fillna(0, ["n"])
-    # Prefix filter: of s grams at most s - ceil(floor * s) can miss, so one of the first that many plus one is shared.
-    order = Window.partitionBy("term").orderBy("n", "gram")
-    prefix = grams.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("size") - F.ceil(F.lit(floor) * F.col("size") - 1e-9) + 1)
-    candidates = prefix.select("term", "gram").join(posting, "gram").select("term", "entity_id").distinct()
-    both = candidates.join(a, "term").join(b, "entity_id")
+    b = names.select("entity_id", "name", trigrams(F.col("name")).alias("tb")).distinct()
+    frequency = b.select(F.explode("tb").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, *key: str) -> DataFrame:
+        """Of s grams at most s - ceil(floor * s) can miss, so one of the first that many plus one is shared."""
+        order = Window.partitionBy(*key).orderBy("n", "gram")
+        grams = rows.join(frequency, "gram", "left").fillna(0, ["n"]).withColumn("r", F.row_number().over(order))
+        return grams.where(F.col("r") <= F.col("size") - F.ceil(F.lit(floor) * F.col("size") - 1e-9) + 1).select(*key, "size", "gram")
+
+    probe = rarest(a.select("term", F.size("ta").alias("size"), F.explode("ta").alias("gram")), "term")
+    posting = rarest(b.select("entity_id", "name", F.size("tb").alias("size"), F.explode("tb").alias("gram")), "entity_id", "name")
+    met = probe.join(posting.withColumnRenamed("size", "other"), "gram")
+    like = F.least("size", "other") >= F.greatest("size", "other") * floor - 1e-9
+    candidates = met.where(like).select("term", "entity_id", "name").distinct()
+    both = candidates.join(a, "term").join(b, ["entity_id", "name"])
     common = F.size(F.array_intersect("ta", "tb"))
     similarity = common / (F.size("ta") + F.size("tb") - common).cast("double")
     return both.select("term", "entity_id", "name", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= floor)
 
 
+def link_entities(phrases: DataFrame, vectors: DataFrame, entities: DataFrame, surfaces: DataFrame, name_vectors: DataFrame, limit: int = C.LINK_LIMIT) -> DataFrame:
+    """(query, entity_id, exact, trigram, name_similarity, rank): entities that a query may mean.
+
+    ``phrases``: query, term; ``vectors``: query, v; ``entities``: entity_id, merged_into;
+    ``surfaces``: entity_id, name, a row for each name and alias; ``name_vectors``: id, v of
+    entities not merged. Equal names (2) come before similar ones (1, trigrams at the floor)
+    and nearest name vectors (0, three of each query at the floor); then rank the vector,
+    the trigrams and the id. A merged entity stands for the one it was merged into.
+    """
+    terms = phrases.select("term").distinct()
+    equal = terms.join(surfaces, F.col("term") == F.col("name")).select("term", "entity_id", F.lit(2).alias("exact"), F.lit(1.0).alias("trigram"))
+    like = trigram_links(terms, surfaces).select("term", "entity_id", F.lit(1).alias("exact"), F.col("similarity").alias("trigram"))
+    keeper = entities.select("entity_id", F.coalesce("merged_into", "entity_id").alias("kept"))
+    named = phrases.join(equal.unionByName(like), "term").join(keeper, "entity_id")
+    named = named.select("query", F.col("kept").alias("entity_id"), "exact", "trigram", F.lit(0.0).alias("name_similarity"))
+    # Ids of queries and entities may be equal, and a search leaves out equal ids.
+    near = batch_search(vectors.select((-1 - F.col("query")).alias("id"), "v"), name_vectors, C.NAME_TOP)
+    near = near.withColumn("name_similarity", F.round("cosine", 9)).where(F.col("name_similarity") >= C.NAME_FLOOR)
+    near = near.select((-1 - F.col("id")).alias("query"), F.col("other").alias("entity_id"), F.lit(0).alias("exact"), F.lit(0.0).alias("trigram"), "name_similarity")
+    best = named.unionByName(near).groupBy("query", "entity_id").agg(*[F.max(c).alias(c) for c in ("exact", "trigram", "name_similarity")])
+    live = best.join(entities.where("merged_into is null").select("entity_id"), "entity_id", "left_semi")
+    order = Window.partitionBy("query").orderBy(F.desc("exact"), F.desc("name_similarity"), F.desc("trigram"), "entity_id")
+    return live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 def budget_skip(rows: DataFrame, group: str, order: list[str], cost: str, budget: int, start: int = 0) -> DataFrame:
     """Greedy knapsack that passes over what doesn't fit and goes on; adds ``kept``."""
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("_cost"))))

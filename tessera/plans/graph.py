@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.functions.scratch import cut_lineage
 from tessera.operators import graph as G
+from tessera.plans.readpath import seeds_of_queries
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
@@ -36,10 +38,10 @@ def mention_edge_ema(spark, sf_dir):
 
 @query()
 def beam_walk(spark, sf_dir):
-    edges = G.mention_edge_ema(A.mentions(spark, sf_dir), _vectors(spark, sf_dir, "turn"), _vectors(spark, sf_dir, "noun_id"))
-    v = A.turn_vec(spark, sf_dir).where("id = 0").select("embedding").first()[0]
-    seeds = A.mentions(spark, sf_dir).where("turn in (1, 2, 3, 4, 5, 6, 7, 32, 33, 34)").select(F.col("noun_id").alias("noun"), "turn", "conf").groupBy("noun", "turn").agg(F.max("conf").alias("similarity"))
-    return G.beam_walk(seeds, edges, list(v), C.VECTOR_K)
+    # A walk reads the edges several times, so they are written once.
+    edges = cut_lineage(G.mention_edge_ema(A.mentions(spark, sf_dir), _vectors(spark, sf_dir, "turn"), _vectors(spark, sf_dir, "noun_id")))
+    queries = A.turn_vec(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("qv"))
+    return G.beam_walk(seeds_of_queries(spark, sf_dir), edges, queries, C.VECTOR_K)
 
 
 @query(f"WITH {EDGE2} SELECT source, neighbor, claim_id, node_rank FROM e2", ("edges",))

@@ -24,4 +24,4 @@ def query(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import claims, evaluation, graph, jobs, retrieval, text, turns  # noqa: F401
+    from tessera.plans import claims, evaluation, graph, jobs, readpath, retrieval, text, turns  # noqa: F401

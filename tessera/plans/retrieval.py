@@ -104,15 +104,16 @@ def near_dup_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT least(a.id,b.id) AS a, greatest(a.id,b.id) AS b, round({COS}(a.embedding,b.embedding),6) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id WHERE a.owner='o0' AND b.owner IN ('o0','o1'))
-    SELECT a, b, max(c) AS cosine FROM p WHERE c>=0.35 GROUP BY 1,2""",
+    f"""WITH p AS (SELECT a.id AS id, b.id AS other, round({COS}(a.embedding,b.embedding),9) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id AND a.owner=b.owner),
+    k AS (SELECT * FROM p WHERE c>=0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, other)<=5)
+    SELECT least(id,other) AS a, greatest(id,other) AS b, round(max(c),6) AS cosine, count(*)=2 AS mutual FROM k GROUP BY 1,2""",
     ("turn_vec",),
 )
 def undirected_knn(spark, sf_dir):
+    """Pairs of which either side chose the other among its nearest; whether both did."""
     v = A.turn_vec(spark, sf_dir).select("id", "owner", F.col("embedding").alias("v"))
-    p = block_pairs(v.where("owner = 'o0'").select("id", "v"), v.where("owner in ('o0', 'o1')").select("id", "v"), 0.35 - 1e-6, blocks=4)
-    p = p.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.round("cosine", 6).alias("c")).where("c >= 0.35")
-    return p.groupBy("a", "b").agg(F.max("c").alias("cosine"))
+    chosen = search.batch_search(v, v, 5, 0.2, blocks=4, left_blocks=4, group="owner")
+    return chosen.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.round(F.max("cosine"), 6).alias("cosine"), (F.count("*") == 2).alias("mutual"))
 
 
 @query(
@@ -165,17 +166,36 @@ def entity_link_trigram(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation),
-    x AS (SELECT a.id AS term_id, b.id AS entity_id, CASE WHEN a.name=b.name THEN 2 WHEN starts_with(b.name, substr(a.name,1,6)) THEN 1 ELSE 0 END AS exact FROM t a JOIN t b ON substr(a.name,1,2)=substr(b.name,1,2))
-    SELECT term_id, entity_id, exact, rank FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY exact DESC, entity_id) AS rank FROM x) WHERE rank<=20""",
+    f"""WITH m AS (SELECT count(*) AS n FROM turn_vec), e AS (SELECT s_suppkey AS id, lower(s_name) AS norm, CASE WHEN s_suppkey%10=9 THEN s_suppkey-1 END AS merged FROM supplier),
+    n AS (SELECT id, norm AS surface FROM e UNION SELECT id, 'vendor '||id FROM e WHERE id%3<>0),
+    p AS (SELECT id AS query, norm AS term FROM e WHERE id%50=0 UNION SELECT id, replace(norm,'pp','p') FROM e WHERE id%50=0 UNION SELECT id, 'vendor '||(id+9) FROM e WHERE id%50=0),
+    w AS (SELECT x, unnest(string_split(regexp_replace(x,'[^a-z0-9]+',' ','g'),' ')) AS t FROM (SELECT surface AS x FROM n UNION SELECT term FROM p)),
+    g AS (SELECT DISTINCT x, substr('  '||t||' ', i, 3) AS g FROM w, range(1,40) r(i) WHERE t<>'' AND i<=length(t)+1), z AS (SELECT x, count(*) AS c FROM g GROUP BY 1),
+    k AS (SELECT a.x AS term, b.x AS surface, count(*) AS k FROM g a JOIN g b ON a.g=b.g WHERE a.x IN (SELECT term FROM p) GROUP BY 1,2),
+    s AS (SELECT term, surface, round(k/CAST(x.c+y.c-k AS DOUBLE),6) AS sim FROM k JOIN z x ON x.x=term JOIN z y ON y.x=surface),
+    named AS (SELECT query, coalesce(merged,e.id) AS id, CASE WHEN surface=term THEN 2 ELSE 1 END AS exact, sim AS trigram, 0.0::DOUBLE AS ns FROM p JOIN s USING (term) JOIN n USING (surface) JOIN e ON e.id=n.id WHERE sim>=0.6),
+    near AS (SELECT q.id AS query, b.id, round({COS}(t.embedding,u.embedding),9) AS ns FROM e q, m, e b, turn_vec t, turn_vec u WHERE q.id%50=0 AND t.id=(q.id+7)%n AND b.merged IS NULL AND u.id=b.id%n),
+    top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query ORDER BY ns DESC, id)<=3),
+    best AS (SELECT query, id, max(exact) AS exact, max(trigram) AS trigram, max(ns) AS ns FROM (SELECT * FROM named UNION ALL SELECT query, id, 0, 0.0, ns FROM top WHERE ns>=0.8) GROUP BY 1,2)
+    SELECT query, b.id AS entity_id, exact, round(trigram,6) AS trigram, round(ns,6) AS name_similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, ns DESC, trigram DESC, id) AS rank FROM best WHERE id IN (SELECT id FROM e WHERE merged IS NULL)) b WHERE rank<=20""",
+    ("turn_vec",),
 )
 def entity_link(spark, sf_dir):
-    t = A.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"), F.substring(F.lower("n_name"), 1, 2).alias("k"))
-    b = t.select(F.col("id").alias("entity_id"), F.col("name").alias("other"), "k")
-    exact = F.when(F.col("name") == F.col("other"), 2).when(F.col("other").startswith(F.substring("name", 1, 6)), 1).otherwise(0)
-    order = Window.partitionBy("term_id").orderBy(F.desc("exact"), "entity_id")
-    ranked = t.join(b, "k").select(F.col("id").alias("term_id"), "entity_id", exact.alias("exact")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= C.LINK_LIMIT)
+    """Every fiftieth supplier asks with its name, a misspelt one, an alias of another and a vector, against all."""
+    v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
+    n = v.count()
+    s = A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("entity_id"), F.lower("s_name").alias("name"))
+    entities = s.select("entity_id", F.when(F.col("entity_id") % 10 == 9, F.col("entity_id") - 1).alias("merged_into"))
+    alias = lambda c: F.concat(F.lit("vendor "), c.cast("string"))
+    surfaces = s.union(s.where("entity_id % 3 <> 0").select("entity_id", alias(F.col("entity_id"))))
+    asked = s.where("entity_id % 50 = 0")
+    phrases = asked.select(F.col("entity_id").alias("query"), F.explode(F.array("name", F.replace("name", F.lit("pp"), F.lit("p")), alias(F.col("entity_id") + 9))).alias("term"))
+    of = lambda c: (c % n).alias("k")
+    by_key = v.withColumnRenamed("id", "k")
+    vectors = asked.select(F.col("entity_id").alias("query"), of(F.col("entity_id") + 7)).join(by_key, "k").select("query", "v")
+    name_vectors = entities.where("merged_into is null").select(F.col("entity_id").alias("id"), of(F.col("entity_id"))).join(by_key, "k").select("id", "v")
+    found = search.link_entities(phrases, vectors, entities, surfaces, name_vectors)
+    return found.select("query", "entity_id", "exact", F.round("trigram", 6).alias("trigram"), F.round("name_similarity", 6).alias("name_similarity"), "rank")
 
 
 @query()

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import constants as C
+from tessera.functions.scratch import cut_lineage
+from tessera.operators.readpath import QUEUE_ROWS
 from tessera.operators.timeline import claim_timeline
 
 
@@ -81,6 +83,27 @@ def refresh_timelines(evidence: DataFrame, log: str, table: str, checkpoint: str
     return evidence.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
+def bounded_intake(turns: DataFrame, queue: str, outbox: str, checkpoint: str, capacity: int = QUEUE_ROWS) -> DataStreamWriter:
+    """Write each micro-batch's first ``capacity`` turns, by (ts, id), to ``queue``; the rest waits in ``outbox``.
+
+    What waits is offered again with the next batch, oldest first, so nothing is dropped. A
+    batch writes its own folders of both tables and reads the outbox of the one before, so
+    repeating it changes nothing. ``outbox/batch=N`` is what waits after batch N; earlier
+    ones may be deleted. Bound what a batch reads with ``maxFilesPerTrigger`` or its like.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = f"{outbox}/batch={n - 1}"
+        offered = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if n and _exists(spark, before) else batch
+        offered = cut_lineage(offered)
+        taken = cut_lineage(offered.orderBy("ts", "id").limit(capacity))
+        taken.write.mode("overwrite").parquet(f"{queue}/batch={n}")
+        offered.join(taken.select("id"), "id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{outbox}/batch={n}")
+
+    return turns.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

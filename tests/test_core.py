@@ -333,3 +333,118 @@ def test_embeddings_are_deterministic_and_null_for_blanks(spark):
     assert got[0] == got[1] is not None
     assert got[2] is None
     assert got[3] is None
+
+
+# --- the read path
+def test_prefix_rules(spark):
+    from tessera.operators import readpath as R
+
+    rows = [(1, None, None, None), (2, "interactive", "bench-1", "\t [System: x"), (3, "cron", "chat", "a [System:"), (4, "interactive", "bench_1", "Cronjob Response: y"), (5, None, "c8-2", " " * 300 + "[System: z")]
+    d = spark.createDataFrame(rows, "id int, kind string, sid string, text string")
+    got = d.select("id", R.interactive(F.col("kind"), F.col("sid")).alias("i"), R.synthetic_row(F.col("text")).alias("s"), R.starts_with_any(F.col("sid"), R.SYNTHETIC_SESSIONS).alias("t")).orderBy("id").collect()
+    assert [r.i for r in got] == [True, False, False, True, True]
+    assert [r.s for r in got] == [False, True, False, True, False]
+    assert [r.t for r in got] == [False, True, False, True, True]
+    assert [R.view_shares(n) for n in (0, 1, 2, 10, 100)] == [(1, 0), (1, 0), (1, 1), (7, 3), (70, 30)]
+
+
+def test_display_fields_of_odd_texts(spark):
+    from tessera.operators import readpath as R
+
+    t = dt.datetime(2024, 1, 1, 0, 0, 30, 5)
+    rows = [(None, None), ("", t), ("## \n", t), (" **a**  b \nc", t), ("x" * 281, t), ("y" * 279 + "  z", t)]
+    d = spark.createDataFrame(rows, "text string, ts timestamp")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = d.select(R.excerpt(F.col("text")).alias("e"), R.title(F.col("text"), F.lit("Turn")).alias("t"), R.iso(F.col("ts")).alias("i"), R.lease_left(F.col("ts"), now).alias("l")).collect()
+    assert [r.e for r in got] == ["", "", "##", "**a** b c", "x" * 279 + "…", "y" * 279 + "…"]
+    assert [r.t for r in got] == ["Turn", "Turn", "Turn", "a  b", "x" * 77 + "…", "y" * 77 + "…"]
+    assert (got[0].i, got[0].l) == (None, "—")
+    assert (got[1].i, got[1].l) == ("2024-01-01T00:00:30.000005Z", "00:30 left")
+
+
+def test_bounded_intake_defers_and_drops_nothing(spark, tmp_path):
+    source = str(tmp_path / "in")
+    t0 = dt.datetime(2024, 1, 1)
+    for part in (range(0, 25), range(25, 32), range(32, 33)):
+        spark.createDataFrame([(i, t0 + dt.timedelta(seconds=i)) for i in part], "id long, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        capture.bounded_intake(stream, str(tmp_path / "q"), str(tmp_path / "o"), str(tmp_path / "c"), 10).trigger(availableNow=True).start().awaitTermination()
+    queue = [sorted(r.id for r in spark.read.parquet(str(tmp_path / f"q/batch={n}")).collect()) for n in range(3)]
+    waits = sorted(r.id for r in spark.read.parquet(str(tmp_path / "o/batch=2")).collect())
+    assert queue == [list(range(0, 10)), list(range(10, 20)), list(range(20, 30))]
+    assert waits == [30, 31, 32]
+
+
+def test_entity_link_ranks(spark):
+    entities = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, None), (5, None)], "entity_id long, merged_into long")
+    names = spark.createDataFrame([(1, "alpha service"), (2, "alfa"), (3, "alpha services"), (4, "unlike"), (5, None), (3, "alpha service")], "entity_id long, name string")
+    phrases = spark.createDataFrame([(7, "alpha service"), (7, "alfa"), (8, "nothing"), (9, None)], "query long, term string")
+    vectors = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query long, v array<double>")
+    own = spark.createDataFrame([(4, [1.0, 0.1]), (5, [0.7, 0.7]), (1, [-1.0, 0.0])], "id long, v array<double>")
+    got = search.link_entities(phrases, vectors, entities, names, own).orderBy("query", "rank").collect()
+    assert [(r["query"], r.entity_id, r.exact, r["rank"]) for r in got] == [(7, 1, 2, 1), (7, 3, 2, 2), (7, 4, 0, 3)]
+
+
+def test_trigram_links_lose_nothing(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc1") for _ in range(rng.randrange(1, 9))) + (" x" if rng.random() < 0.3 else "") for _ in range(120)]
+    grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+    want = {(a, i) for a in words[:60] for i, b in enumerate(words) if round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6) >= 0.6}
+    terms = spark.createDataFrame([(w,) for w in words[:60]], "term string")
+    names = spark.createDataFrame(list(enumerate(words)), "entity_id long, name string")
+    assert {(r.term, r.entity_id) for r in search.trigram_links(terms, names).collect()} == want
+
+
+def test_beam_walk_equals_plain_walk(spark):
+    import math
+
+    rng = random.Random(3)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    poles = {n: vec() for n in range(9)}
+    edges = [(s, t, rng.uniform(2, 9), rng.randrange(0, 80), vec(), [rng.randrange(0, 60) for _ in range(3)], poles[s]) for s in range(9) for t in range(9) if s != t and rng.random() < 0.6]
+    queries = [(q, vec()) for q in (0, 50)]
+    seeds = [(q, n, rng.randrange(0, 60), rng.uniform(0.2, 1)) for q in (0, 50) for n in rng.sample(range(9), 4)]
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else None
+
+    want = set()
+    for q, qv in queries:
+        active = [(n, turn, sim, (n,)) for i, n, turn, sim in seeds if i == q]
+        for hop in (1, 2):
+            found = []
+            for at, turn, sim, path in active:
+                for s, t, mag, _, tp, prov, sp in edges:
+                    if s != at:
+                        continue
+                    units = [[x / math.sqrt(sum(y * y for y in e[4])) for x in e[4]] for e in edges if t in e[:2] and e[:2] != (s, t) and e[3] >= turn - 32]
+                    decay = 1.0
+                    if units:
+                        decay = math.exp(-0.05 * hop * (1 - (cos(tp, [sum(x) for x in zip(*units, strict=True)]) or 0) * cos(tp, qv)))
+                    score = (0.4 * sim + 0.4 * max(cos(sp, qv), 0) * max(cos(tp, qv), 0) * (turn in prov) + 0.2 * decay) * min(mag, 8) / 8
+                    if round(score, 9) >= 0.05:
+                        found.append((round(score, 9), (*path, t), turn, sim, t))
+            found.sort(key=lambda x: (-x[0], x[1], x[2]))
+            found = found[: 16 if hop == 1 else 8]
+            want |= {(q, hop, turn, at, ">".join(map(str, path)), round(score, 6)) for score, path, turn, _, at in found}
+            active = [(at, turn, sim, path) for _, path, turn, sim, at in found]
+    e = spark.createDataFrame(edges, "src long, tgt long, magnitude double, last_active_turn long, tgt_pole array<double>, provenance array<long>, src_pole array<double>")
+    got = G.beam_walk(spark.createDataFrame(seeds, "query long, noun long, turn long, similarity double"), e, spark.createDataFrame(queries, "query long, qv array<double>"), 4)
+    assert {(r["query"], r.hop, r.turn, r["at"], r.path, round(r.score, 6)) for r in got.collect()} == want
+
+
+def test_read_api(spark):
+    from tessera.plans import api
+
+    assert api.route("/api/librarian/nodes/12/audit") == ("vertex_audit", "id", 12)
+    for bad in ("/", "/api/librarian/nodes/x", "/api/librarian/nodes/1/2"):
+        with pytest.raises(LookupError):
+            api.route(bad)
+    assert all(name == "health" or name in registry.QUERIES for _, name, _ in api.ROUTES)
+    assert api.respond(spark, SMALL, "/health").first().status == "ok"
+    assert api.check_label("Turn") == "Turn"
+    for bad in (None, "", "a b", "1x", "x)--", "Turn\n"):
+        with pytest.raises(ValueError):
+            api.check_label(bad)
+    assert [r.id for r in api.respond(spark, SMALL, "/api/librarian/nodes/3/").collect()] == [3]
