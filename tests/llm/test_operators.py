@@ -282,6 +282,33 @@ def test_line_dedup_recurses_until_groups_are_small(spark, monkeypatch):
     assert set(range(12, 18)) <= near
 
 
+@pytest.mark.parametrize("threshold", [2, 3])
+def test_line_dedup_recurses_at_larger_thresholds(spark, threshold):
+    rng = random.Random(threshold)
+    base = "".join(rng.choice("abcdefghij") for _ in range(36))
+    lines = [base]
+    while len(lines) < 9:
+        line = rng.choice(lines[:4])
+        for _ in range(rng.randrange(1, threshold + 3)):
+            line = one_edit(rng, line)
+        if line not in lines:
+            lines.append(line)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *row]
+            for j, y in enumerate(b, 1):
+                row[j] = min(row[j + 1] + 1, row[j - 1] + 1, row[j] + (x != y))
+            row.pop()
+        return row[-1]
+
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "doc int, line int, text string")
+    want = {i for i in range(len(lines)) if any(edits(lines[j], lines[i]) <= threshold for j in range(i))}
+    assert 0 < len(want) < len(lines) - 1
+    assert {r.line for r in line_dedup.near_lines(df, threshold, cap=2)[1].collect()} == want
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     line = "a line that stands in two documents"
     rows = [(1, line, "p", 5, 6, "q"), (2, line + "\nown text of the second", "p", 5, 6, "q"), (3, "again a second document", "p", 5, 6, "q")]
