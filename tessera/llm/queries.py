@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.html_extract import extract
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.merkle import manifest
 from tessera.llm.mixing import schedule
 from tessera.llm.quality_rules import score_quality
 from tessera.llm.secret_scan import scan
@@ -67,7 +68,24 @@ def op10_html_extraction(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_source_mixing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_html_extraction)}
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proofs = manifest(docs, {"n_chars": F.col("n_chars") + 1}, tampered)
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_source_mixing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_html_extraction, op12_merkle_manifest)}
+#: DuckDB has no CRC-32: the table of its 256 bytes by its polynomial, and the fold over a string's bytes.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc_of(text: str) -> str:
+    """DuckDB SQL of the CRC-32 of ``text``, where ``crc`` is a column with the table."""
+    at = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))".format(text)
+    return f"xor(list_reduce(list_prepend(4294967295, {at}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 #: Templates, hashes and edit distances that DuckDB has too; the other results need tokenizers, XXH64 or trees.
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": """
@@ -87,4 +105,26 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY 1""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS crc),
+        d AS (SELECT doc_id, lang, lang IS NULL AS no_lang, coalesce(lang, '') AS l, n_chars + CASE WHEN {crc_of("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN 1 ELSE 0 END AS m,
+                     concat({", ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang"))}) AS head,
+                     coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS n, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents, t),
+        leaves AS (SELECT doc_id, no_lang, l, sha256(head || n || tail) AS leaf, sha256(head || coalesce(octet_length(encode(CAST(m AS VARCHAR))) || ':' || m, '-') || tail) AS other FROM d),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY no_lang, l ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY no_lang, l) AS n FROM leaves),
+        low AS (SELECT no_lang, l, 0 AS k, pos, leaf AS h, n FROM placed
+                UNION ALL SELECT no_lang, l, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY no_lang, l, k, pos // 2, n),
+        subroots AS (SELECT no_lang, l, k AS height, h AS subroot, row_number() OVER (ORDER BY NOT no_lang, l) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+        high AS (SELECT 0 AS k, place AS pos, subroot AS h, n FROM subroots
+                 UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY k, pos // 2, n),
+        steps AS (SELECT p.no_lang, p.l, p.pos, i.k, (p.pos >> i.k) & 1 AS slot, low.h FROM placed p JOIN subroots s USING (no_lang, l), LATERAL (SELECT unnest(range(s.height)) AS k) i
+                  LEFT JOIN low ON low.no_lang = p.no_lang AND low.l = p.l AND low.k = i.k AND low.pos = xor(p.pos >> i.k, 1)
+                  UNION ALL SELECT p.no_lang, p.l, p.pos, s.height + i.k, (s.place >> i.k) & 1, high.h FROM placed p JOIN subroots s USING (no_lang, l), LATERAL (SELECT unnest(range((SELECT max(k) FROM high))) AS k) i
+                  LEFT JOIN high ON high.k = i.k AND high.pos = xor(s.place >> i.k, 1)),
+        proofs AS (SELECT no_lang, l, pos, sha256(coalesce(string_agg(h, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY 1, 2, 3),
+        fold AS (SELECT no_lang, l, pos, 0 AS k, other AS h FROM placed
+                 UNION ALL SELECT f.no_lang, f.l, f.pos, f.k + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.slot = 1 THEN s.h || f.h ELSE f.h || s.h END) FROM fold f JOIN steps s USING (no_lang, l, pos, k)),
+        folded AS (SELECT no_lang, l, pos, arg_max(h, k) AS folded_root FROM fold GROUP BY 1, 2, 3)
+        SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+        FROM placed p JOIN subroots s USING (no_lang, l) JOIN folded USING (no_lang, l, pos) LEFT JOIN proofs q USING (no_lang, l, pos), (SELECT h FROM high WHERE n = 1) r""",
 }
