@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.llm import toxicity
 from tessera.llm.bradley_terry import score_documents, train
 from tessera.llm.chat_format import canonical_turns, digest, format_conversations, rows_as_records
 from tessera.llm.common import table
@@ -15,6 +16,7 @@ from tessera.llm.mixing import schedule
 from tessera.llm.quality_rules import score_quality
 from tessera.llm.secret_scan import scan
 from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.spelling import variants
 from tessera.llm.token_counts import section_tokens
 
 
@@ -68,6 +70,10 @@ def op10_html_extraction(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -75,7 +81,14 @@ def op12_merkle_manifest(spark, sf_dir):
     return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_source_mixing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_html_extraction, op12_merkle_manifest)}
+def op13_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_source_mixing, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_html_extraction, op11_spelling_variants, op12_merkle_manifest, op13_toxicity)}
 #: DuckDB has no CRC-32: the table of its 256 bytes by its polynomial, and the fold over a string's bytes.
 CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
@@ -105,6 +118,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
         FROM c GROUP BY 1""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS crc),
+        r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        g AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY 1, 2),
+        h AS (SELECT run, c, {crc_of("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM g, t),
+        s AS (SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+        p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+        k AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS wild, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM p),
+        d AS (SELECT DISTINCT word, n, less FROM k),
+        near AS (SELECT a.word, b.word AS other, b.n FROM k a JOIN k b USING (wild) WHERE a.word <> b.word
+                 UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less),
+        best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'other': other}}) AS b FROM near GROUP BY 1),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * w.n THEN b.other END AS form, CASE WHEN -b.less >= 5 * w.n THEN -b.less END AS form_n FROM w LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY 1) USING (word)""",
     "op12_merkle_manifest": f"""
         WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS crc),
         d AS (SELECT doc_id, lang, lang IS NULL AS no_lang, coalesce(lang, '') AS l, n_chars + CASE WHEN {crc_of("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN 1 ELSE 0 END AS m,
