@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import running_sums
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 LOSS_ROLES = ("assistant",)
 
@@ -150,13 +152,14 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", order: tup
     whole = one.groupBy(conv_col).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     flat = F.flatten(F.filter(F.transform("_rows", lambda r: r["_t"]), lambda x: x.isNotNull()))
     pieces = whole.select(conv_col, F.transform(flat, lambda t: F.struct(t["role"].alias("role"), write_turn(t).alias("piece"))).alias("_p"))
-    marked = F.expr(
-        f"""aggregate(_p, named_struct('n', 0, 'at', 0L, 'spans', cast(array() as array<struct<turn:int,start:bigint,end:bigint>>)),
-        (a, p) -> named_struct('n', a.n + 1, 'at', a.at + length(p.piece), 'spans',
-          if(p.role in ({", ".join(repr(r) for r in LOSS_ROLES)}),
-             concat(a.spans, array(named_struct('turn', a.n, 'start', a.at + {len(START)} + length(p.role) + 1, 'end', a.at + length(p.piece) - {len(END)}))),
-             a.spans)), a -> a.spans)"""
-    )
+    # The end of each piece, then the spans of the turns under the mask.
+    ends = running_sums(F.transform("_p", lambda p: F.length(p["piece"]).cast("long")))
+
+    def span(end: Column, k: Column) -> Column:
+        p = F.get("_p", k)
+        return F.struct(k.alias("turn"), (end - F.length(p["piece"]) + len(START) + F.length(p["role"]) + 1).alias("start"), (end - len(END)).alias("end"))
+
+    marked = F.filter(F.transform(ends, span), lambda s: F.get("_p", s["turn"])["role"].isin(*LOSS_ROLES))
     return pieces.select(conv_col, F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("formatted"), marked.alias("loss_spans"))
 
 

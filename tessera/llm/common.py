@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,22 @@ def ascii_lower(c: Column) -> Column:
 def words(c: Column) -> Column:
     """The words of a text in order; a null text has none."""
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def powers(n: Column) -> Column:
+    """1, 2, 4, ... up to the last below ``n`` or equal to it."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.lit(1), n))).cast("int")), lambda b: F.pow(F.lit(2), b).cast("int"))
+
+
+def running_sums(values: Column) -> Column:
+    """The running sums of an array of numbers: by doubling, so that no array is copied for each element."""
+
+    def doubled(a: Column, d: Column) -> Column:
+        return F.transform(a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))
+
+    return bind(values, lambda v: F.aggregate(powers(F.size(v)), v, doubled))

@@ -1,10 +1,12 @@
 """Operator 10, HTML extraction by site template removal.
 
-A page is parsed into a tree. Every element subtree, within the marked article too, gets
-a hash of its tags, classes and texts; Spark counts on how many pages of a host each hash
-occurs. Subtrees that recur on pages of their host are template and are deleted. Within an
-article equal articles count once, and an article most of which recurs (a near copy)
-counts for nothing, so that copies of a text don't make it template.
+A page is parsed into a tree. Every element subtree gets a hash of its tags, classes and
+texts; Spark counts on how many pages of a host each hash occurs. Subtrees that recur on
+pages of their host are template and are deleted. Within the marked article only containers
+can be template, never a paragraph, heading or list, whatever else repeats its words; and only
+in a slot (an element's name and marks) most of whose contents on the host recur: a wrapper
+that holds fresh text elsewhere is text. There equal articles count once, and an article most
+of which recurs (a near copy) counts for nothing, so that copies of a text don't make it template.
 What changes from page to page is told by element and class on every host: navigation,
 headers, footers, asides, forms, adverts, notices, comments.
 """
@@ -29,7 +31,9 @@ SHORT = 20
 MIN_SHARE = 0.10
 #: Low bits of a subtree's hash.
 LONG, INSIDE = 1, 2
-#: Template subtrees that may be broadcast; beyond it pages and their subtrees are joined by shuffle.
+#: Share of what a slot within articles holds on a host that must recur.
+SLOT_SHARE = 0.5
+#: Template subtrees that may be sent to all tasks; beyond it pages and their subtrees are joined by shuffle.
 BROADCAST_SUBTREES = 200_000
 
 # HTML elements by how they behave.
@@ -40,6 +44,8 @@ DROPPED = frozenset("nav header footer aside form button select dialog menu head
 # Words of class, id or role attributes that mark what isn't main text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe signup login comment comments disqus reply replies share sharing social related recommended widget pagination pager complementary contentinfo search".split())
 CONTENT = frozenset(("article", "main"))
+# Elements that may be template within an article: boxes, not text.
+BOXES = frozenset("center details div fieldset figure section".split())
 _CLOSES_P = BLOCKS - {"body", "html", "head", "caption", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -130,13 +136,13 @@ def parse(page: str) -> Node:
     return top
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], list[int], int | None]:
-    """The text blocks of a page in order, the hashes of the subtrees that hold them, those of
-    the subtrees beside an article, and a hash of the articles.
+def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], list[int], list[int], int | None]:
+    """The text blocks of a page in order, the hashes of the subtrees that hold them and their
+    slots, the hashes of the subtrees beside an article, and a hash of the articles.
 
     A block is (text, places in the hashes of the subtrees that hold all of it). Blocks that
     an element or class marks as no main text are left out, and so are those outside the
-    article if the page has an article with text. Within an article only subtrees of the
+    article if the page has an article with text. Within an article only boxes of the
     article count: what surrounds it would fall with each copy of it. The last hash is None
     without such an article. Without recursion, so that deep nesting is no trouble.
     """
@@ -156,6 +162,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], li
             state["open"] = True
 
     digests: dict[int, int] = {}
+    slots: dict[int, int] = {}
     articles: list[str] = []
     stack: list = [(top, 0, (), False, [], [0])]
     while stack:
@@ -178,6 +185,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], li
             digest = xxhash.xxh64_intdigest("\x00".join([node.name, node.marks, *parts]).encode("utf-8", "surrogatepass"))
             flagged = digest & ~(LONG | INSIDE) | (LONG if size[0] >= SHORT else 0) | (INSIDE if node.inside else 0)
             digests[id(node)] = _signed(flagged)
+            slots[digests[id(node)]] = _signed(xxhash.xxh64_intdigest(f"{node.name} {node.marks}".encode("utf-8", "surrogatepass")))
             if node.name in CONTENT and not node.parent.inside:
                 articles.append(f"{digest}")
             if stack:
@@ -187,7 +195,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], li
     for texts, path, dropped, inside in found:
         text = _SPACE.sub(" ", "".join(texts)).strip()
         if text:
-            marks = [digests[id(n)] for n in path if n.inside == inside and n.name not in ("html", "body") and n.name not in CONTENT]
+            marks = [digests[id(n)] for n in path if n.inside == inside and n.name not in ("html", "body") and n.name not in CONTENT and (n.name in BOXES or not inside)]
             out.append((text, marks, dropped, inside))
     article = any(inside and not dropped for _, _, dropped, inside in out)
     places: dict[int, int] = {}
@@ -201,7 +209,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int], li
         elif article:
             beside.update(dict.fromkeys(marks))
     own = _signed(xxhash.xxh64_intdigest(" ".join([*articles, "", *map(str, places)]))) if article else None
-    return kept, list(places), list(beside), own
+    return kept, list(places), [slots[m] for m in places], list(beside), own
 
 
 def _signed(digest: int) -> int:
@@ -209,11 +217,23 @@ def _signed(digest: int) -> int:
 
 
 def _recurring(rows: DataFrame, key: str, subtrees: DataFrame) -> DataFrame:
-    """``rows`` (host, key, hashes, ...) with ``known``: hashes in ``subtrees`` (host, hash), the row's own ones at least."""
+    """``rows`` (host, key, hashes, ...) with ``known``: those of the row's hashes that are in ``subtrees`` (host, hash).
+
+    A small table goes to all tasks as sets by host, so that texts stay where they are.
+    """
     if subtrees.count() <= BROADCAST_SUBTREES:
-        # The pages' texts stay where they are.
-        of_host = subtrees.groupBy("host").agg(F.collect_set("hash").alias("known"))
-        return rows.join(F.broadcast(of_host), "host", "left")
+        of_host: dict[str, set[int]] = {}
+        for host, found in subtrees.collect():
+            of_host.setdefault(host, set()).add(found)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hosts, hashes = batch.column("host").to_pylist(), batch.column("hashes").to_pylist()
+                known = [[h for h in own or () if h in of_host.get(host, ())] for host, own in zip(hosts, hashes, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.list_(pa.int64()))], names=[*batch.schema.names, "known"])
+
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(each, f"{columns}, known array<long>")
     met = rows.select("host", key, F.explode("hashes").alias("hash")).join(subtrees, ["host", "hash"]).groupBy("host", key).agg(F.collect_set("hash").alias("known"))
     return rows.join(met, ["host", key], "left")
 
@@ -243,33 +263,40 @@ def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", ht
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int32()))]))
         for batch in batches:
-            keys, rows, hashes, others, articles = [], [], [], [], []
+            keys, rows, hashes, slots, others, articles = [], [], [], [], [], []
             for page in batch.column("html"):
                 page = page.as_py()
-                found, own, beside, article = blocks(page)
+                found, own, places, beside, article = blocks(page)
                 keys.append(_signed(xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))))
                 rows.append([{"text": t, "marks": m} for t, m in found])
                 hashes.append(own)
+                slots.append(places)
                 others.append(beside)
                 articles.append(article)
-            arrays = [pa.array(keys, pa.int64()), pa.array(articles, pa.int64()), pa.array(rows, block), pa.array(hashes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), *arrays], names=["id", "url", "host", "page", "article", "blocks", "hashes", "beside"])
+            arrays = [pa.array(keys, pa.int64()), pa.array(articles, pa.int64()), pa.array(rows, block), *(pa.array(x, pa.list_(pa.int64())) for x in (hashes, slots, others))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), *arrays], names=["id", "url", "host", "page", "article", "blocks", "hashes", "slots", "beside"])
 
-    schema = f"id {kinds['id']}, url {kinds['url']}, host string, page long, article long, blocks array<struct<text:string,marks:array<int>>>, hashes array<long>, beside array<long>"
+    schema = f"id {kinds['id']}, url {kinds['url']}, host string, page long, article long, blocks array<struct<text:string,marks:array<int>>>, hashes array<long>, slots array<long>, beside array<long>"
     parsed = materialize(slim.mapInArrow(each, schema), "parsed")
 
     # Distinct pages and distinct articles of each host by subtree: copies are folded before counting.
     inside = F.col("hash").bitwiseAND(INSIDE) != 0
     shape = F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("chars"), b["marks"].alias("marks")))
-    main = F.struct(F.coalesce("article", "page").alias("key"), F.col("article").isNotNull().alias("inside"), "hashes", shape.alias("shape"))
-    rest = F.when(F.col("article").isNotNull(), F.struct(F.col("page").alias("key"), F.lit(False).alias("inside"), F.col("beside").alias("hashes"), F.slice(shape, 1, 0).alias("shape")))
+    main = F.struct(F.coalesce("article", "page").alias("key"), F.col("article").isNotNull().alias("inside"), "hashes", "slots", shape.alias("shape"))
+    rest = F.when(F.col("article").isNotNull(), F.struct(F.col("page").alias("key"), F.lit(False).alias("inside"), F.col("beside").alias("hashes"), F.transform("beside", lambda _: F.lit(0).cast("long")).alias("slots"), F.slice(shape, 1, 0).alias("shape")))
     units = parsed.select("host", F.explode(F.filter(F.array(main, rest), lambda u: u.isNotNull())).alias("u")).select("host", "u.*")
-    units = units.groupBy("host", "key", "inside").agg(F.first("hashes").alias("hashes"), F.first("shape").alias("shape"))
+    units = units.groupBy("host", "key", "inside").agg(F.first(F.struct("hashes", "slots", "shape")).alias("u")).select("host", "key", "inside", "u.*")
     units = materialize(units, "subtrees")
     size = units.where("not inside").groupBy("host").agg(F.count("*").alias("pages"))
-    counts = units.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = units.select("host", F.explode(F.arrays_zip("hashes", "slots")).alias("h")).groupBy("host", F.col("h.hashes").alias("hash")).agg(F.count("*").alias("n"), F.min("h.slots").alias("slot"))
+    counts = materialize(counts, "hashes")
+    # Slots within articles whose contents recur more than not.
+    recurs = F.sum(F.when(F.col("n") >= min_pages, F.col("n")).otherwise(0))
+    fixed = counts.where(inside).groupBy("host", "slot").agg(recurs.alias("again"), F.sum("n").alias("all")).where(F.col("again") >= F.col("all") * SLOT_SHARE).select("host", "slot")
+    counts = counts.where(F.col("n") >= min_pages)
+    counts = counts.where(inside).join(fixed, ["host", "slot"], "left_semi").unionByName(counts.where(~inside)).join(size, "host")
     wide = F.col("n") >= F.col("pages") * min_share
-    counts = counts.join(size, "host").select("host", "hash", wide.alias("wide")).where(F.col("wide") | (F.col("hash").bitwiseAND(LONG) != 0))
+    counts = counts.select("host", "hash", wide.alias("wide")).where(F.col("wide") | (F.col("hash").bitwiseAND(LONG) != 0))
     counts = materialize(counts.select("host", "hash", (F.col("wide") & ~inside).alias("sure")), "counts")
     open_ = counts.where("not sure").select("host", "hash")
     # A page of whose text more recurs in this way than not is a near copy, and no witness.

@@ -24,11 +24,11 @@ expressions; work and memory are linear in the text but for sorting and running
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bind, powers, running_sums
+
 # The base patterns. Letters of the first stand in either case, ASCII alone.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -57,25 +57,6 @@ ALTERNATE = f"{_VOWEL}(?={_CONSONANT})|{_CONSONANT}(?={_VOWEL})"
 _SPANS = "cast(array() as array<struct<start:int,end:int,size:int,value:string>>)"
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is made once."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
-
-
-def _powers(n: Column) -> Column:
-    """1, 2, 4, ... up to the last below ``n`` or equal to it."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.lit(1), n))).cast("int")), lambda b: F.pow(F.lit(2), b).cast("int"))
-
-
-def _running(values: Column) -> Column:
-    """The running sums of an array of numbers: by doubling, so that no array is copied for each element."""
-
-    def doubled(a: Column, d: Column) -> Column:
-        return F.transform(a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))
-
-    return _bind(values, lambda v: F.aggregate(_powers(F.size(v)), v, doubled))
-
-
 def _found(text: str, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, size, value>> of all matches, leftmost first, in code points.
 
@@ -86,9 +67,9 @@ def _found(text: str, pattern: str, group: int = 0) -> Column:
         values = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)) if group else matches
         lengths = F.zip_with(F.split(F.col(text), pattern, -1), matches, lambda g, m: F.array(F.length(g), F.coalesce(F.length(m), F.lit(0))))
         # Ends of gap, match, gap, match, ...
-        return _bind(_running(F.flatten(lengths)), lambda s: F.transform(values, lambda v, i: F.struct(F.get(s, 2 * i).alias("start"), F.get(s, 2 * i + 1).alias("end"), F.length(v).alias("size"), v.alias("value"))))
+        return bind(running_sums(F.flatten(lengths)), lambda s: F.transform(values, lambda v, i: F.struct(F.get(s, 2 * i).alias("start"), F.get(s, 2 * i + 1).alias("end"), F.length(v).alias("size"), v.alias("value"))))
 
-    return _bind(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.expr(_SPANS)))
+    return bind(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.expr(_SPANS)))
 
 
 def _digest(spans: Column) -> Column:
@@ -108,8 +89,8 @@ def _covered(spans: str, x: Column) -> Column:
     def step(p: Column, d: Column) -> Column:
         return F.when((p + d <= size) & (F.get(F.col(spans), p + d - 1)["start"] <= x["start"]), p + d).otherwise(p)
 
-    last = F.aggregate(F.reverse(_powers(size)), F.lit(0), step)  # spans that start at x or before
-    return F.when(size == 0, F.lit(False)).otherwise(F.coalesce(_bind(last, lambda p: F.get(F.col(spans), p - 1)["end"] >= x["end"]), F.lit(False)))
+    last = F.aggregate(F.reverse(powers(size)), F.lit(0), step)  # spans that start at x or before
+    return F.when(size == 0, F.lit(False)).otherwise(F.coalesce(bind(last, lambda p: F.get(F.col(spans), p - 1)["end"] >= x["end"]), F.lit(False)))
 
 
 def battery(run: str) -> str:

@@ -388,6 +388,18 @@ def test_chat_format_round_trip(spark):
     assert k == 5
 
 
+def test_chat_format_is_linear_in_turns(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text ', id) as text")
+    turns = rows.select("conv_id", "turn", F.array(F.struct("role", "text")).alias("canonical"))
+    began = time.time()
+    got = chat_format.digest(chat_format.format_conversations(turns)).first()
+    assert time.time() - began < 60
+    said = [f"text {i}" for i in range(1, n, 2)]
+    assert (got.n_turns, got.loss_chars) == (n, sum(map(len, said)))
+    assert got.loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest()
+
+
 def test_chat_format_layouts_by_fingerprint(spark):
     records = [
         ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
