@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import turns as T
+from tessera.operators.batches import paired_batches as batches
+from tessera.operators.batches import with_pairs
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
@@ -186,12 +188,57 @@ def duplicate_rows(spark, sf_dir):
     return d.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT event_id AS id, user_id%20 AS s, ts, row_number() OVER (PARTITION BY user_id%20 ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT id, s, ts, k, ts AS first, 1 AS n FROM t WHERE k=1
+          UNION ALL SELECT t.id, t.s, t.ts, t.k, CASE WHEN cut THEN t.ts ELSE f.first END, CASE WHEN cut THEN 1 ELSE f.n+1 END
+          FROM f JOIN t ON t.s=f.s AND t.k=f.k+1, LATERAL (SELECT f.n>=8 OR t.ts-f.ts > INTERVAL 10 MINUTE OR t.ts-f.first > INTERVAL 30 MINUTE AS cut) c)
+    SELECT id, first AS batch_start, CAST(n AS INT) AS position FROM f""",
+)
 def model_batches(spark, sf_dir):
     e = A.read(spark, sf_dir, "events")
     return T.model_batches(e.select(F.col("event_id").alias("id"), F.lit("o").alias("owner"), (F.col("user_id") % 20).alias("session_id"), "ts"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT 'o'||(user_id%4) AS owner, 's'||user_id AS session_id, event_id AS id, CASE WHEN event_id%3=0 THEN 'assistant' ELSE 'user' END AS role, 1704067200000000+(epoch_us(ts)-1704067200000000)//64 AS time, event_id%40=7 AS closes FROM events),
+    p AS (SELECT *, lag(id) OVER w AS prev, lag(role) OVER w AS prev_role, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY owner, session_id ORDER BY time, id)),
+    t AS (SELECT owner, session_id, id, role, time, closes, k, CASE WHEN role<>'user' AND prev_role='user' AND id%4<>3 THEN prev END AS pair FROM p),
+    f AS (SELECT owner, session_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ids, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS waits,
+                 CAST([] AS STRUCT(started BIGINT, ready BIGINT, reason VARCHAR, ids BIGINT[])[]) AS gone FROM t GROUP BY 1, 2
+          UNION ALL
+          SELECT owner, session_id, k, CASE WHEN len(o4)>0 THEN [] ELSE ids3 END, first3, last3, CASE WHEN len(o4)>0 THEN NULL ELSE waits3 END, o1||o2||o3||o4 FROM (
+            SELECT *, CASE WHEN len(ids3)>0 AND closes THEN [{'started': first3, 'ready': time, 'reason': 'flush', 'ids': ids3}] WHEN len(ids3)>=8 AND waits3 IS NULL THEN [{'started': first3, 'ready': time, 'reason': 'size', 'ids': ids3}] ELSE [] END AS o4 FROM (
+            SELECT *, CASE WHEN joins THEN ids2||[id] ELSE ids2 END AS ids3, CASE WHEN joins AND len(ids2)=0 THEN time ELSE first END AS first3, CASE WHEN joins THEN time ELSE last END AS last3,
+              CASE WHEN role='user' THEN id WHEN waits2=pair THEN NULL ELSE waits2 END AS waits3,
+              CASE WHEN joins THEN [] WHEN pair IS NULL THEN [{'started': time, 'ready': time+600000000, 'reason': 'alone', 'ids': [id]}] ELSE [{'started': time, 'ready': time+600000000, 'reason': 'pair', 'ids': [pair, id]}] END AS o3 FROM (
+            SELECT *, role='user' OR coalesce(list_contains(ids2, pair), false) AS joins FROM (
+            SELECT *, CASE WHEN full_ THEN [{'started': first, 'ready': time, 'reason': 'size', 'ids': ids1}] ELSE [] END AS o2, CASE WHEN full_ THEN [] ELSE ids1 END AS ids2, CASE WHEN full_ THEN NULL ELSE waits1 END AS waits2 FROM (
+            SELECT *, role='user' AND len(ids1)>=8 AS full_ FROM (
+            SELECT *, CASE WHEN late THEN [{'started': first, 'ready': due, 'reason': CASE WHEN due=last+600000000 THEN 'idle' ELSE 'wait' END, 'ids': ids}] ELSE [] END AS o1, CASE WHEN late THEN [] ELSE ids END AS ids1, CASE WHEN late THEN NULL ELSE waits END AS waits1 FROM (
+            SELECT *, len(ids)>0 AND due<time AS late FROM (
+            SELECT t.*, f.ids, f.first, f.last, f.waits, least(f.last+600000000, f.first+1800000000) AS due FROM f JOIN t ON t.owner=f.owner AND t.session_id=f.session_id AND t.k=f.k+1)))))))) ),
+    ended AS (SELECT owner, session_id, {'started': first, 'ready': least(last+600000000, first+1800000000), 'reason': CASE WHEN last+600000000<=first+1800000000 THEN 'idle' ELSE 'wait' END, 'ids': ids} AS b FROM f WHERE len(ids)>0 QUALIFY k=max(k) OVER (PARTITION BY owner, session_id)),
+    every AS (SELECT owner, session_id, unnest(gone) AS b FROM f UNION ALL SELECT l.owner, l.session_id, l.b FROM ended l JOIN (SELECT owner, session_id, max(k) AS k FROM t GROUP BY 1,2) m ON m.owner=l.owner AND m.session_id=l.session_id JOIN f ON f.owner=m.owner AND f.session_id=m.session_id AND f.k=m.k AND len(f.ids)>0)
+    SELECT owner, session_id, make_timestamp(b.started) AS started, make_timestamp(b.ready) AS ready, b.reason AS reason, array_to_string(b.ids, ',') AS ids FROM every""",
+)
+def paired_batches(spark, sf_dir):
+    """Sessions of users on a clock 64 times as fast; every third turn an answer, some of them without a pair."""
+    e = A.read(spark, sf_dir, "events")
+    start = 1_704_067_200_000_000
+    turns = e.select(
+        F.concat(F.lit("o"), F.col("user_id") % 4).alias("owner"),
+        F.concat(F.lit("s"), "user_id").alias("session_id"),
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 3 == 0, "assistant").otherwise("user").alias("role"),
+        F.timestamp_micros(F.lit(start) + F.floor((F.unix_micros("ts") - start) / 64)).alias("ts"),
+        (F.col("event_id") % 40 == 7).alias("closes"),
+    )
+    known = with_pairs(turns).withColumn("pair", F.when(F.col("id") % 4 != 3, F.col("pair")))
+    got = batches(known)
+    return got.select("owner", "session_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ready").alias("ready"), "reason", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
 @query(
     """WITH o AS (SELECT DISTINCT 'o'||(user_id%4) AS owner FROM events UNION SELECT DISTINCT owner FROM turns UNION SELECT DISTINCT 'o'||(vec_id%4) FROM embeddings) SELECT owner FROM o""",
     ("turns",),
