@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import cut_lineage
+
 SESSION_KINDS = ("interactive", "benchmark", "system_test")
 
 
@@ -37,25 +39,62 @@ def previous_of_role(turns: DataFrame, role: str = "assistant") -> DataFrame:
 
 
 def dedup_trailing(turns: DataFrame, minutes: int = 10, min_chars: int = 80) -> DataFrame:
-    """Turns with ``kept_id``: the kept turn whose window they fall in, or their own id.
-
-    A kept turn of ``min_chars`` or more opens a window for turns of the same owner,
-    session, role and content; only kept turns open windows, so this is a fold in order.
+    """(id, kept_id) of turns: the kept turn whose window they fall in, or their own id.
+
+    A kept turn of ``min_chars`` or more opens a window of ``minutes`` for turns of the same
+    owner, session, role and content; only kept turns open windows. Each turn points to the
+    first one beyond its own window, and what is kept are the turns that pointers lead to from
+    the first turn after each pause; pointers double each round. Windows of rows go by (key,
+    stretch of ``minutes``), so a key of any size is many tasks. Turns without a time are kept;
+    a turn that is there twice is kept once; null keys and texts are values like any other.
     """
-    seconds = minutes * 60
-    keyed = turns.withColumn("_h", F.md5("content"))
-    items = F.array_sort(F.collect_list(F.struct("ts", "id")))
-    init = F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("of"), F.expr("cast(array() as array<struct<id:bigint,kept_id:bigint>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        inside = a["at"].isNotNull() & (F.unix_micros(x["ts"]) - F.unix_micros(a["at"]) < seconds * 1_000_000)
-        kept = F.when(inside, a["of"]).otherwise(x["id"])
-        return F.struct(F.when(inside, a["at"]).otherwise(x["ts"]).alias("at"), kept.alias("of"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), kept.alias("kept_id")))).alias("out"))
-
-    long_ = keyed.where(F.length("content") >= min_chars).groupBy("owner", "session_id", "role", "_h").agg(items.alias("i"))
-    folded = long_.select(F.explode(F.aggregate("i", init, step, lambda a: a["out"])).alias("x")).select("x.id", "x.kept_id")
-    short = keyed.where(F.length("content") < min_chars).select("id", F.col("id").alias("kept_id"))
-    return folded.unionByName(short)
+    width = minutes * 60_000_000
+    at = F.unix_micros("ts")
+    key = F.xxhash64("owner", "session_id", "role", *(F.col(c).isNull() for c in ("owner", "session_id", "role", "content")), "content")
+    windowed = (F.length("content") >= min_chars) & F.col("ts").isNotNull()
+    long_ = turns.where(windowed).select(F.struct(key.alias("h"), F.md5(F.concat_ws("\x01", "owner", "session_id", "role", "content")).alias("m")).alias("key"), at.alias("at"), "id").distinct()
+    long_ = cut_lineage(long_.withColumn("part", F.floor(F.col("at") / width)))
+    short = turns.where(~F.coalesce(windowed, F.lit(False))).select("id", F.col("id").alias("kept_id"))
+
+    # The stretches of a key that hold turns, with the turns around them.
+    ends = long_.groupBy("key", "part").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("last"))
+    over_parts = Window.partitionBy("key").orderBy("part")
+    ends = ends.select("key", "part", F.lag("last").over(over_parts).alias("before"), F.lead(F.struct("part", "first")).over(over_parts).alias("after"))
+
+    # A turn asks, in the stretch after its own, for the first turn at the end of its window or later.
+    own = long_.select("key", "part", "at", F.lit(1).alias("kind"), "id")
+    asked = long_.select("key", (F.col("part") + 1).alias("part"), (F.col("at") + width).alias("at"), F.lit(0).alias("kind"), "id")
+    backwards = Window.partitionBy("key", "part").orderBy(F.desc("at"), F.desc("kind"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.last(F.when(F.col("kind") == 1, F.struct("at", "id")), ignorenulls=True).over(backwards)
+    answers = own.unionByName(asked).select("key", (F.col("part") - 1).alias("part"), "kind", "id", (F.col("at") - width).alias("at"), nearest.alias("hit")).where("kind = 0")
+    # Else it is the first turn of the next stretch that isn't its own neighbour.
+    skip = ends.select("key", "part", F.when(F.col("after.part") > F.col("part") + 1, F.col("after.first")).alias("near"), F.col("after.part").alias("next"))
+    far = ends.select("key", F.col("part").alias("next"), F.col("after.first").alias("following"))
+    beyond = skip.join(far, ["key", "next"], "left").select("key", "part", F.coalesce("near", "following").alias("otherwise"))
+    pointers = answers.join(beyond, ["key", "part"], "left").select("key", "id", "at", F.coalesce("hit", "otherwise").alias("to"))
+
+    # The first turn after a pause is kept whatever was before.
+    inside = F.lag("at").over(Window.partitionBy("key", "part").orderBy("at", "id"))
+    roots = long_.select("key", "part", "at", "id", inside.alias("earlier")).join(ends.select("key", "part", "before"), ["key", "part"])
+    earlier = F.coalesce("earlier", "before")
+    kept = cut_lineage(roots.where(earlier.isNull() | (F.col("at") - earlier >= width)).select("key", F.struct("at", "id").alias("of")))
+    jumps = cut_lineage(pointers.where("to is not null").select("key", F.struct("at", "id").alias("of"), "to").join(kept.select("key", F.col("of").alias("to")), ["key", "to"], "left_anti"))
+    while True:
+        reached = kept.join(jumps, ["key", "of"]).select("key", F.col("to").alias("of")).distinct()
+        new = cut_lineage(reached.join(kept, ["key", "of"], "left_anti"))
+        if not new.take(1):
+            break
+        kept = cut_lineage(kept.unionByName(new))
+        onward = jumps.select("key", F.col("of").alias("to"), F.col("to").alias("_next"))
+        jumps = cut_lineage(jumps.join(onward, ["key", "to"]).select("key", "of", F.col("_next").alias("to")))
+
+    # A turn's kept one is in its own stretch or the one before.
+    marked = kept.select("key", "of.at", "of.id", F.floor(F.col("of.at") / width).alias("part"), F.lit(True).alias("is_kept"))
+    rows = long_.select("key", "part", "at", "id").join(marked.drop("part"), ["key", "at", "id"], "left").select("key", "part", "at", "id", F.lit(1).alias("kind"), F.coalesce("is_kept", F.lit(False)).alias("is_kept"))
+    rows = rows.unionByName(marked.select("key", (F.col("part") + 1).alias("part"), "at", "id", F.lit(0).alias("kind"), "is_kept"))
+    forward = Window.partitionBy("key", "part").orderBy("at", "id", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select("id", "kind", F.last(F.when(F.col("is_kept"), F.col("id")), ignorenulls=True).over(forward).alias("kept_id"))
+    return found.where("kind = 1").select("id", "kept_id").unionByName(short)
 
 
 def flower_edges(turns: DataFrame) -> DataFrame:

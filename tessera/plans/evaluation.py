@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import order_statistics
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at index round(q * (n - 1)) of a sorted array, halves to even; exact."""
-    return F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
-
-
 @query(
     """WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY 1) SELECT event_type, len(v) AS n, v[CAST(round_even(0.5*(len(v)-1),0) AS INT)+1] AS p50, v[CAST(round_even(0.95*(len(v)-1),0) AS INT)+1] AS p95, v[CAST(round_even(0.99*(len(v)-1),0) AS INT)+1] AS p99 FROM s""",
 )
 def latency_percentiles(spark, sf_dir):
-    """Exact order statistics by rank in a window, so no group is gathered."""
+    """Exact percentiles by narrowing brackets."""
     e = A.read(spark, sf_dir, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(n, "event_type")
-    at = lambda q: F.max(F.when(F.col("r") == F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    found = order_statistics(e, ["event_type"], "value", [0.5, 0.95, 0.99])
+    at = lambda q: F.max(F.when(F.col("share") == q, F.col("found")))
+    return found.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query(
