@@ -30,10 +30,18 @@ def mention_edges(spark, sf_dir):
     return G.mention_edges(A.mentions(spark, sf_dir)).withColumn("magnitude", F.round("magnitude", 6))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT count(*) AS n FROM turn_vec), {PAIRS},
+    o AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY turn, conf) AS k FROM pr), a AS (SELECT *, CASE WHEN k=1 THEN 1.0 ELSE least(greatest(conf,0.05),0.4) END AS a FROM o),
+    w AS (SELECT *, a*exp(coalesce(sum(CASE WHEN k>1 THEN ln(1-a) END) OVER (PARTITION BY src, tgt ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)) AS w FROM a)
+    SELECT w.src, w.tgt, round(least(8.0,sum(conf)),6) AS magnitude, max(turn) AS last_active_turn, CAST(least(count(*),32) AS INT) AS n_provenance, round(sum(w*t.embedding[1]),6) AS pole0, round(sum(w*t.embedding[64]),6) AS pole63
+    FROM w, m, turn_vec t WHERE t.id=w.turn%m.n GROUP BY 1,2""",
+    ("mentions", "turn_vec"),
+)
 def mention_edge_ema(spark, sf_dir):
     e = G.mention_edge_ema(A.mentions(spark, sf_dir), _vectors(spark, sf_dir, "turn"), _vectors(spark, sf_dir, "noun_id"))
-    return e.select("src", "tgt", F.round("magnitude", 6).alias("magnitude"), "last_active_turn", F.size("provenance").alias("n_provenance"), F.round(F.get("tgt_pole", F.lit(0)), 6).alias("pole0"))
+    pole = lambda i: F.round(F.get("tgt_pole", F.lit(i)), 6).alias(f"pole{i}")
+    return e.select("src", "tgt", F.round("magnitude", 6).alias("magnitude"), "last_active_turn", F.size("provenance").alias("n_provenance"), pole(0), pole(63))
 
 
 @query()

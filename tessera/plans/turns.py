@@ -77,7 +77,7 @@ def orphan_bridges(spark, sf_dir):
 @query(
     """WITH RECURSIVE t AS (SELECT event_id AS id, user_id%10 AS s, event_type AS c, ts FROM events WHERE length(event_type)*20>=80),
     d AS (SELECT s, c, ts, min(id) AS id FROM t GROUP BY 1,2,3),
-    n AS (SELECT t.s, t.c, t.ts, t.id, (d.ts, d.id) AS next FROM t ASOF JOIN d ON d.s=t.s AND d.c=t.c AND t.ts + INTERVAL 10 MINUTE <= d.ts),
+    n AS MATERIALIZED (SELECT t.s, t.c, t.ts, t.id, (d.ts, d.id) AS next FROM t ASOF JOIN d ON d.s=t.s AND d.c=t.c AND t.ts + INTERVAL 10 MINUTE <= d.ts),
     k AS (SELECT s, c, min((ts, id)) AS kept FROM t GROUP BY 1,2 UNION ALL SELECT k.s, k.c, n.next FROM k JOIN n ON n.s=k.s AND n.c=k.c AND n.ts=k.kept[1] AND n.id=k.kept[2])
     SELECT t.id, k.kept[2] AS kept_id FROM t ASOF JOIN (SELECT s, c, kept, kept[1] AS since FROM k) k ON k.s=t.s AND k.c=t.c AND t.ts>=k.since""",
 )

@@ -9,7 +9,7 @@ import random
 
 import pytest
 
-from tessera.operators import selection, turns
+from tessera.operators import graph, selection, turns
 
 TURN = "id long, owner string, session_id string, role string, content string, ts timestamp, key string, at string, kept_id string"
 
@@ -75,3 +75,30 @@ def test_trailing_dedup_of_a_key_with_many_turns(spark):
     assert got.where("kept_id <> id - id % 600").count() == 0
     assert got.count() == n
     assert turns.dedup_trailing(rows.where("false")).count() == 0
+
+
+def test_pole_is_the_fold_over_mentions(spark):
+    rng = random.Random(9)
+    vectors = {t: [rng.uniform(-1, 1) for _ in range(3)] for t in range(40)}
+    del vectors[7]
+    mentions = [(t, i, rng.choice([1, 2, 3]), rng.choice([0.01, 0.2, 0.3, 0.9]), 0) for t in range(40) for i in range(4)] + [(5, 9, None, 0.5, 0), (None, 0, 1, 0.5, 0)]
+    m = spark.createDataFrame(mentions, "turn long, mention_index int, noun_id long, conf double, chunk_id long")
+    tv = spark.createDataFrame([*vectors.items(), (8000, None)], "turn long, v array<double>")
+    nv = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "noun_id long, v array<double>")
+    got = {(r.src, r.tgt): r for r in graph.mention_edge_ema(m, tv, nv).collect()}
+    steps = collections.defaultdict(list)
+    for t in range(40):
+        own = sorted((i, n, c) for tt, i, n, c, _ in mentions if tt == t and n is not None)
+        for (_, a, c), (_, b, _) in zip(own, own[1:]):
+            if a != b and t in vectors:
+                steps[a, b].append((t, c))
+    steps = {k: sorted(v) for k, v in steps.items() if k[0] != 3}
+    assert set(got) == set(steps)
+    for k, own in steps.items():
+        pole = vectors[own[0][0]]
+        for t, c in own[1:]:
+            a = min(max(c, 0.05), 0.4)
+            pole = [(1 - a) * x + a * y for x, y in zip(pole, vectors[t])]
+        assert all(abs(x - y) < 1e-12 for x, y in zip(pole, got[k].tgt_pole, strict=True))
+        assert got[k].provenance == [t for t, _ in own][:32]
+        assert abs(got[k].magnitude - min(8.0, sum(c for _, c in own))) < 1e-12
