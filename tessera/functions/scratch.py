@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path in that of spark.checkpoint.dir; in a temporary one only where none is set and all runs on one machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         path = context.getConf().get("spark.checkpoint.dir")
         if not path and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = path or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+    return f"{context.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()

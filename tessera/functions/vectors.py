@@ -31,18 +31,39 @@ def parse_vector(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None = None, blocks: int = 8, left_blocks: int | None = None, group: str | None = None, undirected: bool = False) -> DataFrame:
+#: Vectors of a block where blocks follow from counts: two blocks and their product take some 200 MB.
+BLOCK_ROWS = 4_000
+#: Fewest blocks of a side, so that small tables use several tasks.
+LEAST_BLOCKS = 4
+
+
+def blocks_of(rows: DataFrame, least: int = LEAST_BLOCKS) -> int:
+    """So many blocks that none holds much more than BLOCK_ROWS vectors."""
+    return max(least, -(-rows.count() // BLOCK_ROWS))
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector ``v`` can have a cosine: not null, not empty, without null elements."""
+    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, floor: float, top: int | None = None, blocks: int | None = None, left_blocks: int | None = None, group: str | None = None, undirected: bool = False) -> DataFrame:
     """(id, other, cosine) of ids of ``left`` and ``right`` (id long, v array<double>), at ``floor`` or above.
 
-    The sides are cut into ``left_blocks`` (as many as ``blocks`` by default) and ``blocks`` blocks; each
-    pair of blocks is one task with a matrix product, so a task holds two blocks, never a side:
-    raise the numbers with the rows. A side is copied as often as the other has blocks, so a
-    batch of queries takes one left block. ``group``: a column of both sides within which
-    pairs are made. ``top``: keep a row's best within each pair of blocks before the exchange;
-    ties by id. Vectors of zero norm have no cosine and pair with nothing.
+    The sides are cut into ``left_blocks`` and ``blocks`` blocks, by default as many as their
+    counts ask for (``blocks`` of them on both sides if ``undirected``); each pair of blocks is
+    one task with a matrix product, so a task holds two blocks, never a side, whatever the
+    size of a ``group``. A side is copied as often as the other has blocks. ``group``: a column
+    of both sides within which pairs are made. ``top``: keep a row's best within each pair of
+    blocks before the exchange; ties by id. Null and empty vectors, those with null elements
+    and those of zero norm have no cosine and pair with nothing, as do vectors of different sizes.
     """
-    rows, columns = F.lit(left_blocks or blocks), F.lit(blocks)
-    within = [F.col(group).alias("g")] if group else [F.lit(0).alias("g")]
+    left, right = usable(left), usable(right)
+    n_right = blocks or blocks_of(right)
+    n_left = left_blocks or (n_right if undirected else blocks or blocks_of(left))
+    rows, columns = F.lit(n_left), F.lit(n_right)
+    # Vectors of one size meet.
+    within = [F.struct(F.size("v").alias("size"), *([F.col(group).alias("group")] if group else [])).alias("g")]
     a = left.select("id", "v", *within, F.pmod(F.xxhash64("id"), rows).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), columns - 1))).withColumn("side", F.lit(0))
     b = right.select("id", "v", *within, F.pmod(F.xxhash64("id"), columns).cast("int").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("side", F.lit(1))
     if undirected:

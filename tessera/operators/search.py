@@ -8,34 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
-from tessera.functions.vectors import block_pairs, cosine
+from tessera.functions.vectors import block_pairs, blocks_of, cosine
 
 
-def top_k(rows: DataFrame, vector: Column, query: list[float], k: int, *keep: str) -> DataFrame:
-    """The k rows nearest to one query; ties by id. Plans as TakeOrderedAndProject."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select(*keep, F.round(cosine(vector, q), 9).alias("similarity")).where("similarity is not null")
-    return scored.orderBy(F.desc("similarity"), "id").limit(k)
+def batch_search(queries: DataFrame, rows: DataFrame, k: int, floor: float = -1.0, blocks: int | None = None, left_blocks: int | None = None, group: str | None = None) -> DataFrame:
+    """(id, other, cosine, rank): the k nearest rows of each query by block products; ties by id.
 
-
-def three_arm_search(arms: dict[str, DataFrame], query: list[float], k: int = C.VECTOR_K) -> DataFrame:
-    """Top k of each arm, then top k of all; arms have id, owner, session_id, embedding, src."""
-    out = None
-    for arm in arms.values():
-        part = top_k(arm, F.col("embedding"), query, k, "id", "src", "session_id")
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy(F.desc("similarity"), "src", "id").limit(k)
+    Blocks follow from the counts of both sides unless they are given.
+    """
+    n_left = left_blocks or blocks_of(queries, least=1)
+    pairs = block_pairs(queries, rows, floor, top=k, blocks=blocks or blocks_of(rows, least=8), left_blocks=n_left, group=group)
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch_search(queries: DataFrame, rows: DataFrame, k: int, floor: float = -1.0, blocks: int = 8, left_blocks: int = 1, group: str | None = None) -> DataFrame:
-    """(id, other, cosine, rank): the k nearest rows of each query by block products.
+def batch_arms(queries: DataFrame, arms: dict[str, tuple[DataFrame, bool]], k: int = C.VECTOR_K) -> DataFrame:
+    """(query, id, src, session_id, similarity, rank): the k nearest of each arm, then of all arms, for each query.
 
-    One block of queries by default: the rows are then not copied. More queries than a task
-    holds need more ``left_blocks``.
+    ``queries``: id, owner, v. An arm is (rows id, owner, session_id, v; whether only rows of the
+    query's owner count). No query finds itself; ties go by arm, then id.
     """
-    pairs = block_pairs(queries, rows, floor, top=k, blocks=blocks, left_blocks=left_blocks, group=group)
-    order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for src, (rows, own) in arms.items():
+        found = batch_search(queries, rows, k, group="owner" if own else None)
+        part = found.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 9).alias("similarity"))
+        part = part.join(rows.select("id", "session_id"), "id").withColumn("src", F.lit(src))
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "src", "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rrf(rankings: DataFrame, k: int = C.RRF_K) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions.vectors import block_pairs, dot
-from tessera.operators import search
+from tessera.operators import search, vector_index
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
@@ -15,25 +15,24 @@ from tessera.sources import adapters as A
 COS = "list_cosine_similarity"
 
 
-def _first_vector(spark, sf_dir) -> list[float]:
-    """The query vector: row 0 of the embeddings, one row by its key."""
-    row = A.turn_vec(spark, sf_dir).where("id = 0").select("embedding").first()
-    return list(row[0]) if row else [1.0]
+def _asked(v):
+    """Every fiftieth vector asks."""
+    return v.where("id % 50 = 0")
 
 
 @query(
-    f"""WITH q AS (SELECT embedding AS v FROM turn_vec WHERE id=0),
-    s AS (SELECT id, src, session_id, round({COS}(embedding, v), 9) AS similarity FROM turn_vec, q WHERE src='chunk' OR owner='o0'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, id) AS n FROM s)
-    SELECT id, src, session_id, round(similarity,6) AS similarity FROM (SELECT * FROM r WHERE n<=12 ORDER BY similarity DESC, src, id LIMIT 12)""",
+    f"""WITH s AS (SELECT a.id AS query, b.id, b.src, b.session_id, round({COS}(a.embedding, b.embedding), 9) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id AND (b.src='chunk' OR b.owner=a.owner) WHERE a.id%50=0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, src ORDER BY c DESC, id) AS n FROM s),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, src, id) AS rank FROM r WHERE n<=12)
+    SELECT query, id, src, session_id, round(c,6) AS similarity, rank FROM t WHERE rank<=12""",
     ("turn_vec",),
 )
 def vector_search(spark, sf_dir):
-    v = A.turn_vec(spark, sf_dir)
-    own = v.where("owner = 'o0'")
-    arms = {"memory": own.where("src = 'memory'"), "chunk": v.where("src = 'chunk'"), "turn": own.where("src = 'turn'")}
-    found = search.three_arm_search(arms, _first_vector(spark, sf_dir))
-    return found.withColumn("similarity", F.round("similarity", 6))
+    """Three arms: the query's owner's notes and turns, and everybody's chunks."""
+    v = A.turn_vec(spark, sf_dir).withColumnRenamed("embedding", "v")
+    arms = {src: (v.where(F.col("src") == src), src != "chunk") for src in ("memory", "chunk", "turn")}
+    found = search.batch_arms(_asked(v).select("id", "owner", "v"), arms)
+    return found.select("query", "id", "src", "session_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
@@ -48,23 +47,28 @@ def batch_vector_search(spark, sf_dir):
 
 
 @query(
-    f"""WITH q AS (SELECT embedding AS v FROM turn_vec WHERE id=0)
-    SELECT id, round({COS}(embedding,v),6) AS similarity FROM turn_vec, q WHERE owner='o1' AND session_id<>'s0' ORDER BY round({COS}(embedding,v),9) DESC, id LIMIT 24""",
+    f"""WITH p AS (SELECT a.id AS query, b.id, round({COS}(a.embedding,b.embedding),9) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id AND a.owner=b.owner AND b.session_id<>'s0' WHERE a.id%50=0)
+    SELECT query, id, round(c,6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS rank FROM p) WHERE rank<=24""",
     ("turn_vec",),
 )
 def claim_ann(spark, sf_dir):
-    current = A.turn_vec(spark, sf_dir).where("owner = 'o1' and session_id <> 's0'")
-    return search.top_k(current, F.col("embedding"), _first_vector(spark, sf_dir), C.CLAIM_LIMIT, "id").withColumn("similarity", F.round("similarity", 6))
+    """The nearest current claims of the query's owner."""
+    v = A.turn_vec(spark, sf_dir).withColumnRenamed("embedding", "v")
+    got = search.batch_search(_asked(v), v.where("session_id <> 's0'"), C.CLAIM_LIMIT, group="owner")
+    return got.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 6).alias("similarity"), "rank")
 
 
 @query(
-    f"""WITH q AS (SELECT embedding AS v FROM turn_vec WHERE id=0), t AS (SELECT id, round({COS}(embedding,v),9) AS s FROM turn_vec, q WHERE id<>0 ORDER BY s DESC, id LIMIT 3)
-    SELECT id, round(s,6) AS similarity FROM t WHERE s>=0.2""",
+    f"""WITH p AS (SELECT a.id AS query, b.id, round({COS}(a.embedding,b.embedding),9) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id WHERE a.id%50=0),
+    t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, id)<=3)
+    SELECT query, id, round(c,6) AS similarity FROM t WHERE c>=0.2""",
     ("turn_vec",),
 )
 def entity_link_vector(spark, sf_dir):
-    near = search.top_k(A.turn_vec(spark, sf_dir).where("id <> 0"), F.col("embedding"), _first_vector(spark, sf_dir), C.NAME_TOP, "id")
-    return near.where("similarity >= 0.2").withColumn("similarity", F.round("similarity", 6))
+    """The three nearest names, then the floor."""
+    v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
+    near = search.batch_search(_asked(v), v, C.NAME_TOP).where(F.round("cosine", 9) >= 0.2)
+    return near.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 6).alias("similarity"))
 
 
 @query(
@@ -74,7 +78,7 @@ def entity_link_vector(spark, sf_dir):
 )
 def ghost_knn(spark, sf_dir):
     v = A.turn_vec(spark, sf_dir).select("id", "owner", F.col("embedding").alias("v"))
-    out = search.batch_search(v, v, 5, 0.2, blocks=4, left_blocks=4, group="owner")
+    out = search.batch_search(v, v, 5, 0.2, group="owner")
     return out.select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
@@ -87,7 +91,7 @@ def ghost_concept(spark, sf_dir):
     e = A.read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     concept = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
-    got = block_pairs(v, concept.select((-1 - F.col("label")).cast("long").alias("id"), "v"), 0.42, blocks=4)
+    got = block_pairs(v, concept.select((-1 - F.col("label")).cast("long").alias("id"), "v"), 0.42)
     order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), F.desc("other"))
     best = got.withColumn("n", F.row_number().over(order)).where("n <= 2")
     return best.select(F.col("id").alias("turn"), (-1 - F.col("other")).cast("int").alias("concept"), F.round("cosine", 6).alias("cosine"))
@@ -112,7 +116,7 @@ def near_dup_pairs(spark, sf_dir):
 def undirected_knn(spark, sf_dir):
     """Pairs of which either side chose the other among its nearest; whether both did."""
     v = A.turn_vec(spark, sf_dir).select("id", "owner", F.col("embedding").alias("v"))
-    chosen = search.batch_search(v, v, 5, 0.2, blocks=4, left_blocks=4, group="owner")
+    chosen = search.batch_search(v, v, 5, 0.2, group="owner")
     return chosen.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.round(F.max("cosine"), 6).alias("cosine"), (F.count("*") == 2).alias("mutual"))
 
 
@@ -247,18 +251,14 @@ def beam_score(spark, sf_dir):
     return b.where(F.col("s") >= C.BEAM_FLOOR).select("id", F.round("s", 6).alias("score"))
 
 
-@query(
-    f"""WITH q AS (SELECT embedding AS v FROM turn_vec WHERE id=0), s AS (SELECT id, session_id, round({COS}(embedding,v),9) AS c FROM turn_vec, q WHERE owner='o0'),
-    k AS (SELECT * FROM s WHERE c>=0.0 ORDER BY c DESC, id LIMIT 12)
-    SELECT id, session_id, round(c,6) AS similarity, sum(60) OVER (ORDER BY c DESC, id ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM k""",
-    ("turn_vec",),
-)
-def prefetch_spans(spark, sf_dir):
-    """Search, floor, then the token budget, in the order of the read path."""
-    v = A.turn_vec(spark, sf_dir).where("owner = 'o0'")
-    top = search.top_k(v, F.col("embedding"), _first_vector(spark, sf_dir), C.VECTOR_K, "id", "session_id").where("similarity >= 0")
-    packed = search.budget_break(top.withColumn("g", F.lit(1)).withColumn("cost", F.lit(60)), "g", [F.desc("similarity"), F.col("id")], "cost", 600)
-    return packed.select("id", "session_id", F.round("similarity", 6).alias("similarity"), "kept")
+@query()
+def index_search(spark, sf_dir):
+    """Every fiftieth vector's nearest by an index whose probes reach a recall of 0.95."""
+    v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
+    index = vector_index.build(v)
+    probes, recall, share = vector_index.choose_probes(vector_index.recall_curve(index, _asked(v), C.VECTOR_K), 0.95)
+    found = vector_index.search(index, _asked(v), C.VECTOR_K, probes)
+    return found.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 6).alias("similarity"), "rank", F.lit(probes).alias("probes"), F.lit(recall).alias("recall"), F.lit(share).alias("share_read"))
 
 
 @query(
@@ -280,7 +280,7 @@ def embed_stamp(spark, sf_dir):
 def about_links(spark, sf_dir):
     v = A.turn_vec(spark, sf_dir)
     t, m = (v.where(F.col("src") == s).select("id", F.col("embedding").alias("v")) for s in ("turn", "memory"))
-    got = search.batch_search(t, m, 1, 0.3, blocks=4)
+    got = search.batch_search(t, m, 1, 0.3)
     return got.select(F.col("id").alias("turn"), F.col("other").alias("concept"), F.round(F.round("cosine", 9), 6).alias("cosine"))
 
 
