@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import block_pairs
+from tessera.operators import cascade
 from tessera.operators import entities as E
+from tessera.operators import merge as M
 from tessera.operators import timeline as TL
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
@@ -324,3 +326,62 @@ def reresolve(spark, sf_dir):
     """Subjects of evidence moved to the roots of merged entities."""
     c = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.when(F.col("c_custkey") % 6 == 0, F.floor(F.col("c_custkey") / 6)).otherwise(F.col("c_custkey")).cast("long").alias("root"))
     return A.evidence(spark, sf_dir).join(c, "subject_id", "left").select("evidence_id", F.coalesce("root", "subject_id").alias("subject_id"))
+
+
+@query(
+    """WITH RECURSIVE cust AS (SELECT c_custkey AS id FROM customer WHERE c_custkey%50=0 UNION SELECT c.c_custkey FROM customer c JOIN cust d ON c.c_custkey%3=0 AND c.c_custkey>0 AND c.c_custkey//3=d.id),
+    ord AS (SELECT o_orderkey AS id FROM orders JOIN cust ON o_custkey=cust.id), li AS (SELECT l_orderkey*10+l_linenumber AS id, o_custkey||':'||l_partkey AS claim, l_partkey AS part, l_orderkey IN (SELECT id FROM ord) AS gone FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
+    cl AS (SELECT claim, any_value(part) AS part, bool_and(gone) AS gone FROM li GROUP BY 1), pa AS (SELECT part, bool_and(gone) AS gone FROM cl GROUP BY 1),
+    d AS (SELECT 'customer' AS relation, CAST(id AS VARCHAR) AS id FROM cust UNION ALL SELECT 'orders', CAST(id AS VARCHAR) FROM ord UNION ALL SELECT DISTINCT 'lineitem', CAST(id AS VARCHAR) FROM li WHERE gone UNION ALL SELECT 'claim', claim FROM cl WHERE gone UNION ALL SELECT 'part', CAST(part AS VARCHAR) FROM pa WHERE gone)
+    SELECT relation, id, 'delete' AS deed, NULL::VARCHAR AS lost FROM d UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), 'unlink', 'customer:'||user_id FROM events WHERE user_id IN (SELECT id FROM cust)""",
+)
+def cascade_delete(spark, sf_dir):
+    """Every fiftieth customer goes: with those merged into it, its orders and lines; claims and parts go with their last support, events lose their user."""
+    c, o, li = (A.read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("child_id")
+    owned = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    claim = F.concat_ws(":", "o_custkey", "l_partkey")
+
+    def refs(rows, child, child_id, parent, parent_id, action):
+        return rows.select(F.lit(child).alias("child"), child_id.cast("string").alias("child_id"), F.lit(parent).alias("parent"), parent_id.cast("string").alias("parent_id"), F.lit(action).alias("action"))
+
+    parts = [
+        refs(c.where("c_custkey % 3 = 0 and c_custkey > 0"), "customer", F.col("c_custkey"), "customer", F.floor(F.col("c_custkey") / 3), cascade.CASCADE),
+        refs(o, "orders", F.col("o_orderkey"), "customer", F.col("o_custkey"), cascade.CASCADE),
+        refs(li, "lineitem", line, "orders", F.col("l_orderkey"), cascade.CASCADE),
+        refs(owned, "claim", claim, "lineitem", line, cascade.SUPPORT),
+        refs(owned, "part", F.col("l_partkey"), "claim", claim, cascade.SUPPORT),
+        refs(A.read(spark, sf_dir, "events"), "event", F.col("event_id"), "customer", F.col("user_id"), cascade.UNLINK),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return cascade.deletion_closure(every, c.where("c_custkey % 50 = 0").select(F.lit("customer").alias("relation"), F.col("c_custkey").alias("id")))
+
+
+@query(
+    """WITH RECURSIVE m(id, z) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT id, z//3 FROM m WHERE z%3=0 AND z>0), k AS (SELECT id, min(z) AS keeper FROM m GROUP BY 1),
+    n AS (SELECT keeper, sum(p_retailprice) AS weight, min(p_size) AS born FROM part JOIN k ON id=p_partkey GROUP BY 1),
+    e AS (SELECT a.keeper AS src, b.keeper AS dst, max(weight) AS weight, max(cosine) AS cosine FROM (SELECT l_partkey AS src, l_suppkey AS dst, l_quantity AS weight, l_discount AS cosine FROM lineitem) x JOIN k a ON a.id=src JOIN k b ON b.id=dst WHERE a.keeper<>b.keeper GROUP BY 1,2),
+    b AS (SELECT DISTINCT l_orderkey AS chunk, keeper FROM lineitem JOIN k ON id=l_partkey), s AS (SELECT p_size AS surface, arg_max(keeper, (p_retailprice, keeper)) AS keeper, max(p_retailprice) AS seen FROM part JOIN k ON id=p_partkey GROUP BY 1)
+    SELECT 'node' AS relation, keeper AS a, NULL::BIGINT AS b, round(weight,4) AS x, CAST(born AS DOUBLE) AS y FROM n UNION ALL SELECT 'edge', src, dst, weight, cosine FROM e UNION ALL SELECT 'bridge', chunk, keeper, NULL, NULL FROM b UNION ALL SELECT 'alias', surface, keeper, seen, NULL FROM s""",
+)
+def merge_entities(spark, sf_dir):
+    """Parts merged into a third of their number: weights are summed, edges keep their strongest, bridges move, aliases keep the last."""
+    p, li = A.read(spark, sf_dir, "part"), A.read(spark, sf_dir, "lineitem")
+    ids = p.select(F.col("p_partkey").alias("id"))
+    keepers = E.merge_chain(ids.withColumn("merged_into", F.when((F.col("id") % 3 == 0) & (F.col("id") > 0), F.floor(F.col("id") / 3).cast("long")))).select("id", F.col("root").alias("keeper"))
+    edges = li.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"), F.col("l_discount").alias("cosine"))
+    edges = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    got = M.merge_entities(
+        keepers,
+        {
+            "node": M.Relation(p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("weight"), F.col("p_size").alias("born")), ("id",), ("id",), {"weight": F.sum("weight"), "born": F.min("born")}),
+            "edge": M.Relation(edges, ("src", "dst"), ("src", "dst"), {"weight": F.max("weight"), "cosine": F.max("cosine")}, loops=False),
+            "bridge": M.Relation(li.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("id")), ("id",), ("chunk", "id")),
+            "alias": M.Relation(p.select(F.col("p_size").cast("long").alias("surface"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("seen")), ("id",), ("surface",), {"id": M.last_by("id", "seen"), "seen": F.max("seen")}),
+        },
+    )
+    none = F.lit(None)
+    row = lambda name, a, b, x, y: got[name].select(F.lit(name).alias("relation"), F.col(a).alias("a"), (F.col(b) if b else none.cast("long")).alias("b"), (x if x is not None else none.cast("double")).alias("x"), (F.col(y).cast("double") if y else none.cast("double")).alias("y"))
+    return row("node", "id", None, F.round("weight", 4), "born").unionByName(row("edge", "src", "dst", F.col("weight"), "cosine")).unionByName(row("bridge", "chunk", "id", None, None)).unionByName(row("alias", "surface", "id", F.col("seen"), None))

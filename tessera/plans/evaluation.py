@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import block_pairs
+from tessera.operators import backtest
+from tessera.operators.graph import mention_pairs
+from tessera.operators.recall import answer_quality, holders
 from tessera.operators.selection import order_statistics
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
@@ -32,14 +36,40 @@ def shadow_jaccard(spark, sf_dir):
     return a.join(b, "q").select("q", F.round(common / (F.size("a") + F.size("b") - common), 6).alias("jaccard"), (F.size("b") > common).alias("added"))
 
 
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\s_\-]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
 @query(
-    """SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
+    f"""WITH i AS (SELECT item_id, {_NORM.format("text")} AS needle FROM benchmark), d AS (SELECT doc_id, {_NORM.format("text")} AS norm FROM documents)
+    SELECT item_id, doc_id FROM i JOIN d ON needle<>'' AND contains(' '||norm||' ', ' '||needle||' ')""",
 )
 def golden_recall(spark, sf_dir):
-    """Documents that hold an item's text word for word; items are a fixed few, so they are broadcast."""
-    b = A.read(spark, sf_dir, "benchmark").withColumnRenamed("text", "needle")
-    few = F.broadcast(b) if b.count() <= 10_000 else b
-    return A.docs(spark, sf_dir).join(few, F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
+    """Documents that hold an item's words, whatever their case and signs."""
+    items = A.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    return holders(A.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), items).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
+
+
+#: Questions are customers that have an id divisible by 50; an answer is the parts of their orders before 1997, and of the
+#: customer before them where the id is divisible by 100; what is asked for are the parts of all of their orders; a
+#: part of more than 45 units of size belongs to somebody else.
+_ASKED = "q AS (SELECT c_custkey AS question FROM customer WHERE c_custkey%50=0), o AS (SELECT o_custkey AS c, l_partkey AS name, o_orderdate < TIMESTAMP '1997-01-01' AS past FROM orders JOIN lineitem ON l_orderkey=o_orderkey), w AS (SELECT DISTINCT question, name FROM q JOIN o ON c=question), s AS (SELECT question, name FROM q JOIN o ON c=question WHERE past UNION SELECT question, name FROM q JOIN o ON c=question-1 WHERE question%100=0 AND past)"
+
+
+@query(
+    f"""WITH {_ASKED}, e AS (SELECT question, count(*) FILTER (WHERE w.name IS NOT NULL) AS wanted, count(*) FILTER (WHERE w.name IS NOT NULL AND s.name IS NOT NULL) AS hits, count(*) FILTER (WHERE w.name IS NULL) AS noise, count(s.name) AS shown FROM w FULL JOIN s USING (question, name) GROUP BY 1),
+    l AS (SELECT DISTINCT question FROM s JOIN part ON p_partkey=name WHERE p_size>45)
+    SELECT count(*) AS questions, round(sum(hits)/CAST(sum(wanted) AS DOUBLE),6) AS recall, round(avg(noise),6) AS noise, count(l.question) AS leaked, count(*) FILTER (WHERE shown=0) AS empty FROM (SELECT DISTINCT question FROM w) u JOIN e USING (question) LEFT JOIN l USING (question)""",
+)
+def eval_answers(spark, sf_dir):
+    orders = A.read(spark, sf_dir, "orders").join(A.read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = orders.select(F.col("o_custkey").alias("question"), F.col("l_partkey").alias("name"), (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")).alias("past"))
+    asked = A.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("question"))
+    past = own.where("past").select("question", "name")
+    strange = past.select((F.col("question") + 1).alias("question"), "name").where("question % 100 = 0")
+    shown = past.union(strange).join(asked, "question", "left_semi")
+    wanted = own.select("question", "name").join(asked, "question", "left_semi")
+    foreign = A.read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("name"))
+    return answer_quality(shown, wanted, foreign).withColumns({"recall": F.round("recall", 6), "noise": F.round("noise", 6)})
 
 
 @query(
@@ -63,6 +93,33 @@ def link_backtest(spark, sf_dir):
     return e.agg(F.count_if("f").alias("actual"), hits.alias("hits"), F.round(hits / F.count_if("p"), 6).alias("precision"))
 
 
+@query(
+    """WITH m AS (SELECT count(*) AS n FROM embeddings), e0 AS (SELECT least(src,tgt) AS a, greatest(src,tgt) AS b, turn FROM (SELECT noun_id AS src, lead(noun_id) OVER (PARTITION BY turn ORDER BY mention_index, noun_id, conf) AS tgt, turn, conf FROM mentions) WHERE tgt IS NOT NULL AND src<>tgt AND conf>0),
+    cut AS (SELECT min(turn)+(max(turn)-min(turn))*0.6 AS c FROM mentions), e AS (SELECT a, b, min(turn)<=any_value(c) AS past FROM e0, cut GROUP BY 1,2), known AS (SELECT a,b FROM e WHERE past), later AS (SELECT a,b FROM e WHERE NOT past),
+    nodes AS (SELECT noun_id AS id FROM mentions, cut GROUP BY 1 HAVING min(turn)<=any_value(c)),
+    pred AS (SELECT x.id AS a, y.id AS b FROM nodes x, nodes y, m WHERE x.id<y.id AND x.id%n=y.id%n), cand AS (SELECT * FROM pred ANTI JOIN known USING (a,b)),
+    deg AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM known UNION ALL SELECT b FROM known) GROUP BY 1), cls AS (SELECT id, CAST(floor(log2(coalesce(d,0)+1)) AS BIGINT) AS class FROM nodes LEFT JOIN deg USING (id)),
+    sz AS (SELECT class, CAST(ceil(count(*)/64.0) AS BIGINT) AS pools FROM cls GROUP BY 1), pl AS (SELECT id, class, md5(CAST(id AS VARCHAR)) AS h, CAST('0x'||substr(md5(CAST(id AS VARCHAR)),1,8) AS BIGINT)%pools AS pool FROM cls JOIN sz USING (class)),
+    ring AS (SELECT id AS b, coalesce(lead(id) OVER (PARTITION BY class, pool ORDER BY h, id), first_value(id) OVER (PARTITION BY class, pool ORDER BY h, id)) AS c FROM pl),
+    ctl AS (SELECT * FROM (SELECT least(a,c) AS a, greatest(a,c) AS b FROM cand JOIN ring USING (b) WHERE a<>c) ANTI JOIN known USING (a,b)),
+    r AS (SELECT (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM cand SEMI JOIN later USING (a,b)) AS confirmed, (SELECT count(*) FROM ctl) AS controls, (SELECT count(*) FROM ctl SEMI JOIN later USING (a,b)) AS chance)
+    SELECT candidates, confirmed, round(confirmed/candidates,6) AS precision, controls, chance, round(chance/controls,6) AS base_rate, round((confirmed/candidates)/nullif(chance/controls,0),6) AS lift FROM r""",
+    ("mentions",),
+)
+def inferred_links(spark, sf_dir):
+    """Nouns with a cosine of 0.8 or more that weren't linked by six tenths of the history: how many are later?"""
+    m = A.mentions(spark, sf_dir)
+    cut = m.agg((F.min("turn") + (F.max("turn") - F.min("turn")) * 0.6).alias("c"))
+    first = mention_pairs(m).groupBy(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).agg(F.min("turn").alias("turn")).join(F.broadcast(cut))
+    known, later = first.where("turn <= c").select("a", "b"), first.where("turn > c").select("a", "b")
+    nodes = m.groupBy(F.col("noun_id").alias("id")).agg(F.min("turn").alias("turn")).join(F.broadcast(cut)).where("turn <= c").select("id")
+    vectors = A.turn_vec(spark, sf_dir).select(F.col("id").alias("k"), F.col("embedding").alias("v"))
+    v = nodes.withColumn("k", F.col("id") % vectors.count()).join(vectors, "k").select("id", "v")
+    alike = block_pairs(v, v, 0.8, undirected=True).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    got = backtest.link_backtest(alike, nodes, known, later)
+    return got.withColumns({c: F.round(c, 6) for c in ("precision", "base_rate", "lift")})
+
+
 @query(
     """WITH t AS (SELECT d.doc_id, l.quality, CASE WHEN d.n_chars>=1000 THEN 1 ELSE 0 END AS guess FROM documents d JOIN labels l USING (doc_id)) SELECT quality, count(*) AS n, sum(guess) AS recalled, round(avg(guess),6) AS recall FROM t GROUP BY 1""",
 )

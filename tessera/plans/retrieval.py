@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.functions import text as X
 from tessera.functions.vectors import block_pairs, dot
 from tessera.operators import search, vector_index
+from tessera.operators.prefetch import prefetch as read_path
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
@@ -251,6 +253,50 @@ def beam_score(spark, sf_dir):
     return b.where(F.col("s") >= C.BEAM_FLOOR).select("id", F.round("s", 6).alias("score"))
 
 
+@query(
+    f"""WITH RECURSIVE m AS (SELECT count(*) AS n FROM turn_vec),
+    r AS (SELECT 'turn' AS src, t.id, t.owner, coalesce(t.content,'') AS content, v.embedding AS v FROM turns t, m, turn_vec v WHERE v.id=t.id%m.n UNION ALL SELECT 'chunk', doc_id, NULL, coalesce(text,''), v.embedding FROM documents, m, turn_vec v WHERE v.id=doc_id%m.n),
+    p AS (SELECT q.id AS query, r.src, r.id, r.content, round({COS}(q.embedding, r.v),9) AS c FROM turn_vec q JOIN r ON r.src='chunk' OR r.owner=q.owner WHERE q.id%50=0),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query, src ORDER BY c DESC, id)<=12),
+    h AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, src, id)<=12),
+    s AS (SELECT *, substr(trim(content),1,400) AS excerpt FROM h WHERE c>=0.55 AND NOT regexp_matches(content, '(?i)(api[_-]?key|secret|token|passw(or)?d)\\s*[:=]\\s*\\S{{6,}}')),
+    k AS (SELECT *, greatest(1, length(excerpt)//4)+8 AS tokens, row_number() OVER (PARTITION BY query ORDER BY c DESC, src, id) AS pos FROM s),
+    f AS (SELECT query, pos, CASE WHEN 40+tokens<=1200 THEN 40+tokens ELSE 40 END AS used, 40+tokens<=1200 AS kept FROM k WHERE pos=1
+          UNION ALL SELECT k.query, k.pos, CASE WHEN f.used+k.tokens<=1200 THEN f.used+k.tokens ELSE f.used END, f.used+k.tokens<=1200 FROM f JOIN k ON k.query=f.query AND k.pos=f.pos+1),
+    o AS (SELECT id, role, lag(id) OVER w AS pi, lag(content) OVER w AS pc, lead(id) OVER w AS ni, lead(content) OVER w AS nc, lead(role) OVER w AS nr FROM turns WINDOW w AS (PARTITION BY owner, session_id ORDER BY ts, id)),
+    e AS (SELECT span_id, count(DISTINCT object_key) FILTER (WHERE act='assert') AS live, list_sort(list(DISTINCT object_key) FILTER (WHERE act='retract')) AS gone FROM evidence GROUP BY 1),
+    x AS (SELECT k.*, o.role AS r0, CASE WHEN trim(coalesce(pc,''))<>'' AND NOT regexp_matches(pc, '(?i)(api[_-]?key|secret|token|passw(or)?d)\\s*[:=]\\s*\\S{{6,}}') THEN pi END AS prev_id, CASE WHEN trim(coalesce(nc,''))<>'' AND NOT regexp_matches(nc, '(?i)(api[_-]?key|secret|token|passw(or)?d)\\s*[:=]\\s*\\S{{6,}}') THEN ni END AS next_id,
+            nc, nr, e.live, e.gone FROM k JOIN f ON f.query=k.query AND f.pos=k.pos AND f.kept LEFT JOIN o ON k.src='turn' AND o.id=k.id LEFT JOIN e ON k.src='turn' AND e.span_id=k.id)
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY c DESC, src, id) AS INT) AS rank, src, id, round(c,6) AS similarity, tokens, CASE WHEN src='turn' THEN coalesce(r0,'') ELSE 'doc' END AS role, prev_id, next_id,
+      CASE WHEN src='turn' THEN CASE WHEN r0='assistant' AND nr='user' AND regexp_matches(coalesce(nc,''), '{X.REPAIR.replace("'", "''")}') THEN 'repaired' ELSE 'unknown' END END AS uptake, coalesce(live,0) AS live_claims, coalesce(array_to_string(gone[1:2], ','),'') AS retracted,
+      '<span id="'||src||':'||id||'" role="'||CASE WHEN src='turn' THEN coalesce(r0,'') ELSE 'doc' END||'" score="'||printf('%.3f', c)||'">'||replace(replace(replace(excerpt,'&','&amp;'),'<','&lt;'),'>','&gt;')||'</span>' AS line FROM x""",
+    ("turn_vec", "turns", "evidence"),
+)
+def prefetch(spark, sf_dir):
+    """Every fiftieth vector asks over all turns of its owner and all documents; vectors by id."""
+    vec = A.turn_vec(spark, sf_dir).select(F.col("id").alias("k"), F.col("owner").alias("_o"), F.col("embedding").alias("v"))
+    n = vec.count()
+    held = vec.drop("_o")
+    t = A.turns(spark, sf_dir).withColumn("k", F.col("id") % n).join(held, "k").drop("k")
+    d = A.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("").alias("owner"), F.lit("").alias("session_id"), F.col("text").alias("content"), (F.col("doc_id") % n).alias("k")).join(held, "k").drop("k")
+    queries = vec.where("k % 50 = 0").select(F.col("k").alias("id"), F.col("_o").alias("owner"), "v")
+    return read_path(queries, t, d, A.evidence(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    f"""WITH s AS (SELECT a.id AS query, b.id, b.session_id, round({COS}(a.embedding,b.embedding),9) AS c FROM turn_vec a JOIN turn_vec b ON a.id<>b.id AND a.owner=b.owner WHERE a.id%50=0),
+    k AS (SELECT * FROM s WHERE c>=0.0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, id)<=12)
+    SELECT query, id, session_id, round(c,6) AS similarity, sum(60) OVER (PARTITION BY query ORDER BY c DESC, id ROWS UNBOUNDED PRECEDING) <= 600 AS kept FROM k""",
+    ("turn_vec",),
+)
+def prefetch_spans(spark, sf_dir):
+    """The first steps of the read path alone: search, floor, a budget that ends at the first that doesn't fit."""
+    v = A.turn_vec(spark, sf_dir).withColumnRenamed("embedding", "v")
+    near = search.batch_search(_asked(v), v, C.VECTOR_K, group="owner").select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 9).alias("similarity")).where("similarity >= 0")
+    packed = search.budget_break(near.withColumn("cost", F.lit(60)), "query", [F.desc("similarity"), F.col("id")], "cost", 600)
+    return packed.join(v.select("id", "session_id"), "id").select("query", "id", "session_id", F.round("similarity", 6).alias("similarity"), "kept")
+
+
 @query()
 def index_search(spark, sf_dir):
     """Every fiftieth vector's nearest by an index whose probes reach a recall of 0.95."""

@@ -118,4 +118,7 @@ def with_relations(sql: str, *names: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in needed)
     body = sql.lstrip()
-    return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes}, {body[len(head) :]}"
+    return f"WITH {ctes} {body}"
