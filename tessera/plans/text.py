@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.relations import typed_relations as relations_of
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
@@ -171,12 +172,25 @@ def model_eligibility(spark, sf_dir):
     return t.select("id", check("content", "recent").alias("eligible"))
 
 
-@query()
+@query(
+    """WITH x AS (SELECT 'turn' AS kind, id, content AS text FROM turns UNION ALL SELECT 'doc', doc_id, text FROM documents), n AS (SELECT count(*) AS n FROM part), m AS (SELECT count(*) AS m FROM supplier),
+    s AS (SELECT kind, id, p.p_name AS a, s.s_name AS b, q.p_name AS c, r.s_name AS d FROM x, n, m, part p, supplier s, part q, supplier r WHERE p.p_partkey=1+id%n AND s.s_suppkey=id%m AND q.p_partkey=1+(id*7+3)%n AND r.s_suppkey=(id+1)%m),
+    w AS (SELECT kind, id, lower(a) AS a, replace(lower(b),'#',' ') AS b, lower(c) AS c, replace(lower(d),'#',' ') AS d FROM s)
+    SELECT DISTINCT kind||':'||id AS id, a AS subject, ['uses','depends_on','replaces'][1+id%3] AS relation, b AS object FROM w UNION SELECT kind||':'||id, c, 'part_of', d FROM w""",
+    ("turns",),
+)
 def typed_relations(spark, sf_dir):
-    names = [r.n_name for r in A.read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
-    n = A.read(spark, sf_dir, "nation")
-    said = n.select("n_nationkey", F.concat("n_name", F.lit(" depends on "), F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")), F.lit(".")).alias("t"))
-    return X.extract(said, "n_nationkey", "t", lambda s: X.typed_relations(s, names), "subject string, relation string, object string")
+    """All turns and documents, each with a statement on parts and suppliers at its end; all their names are known."""
+    p, s = A.read(spark, sf_dir, "part").select("p_partkey", "p_name"), A.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    n, m = p.count(), s.count()
+    texts = A.turns(spark, sf_dir).select(F.lit("turn").alias("kind"), "id", F.col("content").alias("text")).union(A.docs(spark, sf_dir).select(F.lit("doc"), "doc_id", "text"))
+    keyed = texts.withColumns({"_a": 1 + F.col("id") % n, "_b": F.col("id") % m, "_c": 1 + (F.col("id") * 7 + 3) % n, "_d": (F.col("id") + 1) % m})
+    for key, names in (("_a", p), ("_b", s), ("_c", p), ("_d", s)):
+        keyed = keyed.join(names.toDF(key, f"{key}_name"), key)
+    verb = F.element_at(F.array(F.lit("relies on"), F.lit("Needs"), F.lit("SUPERSEDES")), (F.col("id") % 3 + 1).cast("int"))
+    said = F.concat_ws(" ", F.concat("text", F.lit("\n"), "_a_name"), verb, "_b_name", F.lit("and"), "_c_name", F.lit("is part of"), "_d_name")
+    names = p.select(F.col("p_name").alias("name")).union(s.select("s_name"))
+    return relations_of(keyed.select(F.concat_ws(":", "kind", "id").alias("id"), said.alias("text")), names)
 
 
 @query()
