@@ -16,9 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits
-from tessera.llm.quality_rules import COMMON_WORDS, SYMBOLS, duplicate_lines
-
-_STOP = sorted({w for words in COMMON_WORDS.values() for w in words})
+from tessera.llm.quality_rules import SYMBOLS, duplicate_lines
+
+# Common words of English, German, French and Spanish.
+COMMON_WORDS = (
+    "the of and to a in is that it for was on with as be by this are at from "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein als eine "
+    "de la le et les des en un du une que est pour qui dans par au sur pas avec "
+    "de la que el en y los se del las un por con no una su para es al lo"
+).split()
+_STOP = sorted(set(COMMON_WORDS))
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "bar", "exclaim", "stop_end", "comma", "common", "distinct", "repeat_next", "dup_lines", "long_words", "symbol_words", "upper_words")
 
 

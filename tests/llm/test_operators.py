@@ -18,14 +18,16 @@ from tessera.llm import bradley_terry, chat_format, decontaminate, html_extract,
 WORDS = "the of and to a in is that it for was on with as be by this are at from alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omega sigma tau".split()
 
 
+COMMON = {w: 0.3 / k for k, w in enumerate(WORDS[:20], 4)}
+
+
 def prose(rng: random.Random, n: int) -> str:
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
 def natural(rng: random.Random, n: int) -> str:
     """English-like: common words by their shares, other words between them."""
-    common = quality_rules.COMMON_WORDS["en"]
-    names, weights = [*common, "other"], [*common.values(), 1 - sum(common.values())]
+    names, weights = [*COMMON, "other"], [*COMMON.values(), 1 - sum(COMMON.values())]
     return " ".join(w if w != "other" else "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for w in rng.choices(names, weights, k=n))
 
 
@@ -201,18 +203,83 @@ def test_quality_rules_against_plain_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def learned(spark, rng, n=60):
+    rows = [(i, natural(rng, 200).capitalize() + ".", "en") for i in range(n)] + [(n + i, " ".join(f"{w}$$$" for w in natural(rng, 200).split()), "en") for i in range(n // 8)]
+    rows += [(1000 + i, natural(rng, 200), "few") for i in range(9)] + [(2000, natural(rng, 200), None), (None, natural(rng, 200), "en"), (2001, None, "en"), (2002, "", "en")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
 def test_quality_rules_keep_prose_and_drop_shouting(spark):
     rng = random.Random(4)
+    references = quality_rules.learn_references(learned(spark, rng)[1])
     good = natural(rng, 300) + "."
     texts = [good.capitalize(), good.upper().replace(" ", "!! "), " | ".join(good.split()), " ".join(f"{w}$$$" for w in good.split())]
-    kept = {r.doc_id: r.kept for r in quality_rules.score_quality(docs(spark, texts)).collect()}
+    kept = {r.doc_id: r.kept for r in quality_rules.score_quality(docs(spark, texts), references=references).collect()}
     assert kept == {0: True, 1: False, 2: False, 3: False}
     d = docs(spark, texts)
-    out = quality_rules.keep_quality(d)
+    out = quality_rules.keep_quality(d, references=references)
     assert out.columns == d.columns
     assert [r.doc_id for r in out.collect()] == [0]
 
 
+def plain_distance(p, q):
+    mid = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    part = lambda a: sum(x * np.log2(x / m) for x, m in zip(a, mid, strict=True) if x)
+    return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def plain_class_shares(text):
+    kinds = [0] * 7
+    for c in text:
+        kinds[1 if ord(c) > 127 else 0 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5 if c in " \t\n\v\f\r" else 6] += 1
+    return [k / len(text) for k in kinds]
+
+
+def plain_word_counts(text):
+    return collections.Counter(re.sub("[.,]$", "", w) for w in text.lower().split())
+
+
+def plain_references(rows, near=None):
+    """Class shares and word shares of 'en' from texts of 120 words or more that ``near`` keeps."""
+    texts = [t for i, t, lang in rows if i is not None and lang == "en" and t and len(t.split()) >= 120 and (near is None or near(t))]
+    classes = np.mean([plain_class_shares(t) for t in texts], axis=0)
+    shares = collections.Counter()
+    for t in texts:
+        for w, c in plain_word_counts(t).items():
+            shares[w] += c / len(t.split()) / len(texts)
+    top = sorted(w for w, _ in sorted(shares.items(), key=lambda x: (-round(x[1] * len(texts), 9), x[0]))[:20])
+    return classes, top, [shares[w] for w in top] + [1 - sum(shares[w] for w in top)]
+
+
+def plain_verdict(text, classes, top, shares):
+    """(class distance, word distance, whether both are near) for one language."""
+    n, limits = len(text.split()), quality_rules.Thresholds()
+    a = plain_distance(plain_class_shares(text), classes) if n >= 30 else None
+    counts = plain_word_counts(text)
+    own = [counts[w] / n for w in top]
+    b = plain_distance([*own, 1 - sum(own)], shares) if n >= 120 else None
+    return a, b, (a or 0) <= limits.max_character_distance and (b or 0) <= limits.max_word_distance
+
+
+def test_quality_references_and_verdicts_against_a_plain_twin(spark):
+    rng = random.Random(6)
+    rows, frame = learned(spark, rng)
+    got = quality_rules.learn_references(frame)
+    first = plain_references(rows)
+    classes, top, shares = plain_references(rows, lambda t: plain_verdict(t, *first)[2])
+    assert got.vocabulary == top
+    assert np.allclose(got.classes, [classes])
+    assert np.allclose(got.words, [shares])
+    texts = [natural(rng, 130), natural(rng, 60).upper(), "é" * 40 + " x" * 130, natural(rng, 25), " ".join("!$%" for _ in range(40)), natural(rng, 119) + ",", "word " * 20_000, *ODD]
+    for r in quality_rules.score_quality(docs(spark, texts), references=got).collect():
+        a, b, near = plain_verdict(texts[r.doc_id] or "", classes, top, shares) if (texts[r.doc_id] or "").split() else (None, None, True)
+        assert (r.class_distance is None) == (a is None)
+        assert (r.word_distance is None) == (b is None)
+        assert a is None or abs(r.class_distance - a) < 1e-9
+        assert b is None or abs(r.word_distance - b) < 1e-9
+        assert r.kept == (near and not r.base_failed)
+
+
 def test_js_distance_bounds():
     p = np.array([1.0, 0.0])
     assert quality_rules.js_distance(p, np.array([[1.0, 0.0], [0.0, 1.0]])).tolist() == [0.0, 1.0]
