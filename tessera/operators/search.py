@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,16 +134,25 @@ def link_entities(phrases: DataFrame, vectors: DataFrame, entities: DataFrame, s
 
 
 def budget_skip(rows: DataFrame, group: str, order: list[str], cost: str, budget: int, start: int = 0) -> DataFrame:
-    """Greedy knapsack that passes over what doesn't fit and goes on; adds ``kept``."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("_cost"))))
-    init = F.struct(F.lit(start).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["_cost"] <= budget
-        return F.struct(F.when(fits, a["used"] + x["_cost"]).otherwise(a["used"]).alias("used"), F.concat(a["kept"], F.array(fits)).alias("kept"))
+    """(group, order, cost, kept): a greedy knapsack that passes over what doesn't fit and goes on.
 
-    folded = rows.groupBy(group).agg(items.alias("i")).withColumn("k", F.aggregate("i", init, step, lambda a: a["kept"]))
-    return folded.select(group, F.explode(F.arrays_zip("i", "k")).alias("x")).select(group, *[F.col(f"x.i.{c}").alias(c) for c in order], F.col("x.i._cost").alias(cost), F.col("x.k").alias("kept"))
+    Groups are dealt by key and sorted; a task holds one running total.
+    """
+    slim = rows.select(group, *order, F.col(cost).cast("long").alias(cost))
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used = None, start
+        for pdf in parts:
+            kept = []
+            for g, c in zip(pdf[group].astype(object).where(pdf[group].notna(), None), pdf[cost], strict=True):
+                key, used = (key, used) if key == (g,) else ((g,), start)
+                fits = used + c <= budget
+                used += c if fits else 0
+                kept.append(bool(fits))
+            yield pdf.assign(kept=kept)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+    return slim.repartition(group).sortWithinPartitions(group, *order).mapInPandas(pack, f"{schema}, kept boolean")
 
 
 def budget_break(rows: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:

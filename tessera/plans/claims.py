@@ -18,7 +18,31 @@ live AS (SELECT e.* FROM evidence e LEFT JOIN ret USING (owner, subject_id, verb
 EV = ("evidence",)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT *, verb IN ('signup','purchase') AS fun, CASE WHEN verb IN ('signup','purchase') THEN '' ELSE object_key END AS obj FROM evidence),
+    ret AS (SELECT owner, subject_id, verb, object_key, polarity, max((event_time, span_id)) AS r FROM e WHERE act='retract' AND speaker='user' GROUP BY ALL),
+    g AS (SELECT e.*, act='retract' OR coalesce((event_time, span_id)<=r, false) AS gone FROM e LEFT JOIN ret USING (owner, subject_id, verb, object_key, polarity)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY owner, subject_id, verb, obj ORDER BY event_time, span_id, evidence_id) AS k FROM g WHERE NOT gone AND speaker='user'),
+    f AS (SELECT owner, subject_id, verb, obj, CAST(0 AS BIGINT) AS k, 0 AS run, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS BIGINT) AS id, false AS point, false AS closes FROM u GROUP BY 1, 2, 3, 4
+          UNION ALL SELECT u.owner, u.subject_id, u.verb, u.obj, u.k, CASE WHEN neg OR same THEN f.run ELSE f.run+1 END, CASE WHEN neg AND same THEN NULL WHEN neg THEN f.cur ELSE val END, u.evidence_id, neg AND NOT same, neg AND same
+          FROM f JOIN u ON u.owner=f.owner AND u.subject_id=f.subject_id AND u.verb=f.verb AND u.obj=f.obj AND u.k=f.k+1, LATERAL (SELECT u.fun AND u.polarity='negative' AS neg, CASE WHEN u.fun THEN u.object_key ELSE u.polarity END AS val) a, LATERAL (SELECT coalesce(f.cur=a.val, false) AS same) b),
+    lab AS (SELECT u.*, f.run, f.point, f.closes FROM f JOIN u ON u.evidence_id=f.id),
+    iv AS (SELECT owner, subject_id, verb, obj, run, arg_min(object_key, k) AS object_key, arg_min(polarity, k) AS polarity, min(event_time) AS valid_from, max(CASE WHEN closes THEN event_time END) AS closed FROM lab WHERE NOT point GROUP BY 1, 2, 3, 4, 5),
+    iw AS (SELECT *, coalesce(closed, lead(valid_from) OVER (PARTITION BY owner, subject_id, verb, obj ORDER BY run)) AS valid_to FROM iv),
+    o AS (SELECT * FROM g WHERE NOT gone AND speaker<>'user'),
+    h AS (SELECT o.evidence_id, max(i.run) AS last_run, max(i.run) FILTER (WHERE i.valid_from<=o.event_time) AS at_run FROM o JOIN iw i ON o.owner=i.owner AND o.subject_id=i.subject_id AND o.verb=i.verb AND o.obj=i.obj AND o.object_key=i.object_key AND o.polarity=i.polarity GROUP BY 1),
+    w AS (SELECT o.*, CASE WHEN i.run IS NOT NULL AND (i.valid_to IS NULL OR o.event_time<i.valid_to) THEN i.run ELSE h.last_run END AS home FROM o LEFT JOIN h ON h.evidence_id=o.evidence_id LEFT JOIN iw i ON o.owner=i.owner AND o.subject_id=i.subject_id AND o.verb=i.verb AND o.obj=i.obj AND i.run=h.at_run),
+    m AS (SELECT owner, subject_id, verb, obj, 0 AS kind, CAST(run AS BIGINT) AS sub, '' AS a, '' AS b, evidence_id, span_id, event_time FROM lab WHERE NOT point UNION ALL SELECT owner, subject_id, verb, obj, 1, k, object_key, polarity, evidence_id, span_id, event_time FROM lab WHERE point
+          UNION ALL SELECT owner, subject_id, verb, obj, 0, home, '', '', evidence_id, span_id, event_time FROM w WHERE home IS NOT NULL UNION ALL SELECT owner, subject_id, verb, obj, 2, 0, object_key, polarity, evidence_id, span_id, event_time FROM w WHERE home IS NULL
+          UNION ALL SELECT owner, subject_id, verb, obj, 3, 0, object_key, polarity, evidence_id, span_id, event_time FROM g WHERE gone),
+    r AS (SELECT owner, subject_id, verb, obj, kind, sub, a, b, count(*) AS n, string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids, max(span_id) AS span, min(event_time) AS first, max(event_time) AS last FROM m GROUP BY ALL),
+    t AS (SELECT r.*, coalesce(i.object_key, r.a) AS object_key, coalesce(i.polarity, r.b) AS polarity, (['grounded','grounded','unconfirmed','retracted'])[kind+1] AS status, coalesce(i.valid_from, r.first) AS valid_from, CASE kind WHEN 0 THEN i.valid_to WHEN 1 THEN r.first WHEN 3 THEN r.last END AS valid_to,
+            row_number() OVER (PARTITION BY r.owner, r.subject_id, r.verb, r.obj ORDER BY kind, sub, a, b)-1 AS row_no FROM r LEFT JOIN iw i ON kind=0 AND r.owner=i.owner AND r.subject_id=i.subject_id AND r.verb=i.verb AND r.obj=i.obj AND i.run=r.sub),
+    c AS (SELECT *, owner||'/'||subject_id||'/'||verb||'/'||obj||'/'||row_no AS claim_id FROM t),
+    x AS (SELECT claim_id, lead(claim_id) OVER (PARTITION BY owner, subject_id, verb, obj ORDER BY row_no) AS superseded_by FROM c WHERE status='grounded' AND valid_from IS DISTINCT FROM valid_to)
+    SELECT owner, subject_id, verb, CAST(row_no AS INT) AS row_no, object_key, polarity, status, valid_from, valid_to, CAST(n AS INT) AS n_evidence, ids AS evidence, span AS span_id, c.claim_id, superseded_by FROM c LEFT JOIN x ON x.claim_id=c.claim_id""",
+    EV,
+)
 def claim_timeline(spark, sf_dir):
     return TL.claim_timeline(A.evidence(spark, sf_dir))
 
@@ -186,7 +210,11 @@ def merge_chain(spark, sf_dir):
     return E.merge_chain(merged)
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT a.id AS a, b.id AS b FROM turn_vec a JOIN turn_vec b ON a.id<>b.id WHERE round(list_cosine_similarity(a.embedding,b.embedding),9)>=0.4), r AS (SELECT DISTINCT a AS id, a AS z FROM p UNION SELECT r.id, p.b FROM r JOIN p ON p.a=r.z)
+    SELECT id, min(z) AS keeper FROM r GROUP BY 1""",
+    ("turn_vec",),
+)
 def compaction_keepers(spark, sf_dir):
     v = A.turn_vec(spark, sf_dir).select("id", F.col("embedding").alias("v"))
     pairs = block_pairs(v, v, 0.4, undirected=True)

@@ -204,7 +204,13 @@ def entity_link(spark, sf_dir):
     return found.select("query", "entity_id", "exact", F.round("trigram", 6).alias("trigram"), F.round("name_similarity", 6).alias("name_similarity"), "rank")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT session_id, id, CAST(least(length(content),400)//4+8 AS BIGINT) AS cost, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k FROM turns),
+    f AS (SELECT session_id, id, cost, k, 40+cost<=300 AS kept, CASE WHEN 40+cost<=300 THEN 40+cost ELSE 40 END AS used FROM t WHERE k=1
+          UNION ALL SELECT t.session_id, t.id, t.cost, t.k, f.used+t.cost<=300, CASE WHEN f.used+t.cost<=300 THEN f.used+t.cost ELSE f.used END FROM f JOIN t ON t.session_id=f.session_id AND t.k=f.k+1)
+    SELECT session_id, id, cost, kept FROM f""",
+    ("turns",),
+)
 def budget_skip(spark, sf_dir):
     t = A.turns(spark, sf_dir).select("session_id", "id", (F.length(F.substring("content", 1, 400)) / 4 + 8).cast("long").alias("cost"))
     return search.budget_skip(t, "session_id", ["id"], "cost", 300, start=40)
