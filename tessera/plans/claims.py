@@ -221,7 +221,15 @@ def compaction_keepers(spark, sf_dir):
     return E.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT 'p'||p_partkey AS surface, 'p'||(CASE WHEN p_partkey%5=0 THEN p_partkey-4 ELSE p_partkey+1 END) AS canon, p_size AS born FROM part WHERE p_partkey%7<>3),
+    p AS (SELECT surface, canon AS now, [surface] AS seen, false AS loop, 1 AS k FROM l
+          UNION ALL SELECT surface, CASE WHEN stop THEN now ELSE next END, CASE WHEN stop THEN seen ELSE seen||[now] END, loop OR met, k+1 FROM (
+            SELECT p.*, l.canon AS next, list_contains(seen, now) AS met, loop OR l.canon IS NULL OR list_contains(seen, now) AS stop FROM p LEFT JOIN l ON l.surface=p.now WHERE k<8)),
+    f AS (SELECT surface, now, seen, loop OR list_contains(seen, now) AS loop FROM p WHERE k=8),
+    c AS (SELECT f.surface, min((length(m)<4, l.born, m)) AS best FROM (SELECT surface, unnest(seen) AS m FROM f WHERE loop) f JOIN l ON l.surface=f.m GROUP BY 1)
+    SELECT f.surface, coalesce(best[3], now) AS root FROM f LEFT JOIN c ON c.surface=f.surface""",
+)
 def alias_resolve(spark, sf_dir):
     p = A.read(spark, sf_dir, "part")
     links = p.select(F.concat(F.lit("p"), "p_partkey").alias("surface"), F.concat(F.lit("p"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") - 4).otherwise(F.col("p_partkey") + 1)).alias("canon"), F.col("p_size").alias("born")).where("p_partkey % 7 <> 3")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import jobs as J
 from tessera.plans.registry import query
+from tessera.plans.text import VERDICT
 from tessera.sources import adapters as A
 
 LIVE = "status IN ('pending','retryable','leased') AND attempts<5"
@@ -61,7 +62,11 @@ def work_events(spark, sf_dir):
     return J.work_events(e.select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("session_id"), "ts", role.alias("role"), call.alias("call_id")))
 
 
-@query()
+@query(
+    f"""WITH v AS (SELECT *, CASE WHEN role='user' THEN {VERDICT} END AS v FROM turns)
+    SELECT owner, session_id, coalesce(arg_min(id, (ts, id)) FILTER (WHERE role='user'), arg_min(id, (ts, id))) AS ask_id, arg_max(id, (ts, id)) FILTER (WHERE role='assistant') AS outcome_id, coalesce(arg_max(v, (ts, id)) FILTER (WHERE v IS NOT NULL), 'unknown') AS status FROM v GROUP BY 1, 2""",
+    ("turns",),
+)
 def work_items(spark, sf_dir):
     return J.work_items(A.turns(spark, sf_dir), X.verdict(F.col("content")))
 

@@ -147,7 +147,15 @@ def rrf_fusion(spark, sf_dir):
     return search.rrf(one.unionByName(two)).where(F.col("place") <= C.MAX_FACTS).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE i AS (SELECT owner||'/'||session_id AS query, id AS item, row_number() OVER (PARTITION BY owner, session_id ORDER BY id)-1 AS position, embedding AS v FROM turn_vec QUALIFY position<24),
+    r AS (SELECT query, 0 AS place, CAST([] AS BIGINT[]) AS chosen, CAST([] AS DOUBLE[][]) AS vs, CAST(NULL AS BIGINT) AS item FROM i GROUP BY 1
+          UNION ALL SELECT query, place+1, chosen||[item], vs||[v], item FROM (
+            SELECT r.query, r.place, r.chosen, r.vs, i.item, i.v, row_number() OVER (PARTITION BY r.query ORDER BY 0.7/(1+position) - 0.3*coalesce(list_max(list_transform(r.vs, lambda u: {COS}(u, i.v))), 0) DESC, position) AS n
+            FROM r JOIN i ON i.query=r.query AND NOT list_contains(r.chosen, i.item) WHERE r.place<12) WHERE n=1)
+    SELECT query, item, place FROM r WHERE place>0""",
+    ("turn_vec",),
+)
 def mmr(spark, sf_dir):
     v = A.turn_vec(spark, sf_dir)
     order = Window.partitionBy("owner", "session_id").orderBy("id")

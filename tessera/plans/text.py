@@ -12,6 +12,16 @@ from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
 
+def _sql(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The normalised form and the verdict of a text in DuckDB.
+NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}),'[\s_\-]+',' ','g'),'[^a-z0-9 ]','','g'),' +',' ','g'))"
+VERDICT = f"""CASE WHEN length(content)<=300 THEN CASE WHEN regexp_matches(content, {_sql(X.FAILED)}) THEN 'failed' WHEN regexp_matches(content, {_sql(X.ABANDONED)}) THEN 'abandoned' WHEN regexp_matches(content, {_sql(X.CONFIRMED)}) THEN 'done' END END"""
+
+
 @query("SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name||'_'||p_type||'-'||p_brand),'[\\s_\\-]+',' ','g'),'[^a-z0-9 ]','','g'),' +',' ','g')) AS norm FROM part")
 def normalize_surface(spark, sf_dir):
     return A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.normalize_surface(F.concat("p_name", F.lit("_"), "p_type", F.lit("-"), "p_brand")).alias("norm"))
@@ -27,7 +37,12 @@ def token_estimate(spark, sf_dir):
     return A.docs(spark, sf_dir).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT id, role, trim(coalesce(content,'')) AS s FROM turns)
+    SELECT id, CASE WHEN s='' THEN 'empty' WHEN regexp_matches(s, {_sql(X.NOISE)}) THEN 'noise_pattern' WHEN length(s)>=40 THEN NULL WHEN coalesce(role,'')<>'user' THEN 'short_non_user'
+      WHEN NOT regexp_matches(s, {_sql(X.FIRST_PERSON)}) AND NOT regexp_matches(s, '[A-Z][A-Za-z0-9_-]+\\s+(is|uses)\\s') THEN 'short_user_without_assertion' END AS reason FROM t""",
+    ("turns",),
+)
 def turn_noise_reason(spark, sf_dir):
     t = A.turns(spark, sf_dir)
     said = X.extract(t, "id", "content", X.assertions, "subject string, verb string, object string, polarity string").select("id").distinct().withColumn("_said", F.lit(True))
@@ -45,7 +60,10 @@ def chunk_documents(spark, sf_dir):
     return c.select(F.concat(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 16), F.lit(":"), "ordinal").alias("chunk_id"), "doc_id", "ordinal", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', '[\2](\1.md)', 'g'), '\[[^\]]*\]\(([^)#\s]+\.(?:py|ts|tsx|js|jsx|md|sql))\)', 1) AS l FROM pages)
+    SELECT DISTINCT page_id, unnest(list_filter(list_transform(l, lambda x: trim(x)), lambda x: length(x)>1)) AS target FROM l""",
+)
 def doc_dependencies(spark, sf_dir):
     p = A.read(spark, sf_dir, "pages")
     md = F.regexp_replace("html", r'<a href="/([^"]*)">([^<]*)</a>', "[$2]($1.md)")
@@ -70,7 +88,9 @@ def strip_blocks(spark, sf_dir):
     return A.turns(spark, sf_dir).select("id", F.md5(X.apply(F.concat("content", F.lit(" <memory>x</memory>")), X.strip_blocks)).alias("digest"))
 
 
-@query()
+@query(
+    f"""SELECT p_partkey, {NORM.format("p_brand||' item '||p_partkey")} AS surface, {NORM.format("p_name")} AS canon FROM part""",
+)
 def alias_equations(spark, sf_dir):
     p = A.read(spark, sf_dir, "part")
     said = F.concat("p_name", F.lit(", also called "), "p_brand", F.lit(" item "), "p_partkey")
@@ -90,7 +110,11 @@ def self_assertions(spark, sf_dir):
     return X.extract(A.turns(spark, sf_dir), "id", "content", X.self_assertions, SUBJECT)
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT *, max(CASE WHEN role='assistant' THEN (ts, id) END) OVER (PARTITION BY owner, session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turns)
+    SELECT id, before[2] AS previous_id, CASE WHEN regexp_matches(coalesce(content,''), {_sql(X.REPAIR)}) THEN 'repaired' ELSE 'unknown' END AS verdict FROM p WHERE role='user' AND before IS NOT NULL""",
+    ("turns",),
+)
 def uptake_verdict(spark, sf_dir):
     from tessera.operators.turns import previous_of_role
 
@@ -99,10 +123,18 @@ def uptake_verdict(spark, sf_dir):
     return t.join(before, "id").select("id", "previous_id", X.repair(F.col("content")).alias("verdict"))
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT 'part:'||p_partkey AS id, CASE WHEN p_partkey%7=0 THEN 'myself' WHEN p_partkey%11=0 THEN 'Those' WHEN p_partkey%2=0 THEN array_to_string(list_transform(string_split(p_name,' '), lambda x: upper(x[1])||x[2:]),' ') ELSE p_name END AS c FROM part UNION ALL SELECT 'supplier:'||s_suppkey, s_name FROM supplier),
+    n AS (SELECT id, c, {NORM.format("c")} AS norm FROM o)
+    SELECT id, CASE WHEN norm='' OR norm IN ({", ".join(map(_sql, X.PRONOUNS))}) THEN 'abstain' WHEN norm IN ('i','me','my','mine','myself') OR regexp_full_match(trim(c), '[A-Z][A-Za-z0-9_-]*(\\s+[A-Z][A-Za-z0-9_-]*){{0,3}}') THEN 'entity' ELSE 'literal' END AS kind FROM n""",
+)
 def classify_object(spark, sf_dir):
-    p = A.read(spark, sf_dir, "nation")
-    return p.select("n_nationkey", X.classify_object(F.initcap("n_name")).alias("kind"))
+    """All parts and suppliers; some parts' names are pronouns, every other one is capitalised."""
+    p, s = A.read(spark, sf_dir, "part"), A.read(spark, sf_dir, "supplier")
+    k = F.col("p_partkey")
+    named = F.when(k % 7 == 0, "myself").when(k % 11 == 0, "Those").when(k % 2 == 0, F.initcap("p_name")).otherwise(F.col("p_name"))
+    objects = p.select(F.concat(F.lit("part:"), k.cast("string")).alias("id"), named.alias("c")).union(s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")), "s_name"))
+    return objects.select("id", X.classify_object(F.col("c")).alias("kind"))
 
 
 @query()
@@ -115,12 +147,19 @@ def title_concepts(spark, sf_dir):
     return X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.title_concepts, "concept string")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT p_partkey, list_filter(string_split({NORM.format("p_name")}, ' '), lambda x: x<>'') AS w FROM part),
+    s AS (SELECT p_partkey, w[i:i+n-1] AS s FROM w, range(1, 4) a(n), range(1, 100) b(i) WHERE i+n-1<=len(w))
+    SELECT DISTINCT p_partkey, array_to_string(s, ' ') AS phrase FROM s WHERE s[1] NOT IN ({", ".join(map(_sql, X.PHRASE_STOP))}) AND s[-1] NOT IN ({", ".join(map(_sql, X.PHRASE_STOP))})""",
+)
 def entity_phrases(spark, sf_dir):
     return A.read(spark, sf_dir, "part").select("p_partkey", F.explode(X.entity_phrases(F.col("p_name"))).alias("phrase"))
 
 
-@query()
+@query(
+    f"""WITH v AS (SELECT session_id, ts, id, {VERDICT} AS v FROM turns WHERE role='user') SELECT session_id, arg_max(v, (ts, id)) FILTER (WHERE v IS NOT NULL) AS verdict, count(*) AS turns FROM v GROUP BY 1""",
+    ("turns",),
+)
 def work_verdict(spark, sf_dir):
     t = A.turns(spark, sf_dir).where("role = 'user'").select("session_id", "ts", "id", X.verdict(F.col("content")).alias("v"))
     return t.groupBy("session_id").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("ts", "id"))).alias("verdict"), F.count("*").alias("turns"))
