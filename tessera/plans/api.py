@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
+from tessera.operators.recall import words_of
 from tessera.plans import registry
+from tessera.sources import adapters as A
 
 # The paths that can be read, the query that answers, and the column that a
 # part of the path selects.
@@ -38,9 +42,13 @@ def check_label(label: str | None) -> str:
     return label
 
 
+#: Rows of an answer unless ``limit`` says less or more, and the most it can say.
+DEFAULT_LIMIT, MOST = 2_000, 10_000
+
+
 def route(path: str) -> tuple[str, str | None, int | None]:
     """(query, column, value) that answer a GET of ``path``; LookupError if none does."""
-    asked = path.rstrip("/") or "/"
+    asked = urlsplit(path).path.rstrip("/") or "/"
     for pattern, name, column in ROUTES:
         found = re.fullmatch(re.escape(pattern).replace(re.escape("{id}"), r"(\d+)"), asked)
         if found:
@@ -48,10 +56,42 @@ def route(path: str) -> tuple[str, str | None, int | None]:
     raise LookupError(path)
 
 
+def clamp_limit(text: str | None) -> int:
+    """``text`` as a number of rows from 1 to MOST; DEFAULT_LIMIT if it is none."""
+    return min(MOST, max(1, int(text))) if text and re.fullmatch(r"-?\d+", text) else DEFAULT_LIMIT
+
+
+def text_search(turns: DataFrame, q: str, limit: int) -> DataFrame:
+    """(id, owner, session_id, overlap) of the turns that hold most of the words of ``q``: the newest of equals first."""
+    asked = F.array_distinct(words_of(X.normalize_surface(F.lit(q))))
+    overlap = F.size(F.array_intersect(words_of(X.normalize_surface(F.col("content"))), asked)).alias("overlap")
+    return turns.select("id", "owner", "session_id", "ts", overlap).where("overlap > 0").orderBy(F.desc("overlap"), F.desc("ts"), "id").limit(limit).drop("ts")
+
+
 def respond(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """The rows that answer a GET of ``path``; a part that names a node becomes a filter on the query's rows."""
+    """The rows that answer a GET of ``path`` with its parameters.
+
+    A part that names a node is a filter on the query's rows, and so are ``owner`` and ``label`` where
+    the rows have such a column; the explorer's snapshot must have an owner. Search takes
+    its words from ``q``; ``limit`` bounds the rows. ValueError where a parameter can't be.
+    """
     name, column, value = route(path)
+    given = {k: v[0].strip() for k, v in parse_qs(urlsplit(path).query).items()}
+    limit, owner, label = clamp_limit(given.get("limit")), given.get("owner"), given.get("label")
     if name == "health":
         return spark.range(1).select(F.lit("ok").alias("status"))
+    if name == "explorer_snapshot" and not owner:
+        raise ValueError("the snapshot needs an owner")
+    if name == "vector_search":
+        if not given.get("q"):
+            raise ValueError("search needs q")
+        t = A.turns(spark, sf_dir)
+        return text_search(t.where(F.col("owner") == owner) if owner else t, given["q"], limit)
     df = registry.QUERIES[name](spark, sf_dir)
-    return df.where(F.col(column) == value) if column else df
+    if column:
+        df = df.where(F.col(column) == value)
+    if owner and "owner" in df.columns:
+        df = df.where(F.col("owner") == owner)
+    if label and "label" in df.columns:
+        df = df.where(F.col("label") == check_label(label))
+    return df.limit(limit)

@@ -105,9 +105,22 @@ def assertions(spark, sf_dir):
     return X.extract(A.docs(spark, sf_dir), "doc_id", "text", X.assertions, SUBJECT)
 
 
-@query()
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, upper(n_name[1])||lower(n_name[2:]) AS place FROM nation), s AS (SELECT s_suppkey AS k, s_name AS firm FROM supplier), m AS (SELECT count(*) AS m FROM supplier),
+    t AS (SELECT id, id//1000+id AS z, place, firm FROM turns, m, n, s WHERE n.k=(id//1000+id)%25 AND s.k=(id//1000+id)%m)
+    SELECT id, 'I' AS subject, CASE z%6 WHEN 0 THEN 'lives_in' WHEN 1 THEN 'lives_in' WHEN 2 THEN 'works_for' WHEN 3 THEN 'works_for' ELSE 'role_is' END AS verb,
+      CASE z%6 WHEN 0 THEN place WHEN 1 THEN place WHEN 2 THEN firm WHEN 3 THEN firm ELSE 'keeper of '||firm END AS object, CASE WHEN z%6 IN (1,3) THEN 'negative' ELSE 'positive' END AS polarity FROM t WHERE z%6<5""",
+    ("turns",),
+)
 def self_assertions(spark, sf_dir):
-    return X.extract(A.turns(spark, sf_dir), "id", "content", X.self_assertions, SUBJECT)
+    """All turns, each with a statement on a place or firm at its end; every sixth is a question, which says nothing."""
+    t, n, s = A.turns(spark, sf_dir).select("id", "content"), A.read(spark, sf_dir, "nation"), A.read(spark, sf_dir, "supplier")
+    m = s.count()
+    z = F.floor(F.col("id") / 1000) + F.col("id")
+    joined = t.withColumns({"z": z, "n_nationkey": z % 25, "s_suppkey": z % m}).join(n.select("n_nationkey", F.initcap("n_name").alias("place")), "n_nationkey").join(s.select("s_suppkey", F.col("s_name").alias("firm")), "s_suppkey")
+    said = [F.concat(F.lit("I moved to "), "place", F.lit(" last week.")), F.concat(F.lit("I no longer live in "), "place", F.lit(".")), F.concat(F.lit("I joined "), "firm", F.lit(".")), F.concat(F.lit("I don't work for "), "firm", F.lit(" anymore.")), F.concat(F.lit("My role is keeper of "), "firm", F.lit("!")), F.concat(F.lit("Do I live in "), "place", F.lit("?"))]
+    turns = joined.select("id", F.concat("content", F.lit(".\n"), F.element_at(F.array(*said), (F.col("z") % 6 + 1).cast("int"))).alias("content"))
+    return X.extract(turns, "id", "content", X.self_assertions, SUBJECT)
 
 
 @query(

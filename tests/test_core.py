@@ -434,6 +434,22 @@ def test_beam_walk_equals_plain_walk(spark):
     assert {(r["query"], r.hop, r.turn, r["at"], r.path, round(r.score, 6)) for r in got.collect()} == want
 
 
+def test_read_api_takes_parameters(spark):
+    from tessera.plans import api
+
+    assert [api.clamp_limit(x) for x in (None, "x", "0", "-3", "7", "999999")] == [2000, 2000, 1, 1, 7, 10_000]
+    t = spark.createDataFrame([(1, "o", "s", "Red, BLUE", None), (2, "o", "s", "red", None), (3, "p", "s", "blue red", None), (4, "p", "s", None, None)], "id long, owner string, session_id string, content string, ts timestamp")
+    assert [(r.id, r.overlap) for r in api.text_search(t, "Blue! red", 9).collect()] == [(1, 2), (3, 2), (2, 1)]
+    assert api.text_search(t, "!!", 9).count() == 0
+    found = api.respond(spark, SMALL, "/api/librarian/search?q=the%20of&limit=3&owner=o1").collect()
+    assert len(found) == 3
+    assert {r.owner for r in found} == {"o1"}
+    with pytest.raises(ValueError, match="owner"):
+        api.respond(spark, SMALL, "/api/librarian/explorer/snapshot")
+    with pytest.raises(ValueError, match="q"):
+        api.respond(spark, SMALL, "/api/librarian/search")
+
+
 def test_read_api(spark):
     from tessera.plans import api
 
