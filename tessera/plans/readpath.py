@@ -11,6 +11,8 @@ from tessera.operators import search
 from tessera.plans.registry import query
 from tessera.sources import adapters as A
 
+#: Ids of a stretch, by which ranges of ids and turns meet.
+STRETCH = 64
 #: Conversations of several kinds and sessions, some of which no person wrote.
 KINDS = """k AS (SELECT id, owner, ts, CASE conv%3 WHEN 0 THEN NULL WHEN 1 THEN 'interactive' ELSE 'cron' END AS kind,
     CASE conv%7 WHEN 0 THEN 'bench-' WHEN 1 THEN 'bench_' WHEN 2 THEN 'verify-c5' WHEN 3 THEN 'c8-' ELSE 'chat-' END||conv AS sid FROM (SELECT *, id//1000 AS conv FROM turns))"""
@@ -66,7 +68,10 @@ def batch_turns(spark, sf_dir):
     t = A.turns(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("id")) - 1
     ranges = t.withColumn("batch", F.floor(place / C.BATCH_SIZE)).groupBy("session_id", "batch").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    back = ranges.join(t, "session_id").where(F.col("id").between(F.col("lo"), F.col("hi")))
+    # A range meets the turns of the stretches of ids that it touches, not those of its whole session.
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    touched = ranges.withColumn("_s", F.explode(F.sequence(stretch("lo"), stretch("hi"))))
+    back = touched.join(t.withColumn("_s", stretch("id")), ["session_id", "_s"]).where(F.col("id").between(F.col("lo"), F.col("hi")))
     return back.groupBy("session_id", "batch").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
