@@ -10,7 +10,7 @@ from tessera.functions.scratch import cut_lineage
 #: Ranges that a bracket is cut into in a round.
 CELLS = 64
 #: A bracket of so few values is sorted.
-FEW = 10_000
+FEW = 250_000
 
 
 def order_statistics(rows: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
