@@ -103,7 +103,7 @@ def link_backtest(spark, sf_dir):
     ring AS (SELECT id AS b, coalesce(lead(id) OVER (PARTITION BY class, pool ORDER BY h, id), first_value(id) OVER (PARTITION BY class, pool ORDER BY h, id)) AS c FROM pl),
     ctl AS (SELECT * FROM (SELECT least(a,c) AS a, greatest(a,c) AS b FROM cand JOIN ring USING (b) WHERE a<>c) ANTI JOIN known USING (a,b)),
     r AS (SELECT (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM cand SEMI JOIN later USING (a,b)) AS confirmed, (SELECT count(*) FROM ctl) AS controls, (SELECT count(*) FROM ctl SEMI JOIN later USING (a,b)) AS chance)
-    SELECT candidates, confirmed, round(confirmed/candidates,6) AS precision, controls, chance, round(chance/controls,6) AS base_rate, round((confirmed/candidates)/nullif(chance/controls,0),6) AS lift FROM r""",
+    SELECT candidates, confirmed, round(confirmed/nullif(candidates,0),6) AS precision, controls, chance, round(chance/nullif(controls,0),6) AS base_rate, round((confirmed/nullif(candidates,0))/nullif(chance/nullif(controls,0),0),6) AS lift FROM r""",
     ("mentions",),
 )
 def inferred_links(spark, sf_dir):
