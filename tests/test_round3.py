@@ -34,6 +34,12 @@ def test_noise_reason_of_short_statements(spark, tmp_path):
     assert got[1000] is None and got[1003] is None and got[1002] == "short_user_without_assertion"
 
 
+def test_orphans_are_checked_against_all_orders(spark, tmp_path):
+    save(spark, tmp_path, "customer", [(i,) for i in range(6)], "c_custkey long")
+    save(spark, tmp_path, "orders", [(1, 1), (13, 2), (24, 3)], "o_orderkey long, o_custkey long")
+    assert {r[0] for r in same_as_sql(spark, tmp_path, "orphan_chunks")} == {"c0", "c4", "c5"}
+
+
 def test_inferred_links_count_nouns_of_one_vector_alone(spark, tmp_path):
     rng = random.Random(5)
     # All vectors are alike, so cosines would pair every noun with every other.
