@@ -47,3 +47,15 @@ def test_inferred_links_count_nouns_of_one_vector_alone(spark, tmp_path):
     lines = [(o, k, rng.randrange(60), 0.0, 1) for o in range(80) for k in range(4)]
     save(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_suppkey long")
     assert same_as_sql(spark, tmp_path, "inferred_links")[0][0] > 0
+
+
+def test_references_count_every_document(spark):
+    from tessera.llm import quality_rules
+
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(60)]
+    # The last documents speak of other things than the rest, so no part of them gives the same shares.
+    texts = [" ".join(rng.choices(words if i < 2_200 else [*words, "rare"], k=130)) for i in range(2_600)]
+    got = quality_rules.learn_references(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    for w, share in zip(got.vocabulary, got.words[0], strict=False):
+        assert abs(share - sum(t.split().count(w) for t in texts) / 130 / len(texts)) < 1e-9
