@@ -6,6 +6,7 @@ import collections
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 
 def same_as_sql(spark, folder, name):
@@ -59,3 +60,26 @@ def test_references_count_every_document(spark):
     got = quality_rules.learn_references(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
     for w, share in zip(got.vocabulary, got.words[0], strict=False):
         assert abs(share - sum(t.split().count(w) for t in texts) / 130 / len(texts)) < 1e-9
+
+
+def test_edges_need_no_row_for_each_dimension_and_walks_take_them_on_demand(spark):
+    from tessera.operators import graph as G
+
+    rng = random.Random(9)
+    mentions = spark.createDataFrame([(t, i, rng.randrange(12), 1.0 - rng.random() / 2) for t in range(40) for i in range(4)], "turn long, mention_index int, noun_id long, conf double")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(5)]
+    turns, nouns = spark.createDataFrame(vectors, "turn long, v array<double>"), spark.createDataFrame(vectors, "noun_id long, v array<double>")
+    key = lambda c: c % 5
+    edges = G.mention_edge_ema(mentions, turns, nouns, key, key)
+    plan = edges.select("src", "tgt", F.get("tgt_pole", F.lit(0)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "_x1" not in plan and "_x0" in plan
+    # The same as with a vector for each turn and noun.
+    wide = lambda name, n: spark.createDataFrame([(i, vectors[i % 5][1]) for i in range(n)], f"{name} long, v array<double>")
+    rows = lambda df: sorted([round(y, 9) for y in x] if isinstance(x, list) else x for x in map(tuple, df.orderBy("src", "tgt").collect()))
+    assert rows(edges) == rows(G.mention_edge_ema(mentions, wide("turn", 40), wide("noun_id", 12)))
+    seeds = spark.createDataFrame([(0, n, 10 * n, 0.9) for n in range(4)], "query long, noun long, turn long, similarity double")
+    queries = spark.createDataFrame([(0, vectors[0][1])], "query long, qv array<double>")
+    shares = G.mention_shares(mentions, turns, key)
+    asked = lambda wanted, end: G.edges_of_shares(shares.join(wanted.withColumnRenamed("noun", end), end, "left_semi"), turns, nouns, key, key)
+    got, want = (sorted(map(tuple, G.beam_walk(seeds, e, queries, 4).collect())) for e in (asked, edges))
+    assert got == want and got
