@@ -83,3 +83,16 @@ def test_edges_need_no_row_for_each_dimension_and_walks_take_them_on_demand(spar
     asked = lambda wanted, end: G.edges_of_shares(shares.join(wanted.withColumnRenamed("noun", end), end, "left_semi"), turns, nouns, key, key)
     got, want = (sorted(map(tuple, G.beam_walk(seeds, e, queries, 4).collect())) for e in (asked, edges))
     assert got == want and got
+
+
+def test_names_of_many_suppliers_are_linked_once(spark, tmp_path):
+    names = [f"Supplier#{i % 40:09d}" for i in range(100)] + ["Supplier", "other firm", None, "Supplier#000000001 Supplier"]
+    save(spark, tmp_path, "supplier", list(enumerate(names)), "s_suppkey long, s_name string")
+    same_as_sql(spark, tmp_path, "entity_link_trigram")
+    from tessera.operators import search
+
+    terms, rows = spark.createDataFrame([(n,) for n in names[:3]], "term string"), spark.createDataFrame([(i, n) for i, n in enumerate(names)], "entity_id long, name string")
+    for k in (1, 3, 50, 500):
+        got = {(r.term, r.entity_id, r.similarity) for r in search.trigram_top(terms, rows, k).collect()}
+        every = sorted((r.term, -r.similarity, r.entity_id) for r in search.trigram_links(terms, rows).collect())
+        assert got == {(t, i, -s) for t in names[:3] for _, s, i in [r for r in every if r[0] == t][:k]}
