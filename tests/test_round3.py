@@ -96,3 +96,15 @@ def test_names_of_many_suppliers_are_linked_once(spark, tmp_path):
         got = {(r.term, r.entity_id, r.similarity) for r in search.trigram_top(terms, rows, k).collect()}
         every = sorted((r.term, -r.similarity, r.entity_id) for r in search.trigram_links(terms, rows).collect())
         assert got == {(t, i, -s) for t in names[:3] for _, s, i in [r for r in every if r[0] == t][:k]}
+
+
+def test_products_are_made_some_rows_at_a_time(spark, monkeypatch):
+    from tessera.functions import vectors
+
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(100 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(5)] + [(200, [0.0] * 4)], "id long, v array<double>")
+    rows = lambda: sorted((r.id, r.other, round(r.cosine, 12)) for r in vectors.block_pairs(v, v, -1.0, top=3, blocks=2).collect())
+    assert vectors.BLOCK_ROWS * vectors.BLOCK_ROWS > 64 * vectors.CELLS
+    whole = rows()
+    monkeypatch.setattr(vectors, "CELLS", 1)
+    assert rows() == whole
