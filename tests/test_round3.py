@@ -108,3 +108,13 @@ def test_products_are_made_some_rows_at_a_time(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(vectors, "CELLS", 1)
     assert rows() == whole
+
+
+def test_hubs_are_joined_in_pieces(spark, monkeypatch):
+    from tessera.operators import graph as G
+
+    monkeypatch.setattr(G, "HUB_PIECE", 3)
+    edges = spark.createDataFrame([(f"s{i}", f"n{i % 2}") for i in range(30)] + [("n0", "r"), ("n1", "r")], "a string, b string")
+    start = spark.createDataFrame([("s0",), ("s1",)], "start string")
+    got = {tuple(r) for r in G.khop(edges, start, 2).collect()}
+    assert got == {(f"s{k}", n, h) for k in (0, 1) for n, h in [(f"s{k}", 0), (f"n{k}", 1), ("r", 2), *[(f"s{i}", 2) for i in range(k, 30, 2) if i != k]]}
