@@ -215,11 +215,20 @@ def retrieval_funnel(spark, sf_dir):
     m AS (SELECT q, p_partkey, count(*) AS overlap FROM q JOIN w USING (t) GROUP BY 1,2) SELECT q AS query, p_partkey AS entity, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, p_partkey) AS rank FROM m) WHERE rank<=5""",
 )
 def lexical_query(spark, sf_dir):
-    """Entities by shared name tokens with each query: an inverted index, top five."""
+    """Entities by shared name tokens with each query: an inverted index, top five.
+
+    Entities of equal tokens are met once, under their least id: the first five such sets of a
+    query hold its first five entities, and of a set the five least ids suffice.
+    """
     p, n = A.read(spark, sf_dir, "part"), A.read(spark, sf_dir, "nation")
-    tokens = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("t")
-    w = p.select("p_partkey", tokens("p_name"))
-    q = n.select(F.col("n_nationkey").alias("query"), tokens("n_name")).union(p.select((F.col("p_size") + 1000), tokens("p_name"))).distinct()
-    m = q.join(w, "t").groupBy("query", F.col("p_partkey").alias("entity")).agg(F.count("*").alias("overlap"))
-    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("overlap"), "entity"))
-    return m.withColumn("rank", r).where("rank <= 5")
+    tokens = lambda c: F.array_sort(F.array_distinct(F.split(F.lower(c), " "))).alias("ts")
+    place = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    w = p.select("p_partkey", tokens("p_name")).where("ts is not null").distinct().groupBy("p_partkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("ts"))
+    few = cut_lineage(w.select("ts", F.col("p_partkey").alias("entity")).withColumn("_r", place("ts", "entity")).where("_r <= 5").drop("_r"))
+    sets = few.groupBy("ts").agg(F.min("entity").alias("first"))
+    named = p.select((F.col("p_size") + 1000).alias("query"), tokens("p_name")).distinct()
+    q = n.select(F.col("n_nationkey").alias("query"), tokens("n_name")).union(named).select("query", F.explode("ts").alias("t")).distinct()
+    m = q.join(sets.select("first", F.explode("ts").alias("t")), "t").groupBy("query", "first").agg(F.count("*").alias("overlap"))
+    m = m.withColumn("_r", place("query", F.desc("overlap"), "first")).where("_r <= 5").drop("_r")
+    met = m.join(few.join(sets, "ts").select("first", "entity"), "first").select("query", "entity", "overlap")
+    return met.withColumn("rank", place("query", F.desc("overlap"), "entity")).where("rank <= 5")
