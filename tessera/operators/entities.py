@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scratch import cut_lineage
+from tessera.functions.scratch import cut_lineage, spread
 
 
 #: Nodes of the links (16 bytes each) that are broadcast at most.
@@ -62,16 +62,19 @@ def resolve_aliases(links: DataFrame, max_depth: int = 8) -> DataFrame:
     if none is so long), the first by name of equals. ``links``: surface, canon, born.
     """
     edges = cut_lineage(links.select("surface", "canon", "born"))
+    n = edges.count()
     # Follow by joins: every path of up to max_depth steps, with what it has seen.
     path = edges.select("surface", F.col("canon").alias("at"), F.array("surface").alias("seen"), F.lit(False).alias("loop"))
-    step = edges.select(F.col("surface").alias("at"), F.col("canon").alias("next"))
+    step = spread(edges.select(F.col("surface").alias("at"), F.col("canon").alias("next")), n, "at")
     for _ in range(max_depth - 1):
-        moved = path.join(step, "at", "left")
+        moved = spread(path, n, "at").join(step, "at", "left")
         stop = F.col("loop") | F.col("next").isNull() | F.array_contains("seen", F.col("at"))
         path = moved.select("surface", F.when(stop, F.col("at")).otherwise(F.col("next")).alias("at"), F.when(stop, F.col("seen")).otherwise(F.array_append("seen", F.col("at"))).alias("seen"), (F.col("loop") | F.array_contains("seen", F.col("at"))).alias("loop"))
     path = path.withColumn("loop", F.col("loop") | F.array_contains("seen", F.col("at")))
-    cycle = path.where("loop").select("surface", F.explode("seen").alias("member")).join(edges.select(F.col("surface").alias("member"), "born"), "member")
-    choice = cycle.groupBy("surface").agg(F.min(F.struct((F.length("member") < 4).alias("short"), "born", "member")).alias("m"))
-    return path.join(choice, "surface", "left").select("surface", F.coalesce("m.member", "at").alias("root"))
+    # A path has seen max_depth surfaces at most.
+    member = spread(path.where("loop").select("surface", F.explode("seen").alias("member")), n * max_depth, "member")
+    cycle = member.join(spread(edges.select(F.col("surface").alias("member"), "born"), n * max_depth, "member"), "member")
+    choice = spread(cycle, n * max_depth, "surface").groupBy("surface").agg(F.min(F.struct((F.length("member") < 4).alias("short"), "born", "member")).alias("m"))
+    return spread(path, n * max_depth, "surface").join(choice, "surface", "left").select("surface", F.coalesce("m.member", "at").alias("root"))
 
 

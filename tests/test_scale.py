@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_round3 import same_as_sql, save
@@ -43,3 +43,37 @@ def test_walk_ranks_the_edges_of_its_frontier_alone(spark):
 
     assert set(map(tuple, G.claim_walk(start, edges).collect())) == set(map(tuple, G.claim_walk(start, G.claim_edges(claims)).collect()))
     assert asked[0] == 2
+
+
+def test_lexical_query_counts_a_token_of_an_entity_once(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["red", "blue", "bolt", "ring", "France"]
+    # Some parts are there twice, with one name or with two.
+    rows = [(rng.randrange(40), " ".join(rng.choices(words, k=rng.randrange(1, 4))), rng.randrange(3)) for _ in range(80)]
+    save(spark, tmp_path, "part", [*rows, *rows[:20]], "p_partkey long, p_name string, p_size int")
+    save(spark, tmp_path, "nation", [(1, "France"), (2, "Blue bolt")], "n_nationkey int, n_name string")
+    assert len(same_as_sql(spark, tmp_path, "lexical_query")) > 15
+
+
+def tasks_of(df):
+    df.collect()
+    return df.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("step", ["degree", "mentions", "aliases"])
+def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path, step):
+    from tessera.functions import scratch
+    from tessera.operators import entities
+    from tessera.operators import graph as G
+    from tessera.sources import adapters as A
+
+    lines = [(o, k, (o * 3 + k) % 17, o % 5, 0.5, "R") for o in range(60) for k in range(3)]
+    save(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_returnflag string")
+    save(spark, tmp_path, "orders", [(o, o % 7, None) for o in range(60)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    links = spark.createDataFrame([(f"p{i}", f"p{i + 1 if i % 5 else i - 4}", i % 3) for i in range(5, 120)], "surface string, canon string, born int")
+    make = {"degree": lambda: A.edges(spark, str(tmp_path)).select("subject", "object"), "mentions": lambda: G.mention_edges(A.mentions(spark, str(tmp_path))), "aliases": lambda: entities.resolve_aliases(links)}[step]
+    want = sorted(map(tuple, make().collect()))
+    monkeypatch.setattr(scratch, "TASK_ROWS", 20)
+    got = make()
+    assert sorted(map(tuple, got.collect())) == want
+    assert tasks_of(got) > 4
