@@ -114,15 +114,14 @@ def conversation_first(spark, sf_dir):
 )
 def catalog_decay(spark, sf_dir):
     """Mention edges with the cosine of their poles and their decay; the poles are joined, not collected."""
-    from tessera.functions.vectors import cosine
+    from tessera.functions.vectors import cosines_of_pairs
 
-    v = A.turn_vec(spark, sf_dir).select("id", "embedding")
-    n = v.count()
+    n = A.read(spark, sf_dir, "embeddings").count()
     e = A.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("tgt")).agg(F.max("l_shipdate").alias("at"))
     # Nouns share vectors, so each pair of vectors is compared once.
     e = e.select("src", "tgt", "at", (F.col("src") % n).alias("a"), (F.col("tgt") % n).alias("b"))
-    pairs = e.select("a", "b").distinct().join(v.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
-    pairs = pairs.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    named = A.read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).distinct()
+    pairs = cosines_of_pairs(named, A.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).withColumn("cosine", F.round("cosine", 6))
     age = F.greatest(F.lit(0), F.unix_timestamp(F.lit("1999-01-01").cast("timestamp")) - F.unix_timestamp("at"))
     return e.join(pairs, ["a", "b"]).select("src", "tgt", "cosine", F.round(F.exp(-age / 2592000.0), 6).alias("decay"))
 
