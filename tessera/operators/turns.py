@@ -51,8 +51,10 @@ def dedup_trailing(turns: DataFrame, minutes: int = 10, min_chars: int = 80) ->
     width = minutes * 60_000_000
     at = F.unix_micros("ts")
     key = F.xxhash64("owner", "session_id", "role", *(F.col(c).isNull() for c in ("owner", "session_id", "role", "content")), "content")
+    # Keys are two numbers: 64 bits of the one hash and 60 of another, as they travel with every row.
+    digest = F.conv(F.substring(F.md5(F.concat_ws("\x01", "owner", "session_id", "role", "content")), 1, 15), 16, 10).cast("long")
     windowed = (F.length("content") >= min_chars) & F.col("ts").isNotNull()
-    long_ = turns.where(windowed).select(F.struct(key.alias("h"), F.md5(F.concat_ws("\x01", "owner", "session_id", "role", "content")).alias("m")).alias("key"), at.alias("at"), "id").distinct()
+    long_ = turns.where(windowed).select(F.struct(key.alias("h"), digest.alias("m")).alias("key"), at.alias("at"), "id").distinct()
     long_ = cut_lineage(long_.withColumn("part", F.floor(F.col("at") / width)))
     short = turns.where(~F.coalesce(windowed, F.lit(False))).select("id", F.col("id").alias("kept_id"))
 
@@ -84,7 +86,7 @@ def dedup_trailing(turns: DataFrame, minutes: int = 10, min_chars: int = 80) ->
         new = cut_lineage(reached.join(kept, ["key", "of"], "left_anti"))
         if not new.take(1):
             break
-        kept = cut_lineage(kept.unionByName(new))
+        kept = kept.unionByName(new)
         onward = jumps.select("key", F.col("of").alias("to"), F.col("to").alias("_next"))
         jumps = cut_lineage(jumps.join(onward, ["key", "to"]).select("key", "of", F.col("_next").alias("to")))
 
