@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scratch import shared_folder
-from tessera.functions.vectors import BLOCK_ROWS, usable
+from tessera.functions.vectors import BLOCK_ROWS, CELLS, usable
 from tessera.operators.search import batch_search
 
 #: Vectors that centroids are fitted on, and queries that recall is measured on: the first by a hash of the id.
 SAMPLE, MEASURED = 20_000, 200
 MOST_CELLS = 4_096
 ROUNDS = 12
+#: Rows with a vector that a task makes at once.
+MADE_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -71,12 +73,16 @@ def nearest_cells(rows: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
         for pdf in parts:
             if not len(pdf):
                 continue
-            score = _unit(np.stack(pdf.iloc[:, at].to_numpy()).astype(float)) @ centroids.T
-            order = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :n]
-            out = pdf.loc[pdf.index.repeat(order.shape[1])].copy()
-            out["cell"] = order.reshape(-1)
-            out["nearness"] = np.tile(np.arange(order.shape[1]), len(pdf))
-            yield out
+            # Some rows at a time: neither their scores nor their copies are held for a whole batch.
+            step = max(1, min(CELLS // len(centroids), MADE_ROWS // n))
+            for k in range(0, len(pdf), step):
+                few = pdf.iloc[k : k + step]
+                score = _unit(np.stack(few.iloc[:, at].to_numpy()).astype(float)) @ centroids.T
+                order = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :n]
+                out = few.loc[few.index.repeat(order.shape[1])].copy()
+                out["cell"] = order.reshape(-1)
+                out["nearness"] = np.tile(np.arange(order.shape[1]), len(few))
+                yield out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(each, f"{schema}, cell int, nearness int")
@@ -120,8 +126,12 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
         right = right.sort_values("id")
-        c = _unit(np.stack(left.v.to_numpy()).astype(float)) @ _unit(np.stack(right.v.to_numpy()).astype(float)).T
         ids, others = left.id.to_numpy(), right.id.to_numpy()
+        p, q = (_unit(np.stack(side.v.to_numpy()).astype(float)) for side in (left, right))
+        step = max(1, CELLS // len(others))
+        return pd.concat([best_of(ids[j : j + step], others, p[j : j + step] @ q.T) for j in range(0, len(ids), step)], ignore_index=True)
+
+    def best_of(ids: np.ndarray, others: np.ndarray, c: np.ndarray) -> pd.DataFrame:
         c = np.where(ids[:, None] == others[None, :], -np.inf, c)
         best = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
         found = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "other": others[best].reshape(-1), "cosine": np.take_along_axis(c, best, axis=1).reshape(-1)})

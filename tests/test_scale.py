@@ -77,3 +77,41 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path, step):
     got = make()
     assert sorted(map(tuple, got.collect())) == want
     assert tasks_of(got) > 4
+
+
+def test_vectors_of_pairs_go_once_to_each_cell(spark, monkeypatch):
+    from tessera.functions import vectors as V
+
+    monkeypatch.setattr(V, "STRETCH", 4)
+    v = {i: [float(i % 3), 1.0, float(i)] for i in range(12)} | {12: None, 13: [], 14: [0.0, 0.0, 0.0], 15: [1.0, 2.0]}
+    pairs = [(a, b) for a in range(17) for b in range(17) if (a + b) % 2 == 0]
+    table = spark.createDataFrame(list(v.items()), "id long, v array<float>")
+    got = {(r.a, r.b): r.cosine for r in V.cosines_of_pairs(spark.createDataFrame(pairs, "a long, b long"), table).collect()}
+    assert set(got) == {(a, b) for a, b in pairs if a in v and b in v}
+    for (a, b), c in got.items():
+        x, y = (np.array(v[k] or [], float) for k in (a, b))
+        good = len(x) and len(x) == len(y) and x.any() and y.any()
+        assert c is None if not good else c == pytest.approx(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)))
+
+
+def test_names_are_looked_for_in_sentences_with_a_phrase_alone(spark):
+    from tessera.operators import relations as R
+
+    rows = spark.createDataFrame([(1, "red bolt is here. Red bolt RELIES, on blue ring!", 0), (1, "blue ring needsit red bolt", 1), (1, "Blue ring needs red bolt", 2)], "id long, text string, part int")
+    assert {r.sentence for r in R.phrases(rows, [2], ["relies on", "needs"]).collect()} == {(0, 1), (2, 0)}
+    names = spark.createDataFrame([("Red bolt",), ("blue ring",)], "name string")
+    assert sorted(map(tuple, R.typed_relations(rows, names).collect())) == [(1, "blue ring", "depends_on", "red bolt"), (1, "red bolt", "uses", "blue ring")]
+
+
+def test_an_index_makes_some_rows_at_a_time(spark, monkeypatch):
+    from tessera.operators import vector_index as I
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 5))
+    rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "id long, v array<double>").coalesce(1)
+    index = I.build(rows, cells=6)
+    want = [sorted(map(tuple, f().collect())) for f in (lambda: I.nearest_cells(rows.select("id", "v"), index.centroids, 4).select("id", "cell", "nearness"), lambda: I.search(index, rows, 5, 6).select("id", "other", "rank"))]
+    monkeypatch.setattr(I, "MADE_ROWS", 8)
+    monkeypatch.setattr(I, "CELLS", 12)
+    assert sorted(map(tuple, I.nearest_cells(rows.select("id", "v"), index.centroids, 4).select("id", "cell", "nearness").collect())) == want[0]
+    assert sorted(map(tuple, I.search(index, rows, 5, 6).select("id", "other", "rank").collect())) == want[1]
