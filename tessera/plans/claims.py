@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import keep
 from tessera.functions.vectors import block_pairs
 from tessera.operators import cascade
 from tessera.operators import entities as E
@@ -374,24 +375,22 @@ def reresolve(spark, sf_dir):
 def cascade_delete(spark, sf_dir):
     """Every fiftieth customer goes: with those merged into it, its orders and lines; claims and parts go with their last support, events lose their user."""
     c, o, li = (A.read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("child_id")
-    owned = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    claim = F.concat_ws(":", "o_custkey", "l_partkey")
-
-    def refs(rows, child, child_id, parent, parent_id, action):
-        return rows.select(F.lit(child).alias("child"), child_id.cast("string").alias("child_id"), F.lit(parent).alias("parent"), parent_id.cast("string").alias("parent_id"), F.lit(action).alias("action"))
-
-    parts = [
-        refs(c.where("c_custkey % 3 = 0 and c_custkey > 0"), "customer", F.col("c_custkey"), "customer", F.floor(F.col("c_custkey") / 3), cascade.CASCADE),
-        refs(o, "orders", F.col("o_orderkey"), "customer", F.col("o_custkey"), cascade.CASCADE),
-        refs(li, "lineitem", line, "orders", F.col("l_orderkey"), cascade.CASCADE),
-        refs(owned, "claim", claim, "lineitem", line, cascade.SUPPORT),
-        refs(owned, "part", F.col("l_partkey"), "claim", claim, cascade.SUPPORT),
-        refs(A.read(spark, sf_dir, "events"), "event", F.col("event_id"), "customer", F.col("user_id"), cascade.UNLINK),
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")
+    claim = F.concat_ws(":", "o_custkey", "l_partkey").alias("claim")
+    # Read twice, for the claims of lines and for the parts of claims.
+    owned = keep(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(line, claim, "l_partkey"), "owned")
+
+    def ref(rows, child, child_id, parent, parent_id, action):
+        return cascade.Reference(child, parent, rows.select(child_id.alias("child_id"), parent_id.alias("parent_id")), action)
+
+    every = [
+        ref(c.where("c_custkey % 3 = 0 and c_custkey > 0"), "customer", F.col("c_custkey"), "customer", F.floor(F.col("c_custkey") / 3), cascade.CASCADE),
+        ref(o, "orders", F.col("o_orderkey"), "customer", F.col("o_custkey"), cascade.CASCADE),
+        ref(li, "lineitem", line, "orders", F.col("l_orderkey"), cascade.CASCADE),
+        ref(owned, "claim", F.col("claim"), "lineitem", F.col("line"), cascade.SUPPORT),
+        ref(owned, "part", F.col("l_partkey"), "claim", F.col("claim"), cascade.SUPPORT),
+        ref(A.read(spark, sf_dir, "events"), "event", F.col("event_id"), "customer", F.col("user_id"), cascade.UNLINK),
     ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
     return cascade.deletion_closure(every, c.where("c_custkey % 50 = 0").select(F.lit("customer").alias("relation"), F.col("c_custkey").alias("id")))
 
 

@@ -115,3 +115,44 @@ def test_an_index_makes_some_rows_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(I, "CELLS", 12)
     assert sorted(map(tuple, I.nearest_cells(rows.select("id", "v"), index.centroids, 4).select("id", "cell", "nearness").collect())) == want[0]
     assert sorted(map(tuple, I.search(index, rows, 5, 6).select("id", "other", "rank").collect())) == want[1]
+
+
+def test_a_deletion_reads_the_references_of_a_relation_once(spark, monkeypatch):
+    from tessera.operators import cascade
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for pdf in parts:
+            read.add(len(pdf))
+            yield pdf
+
+    # A chain of twelve owners; orders of all of them; a note goes with its last order.
+    owners = spark.createDataFrame([(i + 1, i) for i in range(12)], "child_id long, parent_id long")
+    orders = spark.createDataFrame([(100 + i, i % 20) for i in range(40)], "child_id long, parent_id long").mapInPandas(counted, "child_id long, parent_id long")
+    notes = spark.createDataFrame([(f"n{i % 15}", 100 + i) for i in range(40)], "child_id string, parent_id long").mapInPandas(counted, "child_id string, parent_id long")
+    refs = [cascade.Reference("owner", "owner", owners, cascade.CASCADE), cascade.Reference("order", "owner", orders, cascade.CASCADE), cascade.Reference("note", "order", notes, cascade.SUPPORT)]
+    seeds = spark.createDataFrame([("owner", 3)], "relation string, id long")
+    gone = {i for i in range(40) if 3 <= i % 20 <= 12}
+    want = {("owner", str(i)) for i in range(3, 13)} | {("order", str(100 + i)) for i in gone} | {("note", f"n{k}") for k in range(15) if {i for i in range(40) if i % 15 == k} <= gone}
+    for most in (250_000, 0):
+        monkeypatch.setattr(cascade, "BROADCAST_GONE", most)
+        start = read.value
+        out = cascade.deletion_closure(refs, seeds)
+        assert {(r.relation, r.id) for r in out.collect()} == want
+        assert read.value - start == 80
+
+
+def test_cascade_delete_of_odd_rows(spark, tmp_path, monkeypatch):
+    from tessera.operators import cascade
+
+    monkeypatch.setattr(cascade, "BROADCAST_GONE", 1)
+    rng = random.Random(6)
+    save(spark, tmp_path, "customer", [(i,) for i in range(160)], "c_custkey long")
+    # Orders of customers that are not known, lines twice, lines of one number in two parts.
+    save(spark, tmp_path, "orders", [(i, rng.choice([0, 50, 150, rng.randrange(400)])) for i in range(300)], "o_orderkey long, o_custkey long")
+    lines = [(rng.randrange(300), rng.randrange(3), rng.randrange(25)) for _ in range(500)]
+    save(spark, tmp_path, "lineitem", [*lines, *lines[:9]], "l_orderkey long, l_linenumber int, l_partkey long")
+    save(spark, tmp_path, "events", [(i, rng.choice([None, *range(160)])) for i in range(200)], "event_id long, user_id long")
+    rows = same_as_sql(spark, tmp_path, "cascade_delete")
+    assert {r[0] for r in rows} >= {"customer", "orders", "lineitem", "claim", "event"}
