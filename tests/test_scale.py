@@ -156,3 +156,38 @@ def test_cascade_delete_of_odd_rows(spark, tmp_path, monkeypatch):
     save(spark, tmp_path, "events", [(i, rng.choice([None, *range(160)])) for i in range(200)], "event_id long, user_id long")
     rows = same_as_sql(spark, tmp_path, "cascade_delete")
     assert {r[0] for r in rows} >= {"customer", "orders", "lineitem", "claim", "event"}
+
+
+def test_names_meet_by_two_of_their_rarest_grams(spark, monkeypatch):
+    from tessera.operators import search
+
+    names = [f"supplier#{i:09d}" for i in range(2_000)]
+    terms = [*names[::100], *(n.replace("pp", "p") for n in names[::100])]
+    table = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    index = search._gram_index(table(terms, "term"), table(names, "name"))
+    # By one of the grams that may miss all names met, as all share those of the zeros.
+    assert 0 < search._met(*index, 0.7).count() < len(terms) * len(names) / 10
+
+    rng = random.Random(8)
+    words = [" ".join("".join(rng.choice("abc1") for _ in range(rng.randrange(1, 7))) for _ in range(rng.choice([1, 1, 2, 6]))) for _ in range(150)]
+    grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+    asked = [*words[:40], "zzz abc", "b"]
+    for floor, most in ((0.3, 24), (0.6, 4), (0.9, 24)):
+        monkeypatch.setattr(search, "MOST_PAIRED", most)
+        want = {(a, b) for a in asked for b in words if round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6) >= floor}
+        assert {(r.term, r.name) for r in search.trigram_links(table(asked, "term"), table(words, "name").selectExpr("1 as entity_id", "name"), floor).collect()} == want
+
+
+def test_entity_link_searches_a_shared_vector_once(spark, tmp_path, monkeypatch):
+    from tessera.operators import search
+
+    searched = []
+    real = search.batch_search
+    monkeypatch.setattr(search, "batch_search", lambda q, rows, *a: searched.append((q.count(), rows.count())) or real(q, rows, *a))
+    # Names that many have, odd ones, and more like each than are shown.
+    names = [f"Supplier#{i % 90:09d}" for i in range(240)] + ["Supplier", None, "?", "vendor 59", "suplier 000000050", "Vendor 9"]
+    save(spark, tmp_path, "supplier", list(enumerate(names)), "s_suppkey long, s_name string")
+    save(spark, tmp_path, "embeddings", [(i, 0, [1.0, float(i % 5), float(i)]) for i in range(9)], "vec_id long, label int, embedding array<float>")
+    rows = same_as_sql(spark, tmp_path, "entity_link")
+    assert len(rows) == 5 * 20 and {r[2] for r in rows} >= {1, 2}
+    assert searched == [(5, 9)]
