@@ -48,3 +48,32 @@ def test_khop_of_suppliers_shuffles_no_pairs_and_equals_sql(spark, tmp_path):
         if depth(line) < depth((above or [lines[at]])[-1]):
             above.append(line)
     assert {x.lstrip(" :+-").split(" ")[0].split("(")[0] for x in above} <= {"Union", "Project", "Filter"}
+
+
+def test_beam_walk_deals_vectors_once_and_sends_none_with_pairs(spark, tmp_path, monkeypatch):
+    from tessera.operators import graph as G
+    from tessera.plans import graph
+
+    rng = random.Random(7)
+    save(spark, tmp_path, "embeddings", [(i, 0, [rng.gauss(0.4, 1) for _ in range(4)]) for i in range(120)], "vec_id long, label int, embedding array<float>")
+    lines = [(o, k, rng.randrange(30), rng.choice([0.0, 0.05, 0.1]), 1) for o in range(120) for k in range(5)]
+    save(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_suppkey long")
+    turns, nouns, key = graph._vectors(spark, str(tmp_path))
+    whole = G.mention_edge_ema(graph.A.mentions(spark, str(tmp_path)), turns, nouns, key, key)
+    queries = graph.A.turn_vec(spark, str(tmp_path)).where("id % 50 = 0").selectExpr("id AS query", "embedding AS qv")
+    rows = lambda df: sorted((*tuple(r)[:5], round(r.score, 6)) for r in df.collect())
+    want = rows(G.beam_walk(graph.seeds_of_queries(spark, str(tmp_path)), whole, queries, graph.C.VECTOR_K))
+    assert rows(graph.beam_walk(spark, str(tmp_path))) == want and want
+    # The same with all joins by shuffle, and with no vector in an exchange if they are few: shares are dealt, not sums.
+    asked = spark.createDataFrame([(n,) for n in range(9)], "tgt long")
+    shares = G.mention_shares(graph.A.mentions(spark, str(tmp_path)), turns, key).join(asked, "tgt", "left_semi").repartition("tgt")
+    edges = G.edges_of_shares(shares, turns, nouns, key, key, (4, 4), "tgt", False)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "src_pole" not in plan
+    monkeypatch.setattr(G, "BROADCAST_VECTORS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(graph.beam_walk(spark, str(tmp_path))) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
